@@ -23,22 +23,29 @@ def unescape(text: Column) -> Column:
 def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """nodes (conv_id, node_id, parent_id, score) -> tables of ancestors 1, 2, 4, ... steps up, and each node's whole way to its root.
 
-    Each table is a self-join of the one before, so a path of n messages takes log2(n) joins. The second result has
-    path_score and path_length; nodes on a circle never reach a root and are missing there.
+    Each table is a self-join of the one before, so a path of n messages takes log2(n) joins; conversations all of
+    whose nodes have reached their root take no part in the next. The second result has path_score and path_length;
+    nodes on a circle never reach a root and are missing there.
     """
-    here, up = nodes.alias("n"), nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_p")).distinct()
-    known = here.join(up, F.col("n.conv_id").eqNullSafe(F.col("_c")) & (F.col("n.parent_id") == F.col("_p")), "left")
-    table = materialize(known.select("n.conv_id", "n.node_id", F.col("_p").alias("up"), F.col("n.score").alias("path_score"), F.lit(1).cast("long").alias("path_length")), "reply-steps")
-    tables, limit = [table], nodes.count()
-    while 2 ** len(tables) < 2 * limit and not table.where("up IS NOT NULL").isEmpty():
-        a, b = table.alias("a"), table.alias("b")
-        joined = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node_id")), "left")
-        table = materialize(
-            joined.select("a.conv_id", "a.node_id", F.col("b.up").alias("up"), (F.col("a.path_score") + F.coalesce("b.path_score", F.lit(0.0))).alias("path_score"), (F.col("a.path_length") + F.coalesce("b.path_length", F.lit(0))).alias("path_length")),
-            "reply-steps",
-        )
-        tables.append(table)
-    return tables, table.where("up IS NULL").drop("up")
+    spark, up = nodes.sparkSession, nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_p"))
+    known = nodes.join(up, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("parent_id") == F.col("_p")), "left")
+    state = materialize(known.select("conv_id", "node_id", F.col("_p").alias("up"), F.col("score").alias("path_score"), F.lit(1).cast("long").alias("path_length")), "reply-steps")
+    tables, ended, most = [], [state.where("up IS NULL")], state.count()
+    active = state.where("up IS NOT NULL")
+    while 2 ** len(tables) < 2 * most and not active.isEmpty():
+        tables.append(active)
+        left = active.select(F.col("conv_id").alias("_l")).distinct()
+        state = state.join(left, F.col("conv_id").eqNullSafe(F.col("_l")), "left_semi")
+        a, b = active.alias("a"), state.alias("b")
+        joined = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node_id")))
+        further = joined.select("a.conv_id", "a.node_id", F.col("b.up").alias("up"), (F.col("a.path_score") + F.col("b.path_score")).alias("path_score"), (F.col("a.path_length") + F.col("b.path_length")).alias("path_length"))
+        state = materialize(further.withColumn("moved", F.lit(True)).unionByName(state.where("up IS NULL").select(*further.columns, F.lit(False).alias("moved"))), "reply-steps")
+        ended.append(state.where("up IS NULL AND moved").drop("moved"))
+        active, state = state.where("up IS NOT NULL").drop("moved"), state.drop("moved")
+    whole = spark.createDataFrame([], state.schema)
+    for done in ended:
+        whole = whole.unionByName(done)
+    return tables, whole.drop("up")
 
 
 def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -52,13 +59,13 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     messages = messages.dropDuplicates(["conv_id", "node_id"])
     nodes = messages.select("conv_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     tables, whole = jump_tables(nodes)
-    parents = tables[0].where("up IS NOT NULL").select(F.col("conv_id").alias("_c"), F.col("up").alias("_p")).distinct()
+    parents = nodes.select(F.col("conv_id").alias("_c"), F.col("parent_id").alias("_p")).distinct()
     leaves = whole.join(parents, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node_id") == F.col("_p")), "left_anti").withColumn("path_score", F.col("path_score") / F.col("path_length"))
     order = Window.partitionBy("conv_id").orderBy(F.desc("path_score"), F.desc("path_length"), "node_id")
     paths = leaves.withColumn("path", F.row_number().over(order)).where(F.col("path") <= top)
     paths = paths.select("conv_id", "path", "path_score", "path_length", "node_id", (F.col("path_length") - 1).alias("pos"))
     for k in reversed(range(len(tables))):
-        step = tables[k].where("up IS NOT NULL").select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), "up")
+        step = tables[k].select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), "up")
         higher = paths.join(step, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node_id") == F.col("_n")))
         paths = materialize(paths.unionByName(higher.select("conv_id", "path", "path_score", "path_length", F.col("up").alias("node_id"), (F.col("pos") - 2**k).alias("pos"))), "reply-paths")
     told = messages.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), "role", "text")
