@@ -8,13 +8,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, licenses, lines, packing, tokens
+from runlens.llm import chat, licenses, lines, minhash, packing, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+_OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id
+  JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+  WHERE 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n)
+  GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), copies AS (SELECT doc_id, list_sort(list(s)) AS k FROM sets GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) OVER (PARTITION BY k) AS c FROM copies)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept, coalesce(any_value(c), 1) AS n_copies
+FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN sizes USING (doc_id) LEFT JOIN counted USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = tokens.write_token_blocks(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return tokens.read_token_blocks(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -83,8 +109,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_output, op5_chat_formatting, op8_line_dedup, op9_packing, op10_license_scan)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_token_output, op5_chat_formatting, op8_line_dedup, op9_packing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": _OP5_SQL, "op8_line_dedup": _OP8_SQL}
+    return {"op2_minhash_near_dedup": _OP2_SQL, "op5_chat_formatting": _OP5_SQL, "op8_line_dedup": _OP8_SQL}
