@@ -14,79 +14,87 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import materialize, prepare
 
-#: A space next to other white space.
-_TOUCHING = re.compile("\x20(?:(?<=[\\s\u180e]\x20)|(?=[\\s\u180e]))")
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|]*)")
+#: A space or line end next to other white space.
+_TOUCHING = re.compile("[\x20\n](?:(?<=[\\s\u180e].)|(?=[\\s\u180e]))", re.DOTALL)
+_SPACE = ("", " ", "\n")
+_MARKS = ".,;:!?#$%&*|"
 #: How byte-level models write a byte: visible ones as themselves, the others counted from U+0100.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _BYTES = {b: b if b in _SHOWN else 256 + [x for x in range(256) if x not in _SHOWN].index(b) for b in range(256)}
 
 
+class _Words(dict):
+    """Words and their ids; looks new words up, and remembers the short ones until there are too many."""
+
+    def __init__(self, look, limit: int) -> None:
+        self.look, self.limit = look, limit
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.look(word)
+        if len(word) <= 11:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids (bytes of little-endian unsigned 32-bit integers), as the tokenizers library gives them for the whole text.
 
     Made for the two families of the tokenizers used here. Byte-level ones that keep spaces part a text where a
-    character that isn't white space meets a space, so a text whose spaces all stand alone is the sequence of its
-    space-parted words, each but the first with its space; other texts are encoded whole. Those that drop white space
-    part it at every space. A word's ids are looked up among remembered ones; up to `limit` words of at most 11
-    characters are remembered, as longer ones rarely recur. A new word of letters and closing marks goes straight to
-    the library's model, anything else through the whole of the tokenizer.
+    character that isn't white space meets a space or line end, so a text in which these stand alone is the sequence
+    of its words, each with what stands before it; other texts are encoded whole. Those that drop white space part it
+    at every space. A word's ids are looked up among remembered ones: up to `limit` words of at most 11 characters, as
+    longer ones rarely recur. A new word of letters and closing marks goes straight to the library's model, anything
+    else through the whole of the tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.spaced = self.tokenizer.encode("a a", add_special_tokens=False).ids[0] != self.tokenizer.encode("a a", add_special_tokens=False).ids[1]
-        self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.spaced = len(set(self.tokenizer.encode("a a", add_special_tokens=False).ids)) > 1
+        self.words = _Words(self._word, limit)
+        self.marks = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        """A word after a space, if that counts."""
-        if not (plain := _PLAIN.fullmatch(word)):
-            return self._encode([" " + word])[0]
-        letters, marks = plain.groups()
+        """Ids of a word after a space, or of a line end and a word."""
+        first = self.spaced and word[:1] == "\n"
+        body = word[1:] if first else word
+        letters = body.rstrip(_MARKS)
+        if not letters.isalpha() or max(letters) >= "\u0250":
+            return self._encode([word if first or not self.spaced else " " + word])[0]
+        marks = body[len(letters) :]
         if marks not in self.marks:
             self.marks[marks] = self._encode([marks])[0]
-        shown = (letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTES)) if self.spaced else letters
-        shown = "\u0120" + shown if self.spaced else shown if shown.isascii() else shown.encode().decode("latin-1").translate(_BYTES)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)]) + self.marks[marks]
-
-    def _known(self, parts: list[list[str]], new: set[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-            new = {w for p in parts for w in p}
-        rare = {}
-        for w in new:
-            if len(w) > 11:
-                rare[w] = self._word(w)
-            else:
-                known[w] = self._word(w)
-        if not rare:
-            look = known.__getitem__
-            return [b"".join(map(look, p)) for p in parts]
-        return [b"".join([known[w] if w in known else rare[w] for w in p]) for p in parts]
+        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTES)
+        before = b""
+        if first:
+            if "\n" not in self.marks:
+                self.marks["\n"] = self._encode(["\n"])[0]
+            before = self.marks["\n"]
+        elif self.spaced:
+            shown = "\u0120" + shown
+        return before + b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)]) + self.marks[marks]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        look = self.words.__getitem__
         if not self.spaced:
-            whole = ["\u03a3" in t or "\u0130" in t for t in texts]
-            parts = [[] if w else t.lower().replace("\n", " ").split(" ") for t, w in zip(texts, whole, strict=True)]
-            firsts = [b""] * len(texts)
-        else:
-            whole = [bool(_TOUCHING.search(t)) or t[:1] == " " or t[-1:] == " " for t in texts]
-            parts = [[] if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-            firsts = self._encode([p[0] if p else "" for p in parts])
-            parts = [p[1:] for p in parts]
-        coded = self._known(parts, {w for p in parts for w in p} - self.known.keys())
-        rest = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
-        return [next(rest) if w else f + c for w, f, c in zip(whole, firsts, coded, strict=True)]
+            return [self._encode([t])[0] if "\u03a3" in t or "\u0130" in t else b"".join(map(look, t.lower().replace("\n", " ").split(" "))) for t in texts]
+        out = []
+        for t in texts:
+            if _TOUCHING.search(t) or t[:1] in _SPACE or t[-1:] in _SPACE:
+                out.append(self._encode([t])[0])
+            else:
+                first, *rest = t.replace("\n", " \n").split(" ")
+                out.append(self._encode([first])[0] + b"".join(map(look, rest)))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -138,7 +146,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
         if not fits.any():  # then more and smaller ids don't fit either
             break
         selector[: len(fits)][fits] = s
-    steps, at, i = COUNTS[selector].tolist(), [], 0
+    steps, at, i = COUNTS[selector].astype(np.uint8).tobytes(), [], 0
     while i < n:
         at.append(i)
         i += steps[i]
