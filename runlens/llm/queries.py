@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, langid, licenses, lines, minhash, packing, tokens
+from runlens.llm import chat, decontam, langid, licenses, lines, minhash, packing, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_blocks(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -116,7 +120,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_token_output, op5_chat_formatting, op8_line_dedup, op9_packing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_token_output, op4_decontamination, op5_chat_formatting, op8_line_dedup, op9_packing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
