@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, decontam, langid, licenses, lines, minhash, packing, tokens
+from runlens.llm import chat, decontam, langid, licenses, lines, media, minhash, packing, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,10 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGI
 """
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -120,7 +124,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_token_output, op4_decontamination, op5_chat_formatting, op8_line_dedup, op9_packing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_token_output, op4_decontamination, op5_chat_formatting, op6_media_columns, op8_line_dedup, op9_packing, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
