@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -90,8 +91,22 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(sets, "node long, shingles binary")
 
 
+def _shared_bound(sets: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of a node no other node of sets (node, shingles) has; nodes without such are missing."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shingles = np.frombuffer(batch.column(1)[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), batch.column(0)[i].as_py())), pa.array(shingles)], ["node", "shingle"])
+
+    spread = sets.select("node", "shingles").mapInArrow(rows, "node long, shingle long")
+    alone = spread.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
+
+
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b, sketch_a, sketch_b) that can reach the threshold by their sizes, and do by their sketches less six standard errors."""
+    """Pairs (a, b, sketch_a, sketch_b) that reach the threshold by their sketches, less six standard errors."""
     rows, bands = band_plan(percent)
     least = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (rows * bands))
 
@@ -101,8 +116,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
-    sized = pairs.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-    return sized.mapInArrow(compare, "a long, b long")
+    return pairs.mapInArrow(compare, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -157,10 +171,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Equal sets become one node first. A bucket is a band's value with two nodes or more. In each bucket the node that
     shares most buckets is compared with all others, then the next 7, then the next 56 and so on, each only with
-    nodes that no link has yet joined to it: a large group of near copies costs a few comparisons for each node, and
-    all pairs that could still add a link are compared in the end. No bucket, pair or link is left out.
+    nodes that no link has yet joined to it, until all members had their turn: a large group of near copies costs a
+    few comparisons for each node. Pairs are left out only where they can't be links: a link of x and y needs
+    m / (|x| + |y| - m) to reach the threshold, m being what the one with fewer can share with anything. At first that
+    is its size; after the first round, its shingles less those that no other open node has.
     """
-    spark = docs.sparkSession
     own = docs.select("doc_id", "text")
     signed = materialize(signatures(own, words, percent), "signatures")
     named = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
@@ -172,46 +187,45 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = materialize(banded.join(shared, "band"), "bucket-members")
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     order = Window.partitionBy("band").orderBy(F.desc("weight"), "node")
-    members = materialize(members.join(weight, "node").withColumn("rank", F.row_number().over(order)).select("band", "node", "rank"), "ranked-members")
+    sizes = nodes.select("node", F.col("n_shingles").alias("n"), F.col("n_shingles").alias("most"))
+    ranked = members.join(weight, "node").withColumn("rank", F.row_number().over(order)).select("band", "node", "rank")
+    members = materialize(ranked.join(sizes, "node"), "ranked-members")
     sought = weight.select("node").join(copies.select("node", "first"), "node")
     texts = own.join(sought.hint("shuffle_hash"), own["doc_id"] == sought["first"]).select("node", "text")
-    sets = None
-    links, tested, labels, low, high = [], [], None, 1, 1
-    rest = members
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"))
+    full = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
+    sets = labels = None
+    links, tested, low, high = [], [], 1, 1
+    rest = members.withColumn("label", F.col("node"))
     while not rest.where(F.col("rank") > low).isEmpty():
-        pivots = rest.where(F.col("rank").between(low, high))
-        a, b = pivots.alias("p"), rest.alias("m")
-        apart = "m.rank > p.rank" if labels is None else "m.rank > p.rank AND m.label <> p.label"
-        met = a.join(b, F.col("p.band") == F.col("m.band")).where(apart)
+        met = rest.where(F.col("rank").between(low, high)).alias("p").join(rest.alias("m"), F.col("p.band") == F.col("m.band"))
+        met = met.where(f"m.rank > p.rank AND m.label <> p.label AND {percent} * (p.n + m.n - least(p.most, m.most)) <= 100 * least(p.most, m.most)")
         pairs = met.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct()
         for before in tested:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-        likely = materialize(_likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "likely-pairs")
         tested.append(pairs)
-        new = False
+        likely = materialize(_likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "likely-pairs")
         if not likely.isEmpty():
             if sets is None:
                 sets = materialize(_full_sets(texts, words).dropDuplicates(["node"]), "shingle-sets")
-            full = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
             found = materialize(_confirmed(likely.join(full("a"), "a").join(full("b"), "b"), percent), "links")
-            new = not found.isEmpty()
-        if new:
-            links.append(found)
-            every = links[0]
-            for more in links[1:]:
-                every = every.union(more)
-            labels = components(every, labels)
+            if not found.isEmpty():
+                links.append(found)
+                labels = components(functools.reduce(DataFrame.union, links), labels)
         low, high = high + 1, high * _WIDEN
-        if labels is None:
-            labelled = members.withColumn("label", F.col("node"))
-        else:
-            labelled = members.join(labels.withColumnRenamed("label", "_label"), "node", "left").withColumn("label", F.coalesce("_label", "node")).drop("_label")
-        mixed = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("rank").alias("size")).where(F.col("least") != F.col("most")).where(F.col("size") > low).select("band")
-        rest = materialize(labelled.join(mixed, "band"), "open-buckets")
-        if labels is None:
-            labels = spark.createDataFrame([], "node long, label long")
+        labelled = members.withColumn("label", F.col("node"))
+        if labels is not None:
+            labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        unlike = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("greatest"), F.max("rank").alias("last"))
+        unlike = unlike.where(F.col("least") != F.col("greatest")).where(F.col("last") > low).select("band")
+        rest = materialize(labelled.join(unlike, "band"), "open-buckets")
+        if len(tested) == 1 and sets is not None and not rest.isEmpty():
+            few = _shared_bound(sets.join(rest.select("node").distinct(), "node", "left_semi"))
+            bounded = rest.drop("most", "label").join(few, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+            members = materialize(bounded.where(F.col("most") * 100 >= F.col("n") * percent), "ranked-members")
+            rest = members if labels is None else members.join(labels, "node", "left")
+            rest = materialize(rest.withColumn("label", F.coalesce("label", "node") if labels is not None else F.col("node")), "open-buckets")
     known = copies.select("node", "first", "n_copies")
     if labels is not None:
         known = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
