@@ -49,7 +49,7 @@ class Encoder:
     else through the whole of the tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,8 +92,8 @@ class Encoder:
             if _TOUCHING.search(t) or t[:1] in _SPACE or t[-1:] in _SPACE:
                 out.append(self._encode([t])[0])
             else:
-                first, *rest = t.replace("\n", " \n").split(" ")
-                out.append(self._encode([first])[0] + b"".join(map(look, rest)))
+                # the first word as if after a line end, whose only id then goes
+                out.append(b"".join(map(look, ("\n" + t.replace("\n", " \n")).split(" ")))[4:])
         return out
 
 
