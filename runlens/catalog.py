@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from runlens.queries import QUERIES, SQL, telemetry
+
+__all__ = ["QUERIES", "SQL", "telemetry"]
