@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -15,9 +14,6 @@ from pyspark.sql import functions as F
 from runlens.llm.common import materialize, prepare, utf8
 from runlens.llm.shingles import mix, shingle_sets
 
-#: In each round this many times more members of a bucket are compared with the others.
-_WIDEN = 8
-
 
 def band_plan(percent: int, miss: float = 1e-6) -> tuple[int, int]:
     """(rows, bands) with which a pair at the threshold misses every band with odds of at most miss."""
@@ -91,18 +87,42 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(sets, "node long, shingles binary")
 
 
-def _shared_bound(sets: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of a node no other node of sets (node, shingles) has; nodes without such are missing."""
+def _prefixes(sets: DataFrame, opened: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, n, place, label): for each node of opened (node, label) the rarest of its shingles, by how many opened nodes have them.
+
+    All nodes order shingles alike, by that number and then by value, and place is a shingle's place in the node's
+    order. Sets of n and m shingles that share k have a common one at a place of at most n - k and m - k, so shingles
+    at later places are left out, like those that no other node has.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                shingles = np.frombuffer(batch.column(1)[i].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shingles), batch.column(0)[i].as_py())), pa.array(shingles)], ["node", "shingle"])
+            for node, label, found in zip(*(batch.column(c) for c in ("node", "label", "shingles")), strict=True):
+                shingles = np.frombuffer(found.as_py(), np.int64)
+                many = len(shingles)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles), *(pa.array(np.full(many, x)) for x in (node.as_py(), many, label.as_py()))], ["shingle", "node", "n", "label"])
+
+    spread = materialize(sets.join(opened, "node").mapInArrow(rows, "shingle long, node long, n long, label long"), "shingles")
+    shared = materialize(spread.groupBy("shingle").agg(F.count("*").alias("among")).where("among > 1"), "shared-shingles")
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy("among", "shingle")) - 1 + F.col("n") - F.count("*").over(own)
+    placed = spread.join(shared, "shingle").withColumn("place", place)
+    return materialize(placed.where(f"100 * (n - place) >= {percent} * n").select("shingle", "node", "n", "place", "label"), "prefixes")
+
 
-    spread = sets.select("node", "shingles").mapInArrow(rows, "node long, shingle long")
-    alone = spread.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    return alone.groupBy("node").agg(F.count("*").alias("own"))
+def _prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of nodes with unlike labels whose prefixes meet early enough for a link.
+
+    Of each shingle's nodes, those with its most frequent label aren't compared with each other, so that a large group
+    of linked nodes costs no more than its number for each node outside of it.
+    """
+    counted = prefixes.groupBy("shingle", "label").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count("*").alias("labels"))
+    mixed = materialize(counted.where("labels > 1").select("shingle", "main"), "mixed-shingles")
+    others = prefixes.join(mixed, "shingle").where("label <> main")
+    p, m = others.alias("p"), prefixes.alias("m")
+    least = f"{percent} * (p.n + m.n)"
+    met = p.join(m, F.col("p.shingle") == F.col("m.shingle")).where(f"p.label <> m.label AND (m.label = p.main OR p.node < m.node) AND {100 + percent} * (p.n - p.place) >= {least} AND {100 + percent} * (m.n - m.place) >= {least}")
+    return met.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -170,11 +190,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     gives an empty one; other columns are left out.
 
     Equal sets become one node first. A bucket is a band's value with two nodes or more. In each bucket the node that
-    shares most buckets is compared with all others, then the next 7, then the next 56 and so on, each only with
-    nodes that no link has yet joined to it, until all members had their turn: a large group of near copies costs a
-    few comparisons for each node. Pairs are left out only where they can't be links: a link of x and y needs
-    m / (|x| + |y| - m) to reach the threshold, m being what the one with fewer can share with anything. At first that
-    is its size; after the first round, its shingles less those that no other open node has.
+    shares most buckets is compared with all others, which joins most of a group of near copies at the cost of one
+    comparison for each node. Buckets that still hold nodes of several components are open; of their nodes, all pairs
+    of unlike components that can be links by their rarest shingles are compared (_prefixes), which leaves out none.
     """
     own = docs.select("doc_id", "text")
     signed = materialize(signatures(own, words, percent), "signatures")
@@ -182,50 +200,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     copies = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("n_copies")), "nodes")
     firsts = named.join(copies.select("node", "first"), "node").where("doc_id = first").select("node", "doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["node"])
     nodes = materialize(firsts, "node-signatures")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    banded = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    shared = materialize(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = materialize(banded.join(shared, "band"), "bucket-members")
-    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    order = Window.partitionBy("band").orderBy(F.desc("weight"), "node")
-    sizes = nodes.select("node", F.col("n_shingles").alias("n"), F.col("n_shingles").alias("most"))
-    ranked = members.join(weight, "node").withColumn("rank", F.row_number().over(order)).select("band", "node", "rank")
-    members = materialize(ranked.join(sizes, "node"), "ranked-members")
+    weight = materialize(members.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    leaders = members.join(weight, "node").groupBy("band").agg(F.max(F.struct("weight", "node", "n")).alias("lead")).select(F.col("band").alias("_band"), F.col("lead.node").alias("leader"), F.col("lead.n").alias("lead_n"))
     sought = weight.select("node").join(copies.select("node", "first"), "node")
     texts = own.join(sought.hint("shuffle_hash"), own["doc_id"] == sought["first"]).select("node", "text")
+    sets = materialize(_full_sets(texts, words).dropDuplicates(["node"]), "shingle-sets")
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"))
     full = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
-    sets = labels = None
-    links, tested, low, high = [], [], 1, 1
-    rest = members.withColumn("label", F.col("node"))
-    while not rest.where(F.col("rank") > low).isEmpty():
-        met = rest.where(F.col("rank").between(low, high)).alias("p").join(rest.alias("m"), F.col("p.band") == F.col("m.band"))
-        met = met.where(f"m.rank > p.rank AND m.label <> p.label AND {percent} * (p.n + m.n - least(p.most, m.most)) <= 100 * least(p.most, m.most)")
-        pairs = met.select(F.least("p.node", "m.node").alias("a"), F.greatest("p.node", "m.node").alias("b")).distinct()
-        for before in tested:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested.append(pairs)
+
+    def linked(pairs: DataFrame) -> DataFrame:
         likely = materialize(_likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "likely-pairs")
-        if not likely.isEmpty():
-            if sets is None:
-                sets = materialize(_full_sets(texts, words).dropDuplicates(["node"]), "shingle-sets")
-            found = materialize(_confirmed(likely.join(full("a"), "a").join(full("b"), "b"), percent), "links")
-            if not found.isEmpty():
-                links.append(found)
-                labels = components(functools.reduce(DataFrame.union, links), labels)
-        low, high = high + 1, high * _WIDEN
-        labelled = members.withColumn("label", F.col("node"))
-        if labels is not None:
-            labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        unlike = labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("greatest"), F.max("rank").alias("last"))
-        unlike = unlike.where(F.col("least") != F.col("greatest")).where(F.col("last") > low).select("band")
-        rest = materialize(labelled.join(unlike, "band"), "open-buckets")
-        if len(tested) == 1 and sets is not None and not rest.isEmpty():
-            few = _shared_bound(sets.join(rest.select("node").distinct(), "node", "left_semi"))
-            bounded = rest.drop("most", "label").join(few, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-            members = materialize(bounded.where(F.col("most") * 100 >= F.col("n") * percent), "ranked-members")
-            rest = members if labels is None else members.join(labels, "node", "left")
-            rest = materialize(rest.withColumn("label", F.coalesce("label", "node") if labels is not None else F.col("node")), "open-buckets")
+        return materialize(_confirmed(likely.join(full("a"), "a").join(full("b"), "b"), percent), "links")
+
+    met = members.join(materialize(leaders, "leaders"), F.col("band") == F.col("_band")).where(f"node <> leader AND {percent} * greatest(n, lead_n) <= 100 * least(n, lead_n)")
+    pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    links = linked(materialize(pairs, "pairs"))
+    labels = None if links.isEmpty() else components(links)
+    labelled = members.select("band", "node", F.col("node").alias("label"))
+    if labels is not None:
+        labelled = materialize(members.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-members")
+    mixed = materialize(labelled.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest").select("band"), "open-buckets")
+    opened = labelled.join(mixed, "band").select("node", "label").distinct()
+    further = linked(materialize(_prefix_pairs(_prefixes(sets, opened, percent), percent), "pairs"))
+    if not further.isEmpty():
+        labels = components(links.unionByName(further), labels)
     known = copies.select("node", "first", "n_copies")
     if labels is not None:
         known = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
