@@ -50,7 +50,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     common = lines.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     salted = common.select("key", "keeper", F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])).alias("salt"))
     found = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(_SALTS)).cast("int")).join(salted, ["key", "salt"]).where("doc_id <> keeper")
-    return found.groupBy("doc_id", "version").agg(F.collect_list("pos").alias("dropped"))
+    return found.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("dropped"))
 
 
 def _kept(text: Column, dropped: Column) -> Column:
