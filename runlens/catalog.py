@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from runlens.queries import QUERIES, SQL, telemetry
+from runlens.queries import QUERIES, SQL, evidence, telemetry
 
-__all__ = ["QUERIES", "SQL", "telemetry"]
+__all__ = ["QUERIES", "SQL", "evidence", "telemetry"]

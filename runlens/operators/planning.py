@@ -1,0 +1,110 @@
+"""Dependency planning and batches: order, circles, runnable and blocked tasks, resolved tasks, ordered batches and their proof."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from runlens.shared import materialize
+
+
+def edges(tasks: DataFrame) -> DataFrame:
+    """(id, needs): one row for each dependency."""
+    return tasks.select("id", F.explode("depends_on").alias("needs")).distinct()
+
+
+def invalid_deps(tasks: DataFrame) -> DataFrame:
+    """(id, missing): dependencies that no task has."""
+    known = tasks.select(F.col("id").alias("needs")).distinct()
+    return edges(tasks).join(known, "needs", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list("needs")).alias("missing"))
+
+
+def levels(tasks: DataFrame) -> DataFrame:
+    """(id, level): the length of the longest way of dependencies below each task; null on a circle or above one.
+
+    Each step settles one level, so there are as many steps as the longest way has tasks. Dangling dependencies don't count.
+    """
+    ids = materialize(tasks.select("id").distinct(), "tasks")
+    open_edges = materialize(edges(tasks).join(ids.select(F.col("id").alias("needs")), "needs"), "edges")
+    settled, rest, level = [], ids, 0
+    while True:
+        free = materialize(rest.join(open_edges.select("id").distinct(), "id", "left_anti").withColumn("level", F.lit(level)), "level")
+        if free.isEmpty():
+            break
+        settled.append(free)
+        rest = materialize(rest.join(free, "id", "left_anti"), "rest")
+        open_edges = materialize(open_edges.join(free.select(F.col("id").alias("needs")), "needs", "left_anti"), "edges")
+        level += 1
+    out = rest.withColumn("level", F.lit(None).cast("int"))
+    for free in settled:
+        out = out.unionByName(free)
+    return out
+
+
+def on_circles(tasks: DataFrame) -> DataFrame:
+    """(id): tasks on a circle of dependencies, or on a way between two circles: what is left when free ends are taken off at both sides."""
+    left = materialize(edges(tasks), "edges")
+    n = left.count()
+    while n:
+        left = materialize(left.join(left.select(F.col("id").alias("needs")).distinct(), "needs", "left_semi").join(left.select(F.col("needs").alias("id")).distinct(), "id", "left_semi").select("id", "needs"), "edges")
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left.select("id").distinct()
+
+
+def readiness(tasks: DataFrame) -> DataFrame:
+    """(id, state) of pending tasks: runnable if every dependency is done, blocked_by_dep if one is blocked or deferred, invalid if one is missing, else waiting."""
+    status = tasks.select(F.col("id").alias("needs"), F.col("status").alias("_status"))
+    pending = tasks.where("status = 'pending'").select("id", F.explode_outer("depends_on").alias("needs"))
+    told = pending.join(status, "needs", "left").groupBy("id").agg(
+        F.bool_or(F.col("needs").isNotNull() & F.col("_status").isNull()).alias("missing"),
+        F.bool_or(F.coalesce(F.col("_status").isin("blocked", "deferred"), F.lit(False))).alias("blocked"),
+        F.bool_and(F.col("needs").isNull() | F.coalesce(F.col("_status") == "done", F.lit(False))).alias("ready"),
+    )
+    state = F.when(F.col("missing"), "invalid").when(F.col("blocked"), "blocked_by_dep").when(F.col("ready"), "runnable").otherwise("waiting")
+    return told.select("id", state.alias("state"))
+
+
+def next_task(tasks: DataFrame) -> DataFrame:
+    """The first runnable task by id, and how many there are: one row, with status 0, or 4 if nothing can run."""
+    counted = readiness(tasks).agg(F.min(F.when(F.col("state") == "runnable", F.col("id"))).alias("id"), F.count_if(F.col("state") == "runnable").alias("runnable"), F.count_if(F.col("state") == "blocked_by_dep").alias("blocked"))
+    return counted.withColumn("exit_code", F.when(F.col("runnable") > 0, 0).otherwise(4))
+
+
+def routed(role: Column, complexity: Column, models: dict[str, str], ladder: list[str], low_cap: str, high_floor: str, never_downgrade: list[str]) -> Column:
+    """The model of a role: no higher than low_cap for low complexity, no lower than high_floor for high; an unknown model ranks in the middle."""
+    base = F.element_at(F.create_map(*[F.lit(x) for pair in models.items() for x in pair]), role)
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in zip(ladder, range(len(ladder)), strict=True) for x in pair]), base), F.lit(len(ladder) // 2))
+    low = (complexity == "low") & ~role.isin(*never_downgrade) & (rank > ladder.index(low_cap))
+    high = (complexity == "high") & (rank < ladder.index(high_floor))
+    return F.when(low, low_cap).when(high, high_floor).otherwise(base)
+
+
+def resolve(tasks: DataFrame, models: dict[str, str], ladder: list[str], low_cap: str, high_floor: str, never_downgrade: list[str], role_k: dict[str, int], default_k: int = 6, allowed: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adds model, baseline, applied, k (the task's, else its role's, else the default) and skills (those that the role's group allows, all without a group)."""
+    lookup = lambda d: F.element_at(F.create_map(*[F.lit(x) if not isinstance(x, list) else F.array(*map(F.lit, x)) for pair in d.items() for x in pair]), F.col("role")) if d else F.lit(None)
+    model, base, group = routed(F.col("role"), F.coalesce("complexity", F.lit("medium")), models, ladder, low_cap, high_floor, never_downgrade), lookup(models), lookup(allowed or {})
+    skills = F.col("skills_to_load")
+    return tasks.withColumns({"model": model, "baseline": base, "applied": model != base, "k": F.coalesce("k", lookup(role_k), F.lit(default_k)), "skills": F.when(group.isNull(), skills).otherwise(F.array_intersect(skills, group)) if allowed else skills})
+
+
+def batches(files: DataFrame, max_files: int = 20, max_chars: int = 80_000) -> DataFrame:
+    """files (path, dir, n_chars) with part and seq: the batch is (dir, part, seq), files in it by path.
+
+    A folder's files in path order are parted where their running size passes another max_chars (so a batch may hold
+    one file more than that), and then every max_files. Siblings stay together, and no batch spans folders, so
+    folders are planned apart from one another.
+    """
+    order = Window.partitionBy("dir").orderBy("path")
+    before = F.coalesce(F.sum("n_chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parted = files.withColumn("part", F.floor(before / max_chars).cast("long"))
+    return parted.withColumn("seq", F.floor((F.row_number().over(Window.partitionBy("dir", "part").orderBy("path")) - 1) / max_files).cast("long"))
+
+
+def coverage(planned: DataFrame, reported: DataFrame) -> DataFrame:
+    """planned (dir, part, seq, path), reported (dir, part, seq) -> one row: batches, files, those reported, and whether all are, with exit_code 0, 1 or (nothing planned) 2."""
+    told = reported.select("dir", "part", "seq").distinct().withColumn("told", F.lit(1))
+    all_batches = planned.groupBy("dir", "part", "seq").agg(F.count("*").alias("files")).join(told, ["dir", "part", "seq"], "left")
+    counts = all_batches.agg(F.count("*").alias("batches"), F.count("told").alias("reported"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum(F.when(F.col("told") == 1, F.col("files"))), F.lit(0)).alias("covered"))
+    return counts.withColumn("exit_code", F.when(F.col("batches") == 0, 2).when(F.col("batches") == F.col("reported"), 0).otherwise(1))

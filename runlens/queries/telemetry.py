@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from runlens.functions import text
 from runlens.operators import cost, guards, registry, telemetry
 from runlens.queries import query, table
 from runlens.sources import adapters, readers
+from runlens.streaming import budgets
 
 _CALLS = """
 WITH calls AS (
@@ -273,3 +276,20 @@ SELECT session, (array_agg(path ORDER BY mtime DESC, path DESC) FILTER (WHERE su
 def newest_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("session"), F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("mtime"), (F.col("o_orderstatus") == "F").alias("subagent"))
     return readers.newest_transcript(files)
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be a file or a folder
+    return adapters.tool_log(rows).withColumn("run_id", F.lit("all"))
+
+
+@query(_CALLS + _BUDGET.format(total=f"count(*) {_OVER}", a=40, b=60, c=80, axis="calls"))
+def stream_budget_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = budgets.consume(budgets.budget_stream(_stream(spark, sf_dir), (40, 60, 80), (10**9,)), f"budgets-{uuid.uuid4().hex}")
+    return told.where("axis = 'calls'")
+
+
+@query(_CALLS + ", n AS (SELECT event_id, row_number() OVER (PARTITION BY task_id, date_trunc('week', ts) ORDER BY ts, event_id) AS call_number FROM calls WHERE tool = 'view') SELECT event_id, call_number, call_number <= 2 AS allowed FROM n")
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _stream(spark, sf_dir).withColumn("dispatched_at", F.date_trunc("week", "ts"))
+    return budgets.consume(budgets.rate_limit_stream(calls, "view"), f"limits-{uuid.uuid4().hex}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it isn't installed on them by other means."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later steps survive lost executors and never compute it again."""
     spark = df.sparkSession
