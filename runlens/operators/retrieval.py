@@ -56,9 +56,9 @@ def approximate(chunks: DataFrame, queries: DataFrame, dimensions: int, k: int =
     every = F.from_json(F.lit(json.dumps([p for t in range(tables) for p in planes(dimensions, bits, t)])), "array<array<double>>")
     side = lambda plane: F.when(F.aggregate(F.zip_with("embedding", plane, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v) > 0, "1").otherwise("0")
     signs = F.array_join(F.transform(every, side), "")
-    codes = F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.concat(t.cast("string"), F.lit(":"), F.substr(signs, t * bits + 1, F.lit(bits))))).alias("code")
-    right = chunks.where(F.size("embedding") == dimensions).select(key, codes)
-    left = queries.where(F.size("embedding") == dimensions).select("query", codes)
+    codes = F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.concat(t.cast("string"), F.lit(":"), F.substr(F.col("signs"), t * bits + 1, F.lit(bits))))).alias("code")
+    right = chunks.where(F.size("embedding") == dimensions).select(key, signs.alias("signs")).select(key, codes)
+    left = queries.where(F.size("embedding") == dimensions).select("query", signs.alias("signs")).select("query", codes)
     met = left.join(right, "code").select("query", key).distinct()
     pairs = met.join(chunks.select(key, "embedding"), key).join(queries.select("query", F.col("embedding").alias("_q")), "query")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
