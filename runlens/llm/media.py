@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +89,16 @@ def _chunked(files: list[bytes]) -> Iterator[tuple[int, list[bytes], list[bytes]
         begin, size = end, 0
 
 
+def _slices(batch: pa.RecordBatch, sizes: list[int | None], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes by the rows' sizes, so that a worker holds no more at a time than that and a row."""
+    begin = size = 0
+    for end, n in enumerate(sizes, 1):
+        size += n or 0
+        if size >= most or end == len(sizes):
+            yield batch.slice(begin, end - begin)
+            begin, size = end, 0
+
+
 def _slot(digest: bytes) -> int:
     return int.from_bytes(digest[:4], "little") % _FILTER_BITS
 
@@ -106,7 +117,7 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in _slices(b, pc.binary_length(b.column(0)).to_pylist())):
             found = [d for _, _, digests in _chunked([wav(payload_of(t)) for t in utf8(batch.column(0))]) for d in digests]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([_slot(d) for d in found], pa.int32())], ["digest", "slot"])
 
@@ -121,14 +132,18 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         shared = repeats.value
         names = ["doc_id", "n_bytes", "digests", "own", "digest", "data"]
         kinds = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary(), pa.binary()]
-        for batch in batches:
+        sent: set[bytes] = set()
+        for batch in (s for b in batches for s in _slices(b, pc.binary_length(b.column(1)).to_pylist())):
             texts, put = utf8(batch.column(1)), {}
+            if len(sent) > 100_000:
+                sent.clear()
             sizes, lists, kept = [], [], []
             for i, chunks, digests in _chunked([wav(payload_of(t)) for t in texts]):
                 sizes.append(len(texts[i]))
                 lists.append(digests)
                 kept.append([None if shared[_slot(d)] else zlib.compress(c, 6) for c, d in zip(chunks, digests, strict=True)])
-                put.update((d, c) for c, d in zip(chunks, digests, strict=True) if shared[_slot(d)])
+                put.update((d, c) for c, d in zip(chunks, digests, strict=True) if shared[_slot(d)] and d not in sent)
+                sent.update(put)
             n, m = len(texts), len(put)
             files = [pa.array(x, k) for x, k in zip((sizes, lists, kept, [None] * n, [None] * n), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *files], names)
@@ -142,16 +157,37 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files, materialize(chunks, "media-chunks", compression="uncompressed")
 
 
-def read_media(files: DataFrame, chunks: DataFrame) -> DataFrame:
+_FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _described(files: list[bytes]) -> list[pa.Array]:
+    """The columns of _FEATURES."""
+    rows = []
+    for file in files:
+        payload = samples_of(file)
+        x = np.frombuffer(payload, np.uint8)
+        n, high = len(x), x >= 128
+        counts = np.bincount(x, minlength=256).astype(np.int64)
+        values = np.arange(256) - 128
+        mean, power = int(counts @ values) / n, int(counts @ values**2) / n
+        rows.append((n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), f"mean={mean:.4f};rms={power**0.5:.4f};zcr={int((high[1:] != high[:-1]).sum()) / max(1, n - 1):.4f}"))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)]
+
+
+def read_media(files: DataFrame, chunks: DataFrame, describe: bool = False) -> DataFrame:
     """(doc_id, n_bytes, media): each file put together from its chunk list, every chunk checked against its digest.
 
-    Files that have all their chunks need no shuffle; the others' missing ones come by a join on the digest.
+    Files that have all their chunks need no shuffle; the others' missing ones come by a join on the digest. With
+    describe, in place of media what features adds to it, computed where the file is put together.
     """
     prepare(files.sparkSession)
     kind = files.schema["doc_id"].dataType.simpleString()
+    told = _FEATURES if describe else "media binary"
+    names = ["doc_id", "n_bytes", *(c.split()[0] for c in told.split(", "))]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in _slices(b, b.column(1).to_pylist())):
             made = []
             for digests, own, fetched in zip(*(batch.column(c).to_pylist() for c in ("digests", "own", "fetched")), strict=True):
                 got = {f["place"]: f["data"] for f in fetched or ()}
@@ -159,40 +195,30 @@ def read_media(files: DataFrame, chunks: DataFrame) -> DataFrame:
                 if any(hashlib.blake2b(p, digest_size=16).digest() != d for p, d in zip(parts, digests, strict=True)):
                     raise ValueError("a chunk differs from its digest")
                 made.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(_described(made) if describe else [pa.array(made, pa.binary())])], names)
 
     whole = files.where(~F.exists("own", lambda c: c.isNull())).withColumn("fetched", F.expr("cast(null AS array<struct<place:int,data:binary>>)"))
     parted = files.where(F.exists("own", lambda c: c.isNull())).withColumn("row", F.struct("doc_id", "n_bytes", F.xxhash64("digests"), F.xxhash64(F.reverse("digests"))))
     places = parted.select("row", F.posexplode(F.arrays_zip("digests", "own")).alias("place", "c")).where("c.own IS NULL").select("row", "place", F.col("c.digests").alias("digest")).distinct()
     fetched = places.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("place", "data")).alias("fetched"))
     joined = parted.join(fetched, parted["row"].eqNullSafe(fetched["row"])).select("doc_id", "n_bytes", "digests", "own", "fetched")
-    return whole.unionByName(joined).select("doc_id", "n_bytes", "digests", "own", "fetched").mapInArrow(build, f"doc_id {kind}, n_bytes long, media binary")
+    return whole.unionByName(joined).select("doc_id", "n_bytes", "digests", "own", "fetched").mapInArrow(build, f"doc_id {kind}, n_bytes long, {told}")
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Adds payload (the samples), its sha256, the crc32 of its last 32, and feature: mean, root mean square and share of sign changes of the samples.
+    """In place of media: size and sha256 of the payload (the samples), the crc32 of its last 32, size and sha256 of the file, and feature: mean, root mean square and share of sign changes of the samples.
 
     Samples stand for values from -128 to 127 around the middle 128.
     """
     prepare(media.sparkSession)
     kind = media.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_bytes", *(c.split()[0] for c in _FEATURES.split(", "))]
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for file in batch.column(2).to_pylist():
-                payload = samples_of(file)
-                x = np.frombuffer(payload, np.uint8)
-                n, high = len(x), x >= 128
-                counts = np.bincount(x, minlength=256).astype(np.int64)
-                values = np.arange(256) - 128
-                mean, power = int(counts @ values) / n, int(counts @ values**2) / n
-                rows.append((n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), f"mean={mean:.4f};rms={power**0.5:.4f};zcr={int((high[1:] != high[:-1]).sum()) / max(1, n - 1):.4f}"))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in _slices(b, b.column(1).to_pylist())):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_described(batch.column(2).to_pylist())], names)
 
-    return media.mapInArrow(describe, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(tell, f"doc_id {kind}, n_bytes long, {_FEATURES}")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -202,4 +228,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
     give a row each; an empty table gives an empty one; other columns are left out.
     """
     files, chunks = store_media(docs)
-    return features(read_media(files, chunks))
+    return read_media(files, chunks, describe=True)
