@@ -1,0 +1,114 @@
+import itertools
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from runlens.llm import decontam, licenses, packing, secrets, tokens
+
+
+def whole(name, text):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_packed_words_round_trip():
+    rng = np.random.default_rng(1)
+    for bits in (0, 1, 3, 7, 16, 31, 59):
+        for n in (0, 1, 7, 239, 240, 241, 1000):
+            ids = rng.integers(0, 1 << bits, n, dtype=np.uint64) if bits else np.zeros(n, np.uint64)
+            assert (tokens.unpack(tokens.pack(ids)) == ids).all()
+
+
+def test_token_blocks_match_the_library(awkward, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = awkward.where("doc_id IS NOT NULL AND doc_id NOT IN (5, 6, 7)")
+    got = tokens.read_token_blocks(tokens.write_token_blocks(rows, path, block_ids=40)).collect()
+    at = 0
+    for r, own in zip(sorted(got, key=lambda r: (r["doc_id"], r["start"])), sorted(rows.collect(), key=lambda r: r["doc_id"]), strict=True):
+        ids = [*whole("byte_bpe_50k.json", own["text"]), 0]
+        assert (r["doc_id"], r["start"], r["n_tokens"]) == (own["doc_id"], at, len(ids)) and np.frombuffer(r["ids"], "<u4").tolist() == ids
+        at += len(ids)
+    assert tokens.read_token_blocks(tokens.write_token_blocks(empty, path)).count() == 0
+
+
+def test_packing_holds_each_id_once(awkward, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    pieces = packing.pack_documents(rows, path).collect()
+    for own in rows.collect():
+        mine = sorted((p for p in pieces if p["doc_id"] == own["doc_id"]), key=lambda p: p["start"])
+        assert np.frombuffer(b"".join(p["ids"] for p in mine), "<u4").tolist() == [*whole("word_bpe_49k.json", own["text"]), 1]
+        assert [p["start"] for p in mine] == [sum(q["length"] for q in mine[:i]) for i in range(len(mine))]
+    padding = total = 0
+    for _, group in itertools.groupby(sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])), key=lambda p: p["sequence_id"]):
+        at = 0
+        for p in group:
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+        total += at
+    assert padding < 0.1 * total and packing.pack_documents(empty, path).count() == 0
+
+
+def edits(item, text):
+    """The least edits that turn a part of text into item."""
+    row = [0] * (len(text) + 1)
+    for c in item:
+        last, row = row, [row[0] + 1]
+        for j, d in enumerate(text):
+            row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+    return min(row)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_matches_edit_distance(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 7)))
+    items = [" ".join(word() for _ in range(rng.randrange(14, 30))) for _ in range(6)]
+    index = decontam.Items(list(range(6)), items, 0.1)
+    for _ in range(25):
+        i = rng.randrange(6)
+        copy = list(items[i])
+        for _ in range(rng.randrange(0, 22)):
+            j = rng.randrange(len(copy))
+            rng.choice([lambda: copy.__setitem__(j, rng.choice("xyz")), lambda: copy.pop(j), lambda: copy.insert(j, "q")])()
+        text = " ".join([word() for _ in range(20)] + ["".join(copy).upper()] + [word() for _ in range(20)])
+        flat = re.sub(r"\s+", " ", text.lower())
+        wanted = {k for k in range(6) if edits(items[k], flat) <= index.budgets[k]}
+        assert {m[1] for m in index.matches([text])} == wanted
+
+
+def test_secrets(awkward, empty):
+    field = secrets.learn(awkward)
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan_secrets(awkward, field).collect() if r["doc_id"] is not None}
+    assert [k for k, *_ in found[14]][:3] == ["assign", "access", "hex"] and found[0] == found[1] == []
+    assert secrets.scan_secrets(empty, field).count() == 0
+
+
+def test_viterbi_finds_the_best_tags():
+    rng = np.random.default_rng(4)
+    transition = rng.normal(size=(3, 3))
+    transition[secrets.OUTSIDE, secrets.INSIDE] = -1e4
+    field = secrets.Field(rng.normal(size=(secrets.FEATURES, 3)), transition)
+    for n in (1, 2, 4):
+        run = rng.integers(0, secrets.FEATURES, (n, 5)).tolist()
+
+        def value(tags, run=run):
+            way = [secrets.OUTSIDE, *tags, secrets.OUTSIDE]
+            return sum(transition[a, b] for a, b in zip(way, way[1:], strict=False)) + sum(field.emission[f, t].sum() for f, t in zip(run, tags, strict=True))
+
+        assert value(field.decode(run)) == pytest.approx(max(map(value, itertools.product(range(3), repeat=n))))
+
+
+def test_licenses(spark, awkward, empty):
+    texts = ["MIT License, mit-license; Apache  LICENSE", "licensed under the Apache License, Version 2.0", "released under the terms of the MIT License", "mit x license", None]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) for r in rows] == [
+        (6, 3, 0, 4, "apache,mit", "apache,mit", 0.5), (8, 1, 3, 3, "apache", "apache,apache-2.0", 1.0), (8, 1, 6, 6, "mit", "mit,mit-notice", 1.0), (3, 0, None, None, "", "", 0.0), (0, 0, None, None, "", "", 0.0)]
+    assert licenses.scan_licenses(awkward).count() == awkward.count() and licenses.scan_licenses(empty).count() == 0
