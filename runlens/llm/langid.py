@@ -202,12 +202,29 @@ def _entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(judge, f"{kinds}, lang_pred string, score double, cross_entropy double, n_symbols long, rejected boolean")
 
 
-def learn(labelled: DataFrame, calibration_rows: int = 5000, slots: int = 1 << 22) -> Model | None:
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """Sets the limits of rejection from all of rows (lang, text): the 99.9th percentile of each language's cross-entropies, in steps of 1/1024 bit.
+
+    Only rows predicted as labelled count. A language without any takes the percentile over the rows of all languages
+    that are, or where there are none, over all rows with a letter. What is gathered has a row for each language and step.
+    """
+    known = _entropies(rows, model, ["lang"]).where("n_symbols > 0 AND lang_pred <> 'und'")
+    steps = known.groupBy("lang", (F.col("lang_pred") == F.col("lang")).alias("right"), (F.ceil(F.col("cross_entropy") * 1024) / 1024).alias("bits")).agg(F.count("*").alias("n"))
+    steps = materialize(steps, "calibration")
+    usual = F.percentile("bits", F.lit(0.999), F.col("n")).alias("limit")
+    pooled = [steps.where(which).agg(usual).first()["limit"] for which in ("right", "true")]
+    model.limits[:] = next((x for x in pooled if x is not None), np.inf)
+    number = {x: i for i, x in enumerate(model.langs)}
+    for row in steps.where("right").groupBy("lang").agg(usual).collect():
+        model.limits[number[row["lang"]]] = row["limit"]
+
+
+def learn(labelled: DataFrame, slots: int = 1 << 22) -> Model | None:
     """A model of the languages in labelled (doc_id, lang, text), or None if no row has both a lang and a symbol.
 
     All rows are counted, in Spark. The tables that the driver gets hold at most `slots` sequences of each order and
     language (sequences whose hashes meet share a slot, the counts together under the smallest), so what is broadcast
-    has a bound that doesn't grow with the corpus. The limits of rejection are calibrated on calibration_rows rows.
+    has a bound that doesn't grow with the corpus. The limits of rejection are calibrated on all rows.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     highest = materialize(count_grams(rows), "gram-counts")
@@ -225,11 +242,7 @@ def learn(labelled: DataFrame, calibration_rows: int = 5000, slots: int = 1 << 2
     number = {x: i for i, x in enumerate(langs)}
     lang = np.array([number[x] for x in got["lang"].to_pylist()])
     model = Model(langs, got["k"].to_numpy(), lang, got["gram"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy())
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
-    known = _entropies(rows.join(F.broadcast(ids), "doc_id"), model, ["lang"])
-    usual = known.where("n_symbols > 0 AND lang_pred = lang").groupBy("lang").agg(F.percentile("cross_entropy", F.lit(0.999)).alias("limit"))
-    for row in usual.collect():
-        model.limits[number[row["lang"]]] = row["limit"]
+    _calibrate(model, rows)
     return model
 
 

@@ -52,6 +52,25 @@ def test_language_model_matches_plain_counting(spark, awkward, empty):
     assert langid.identify(empty, model).count() == 0 and langid.learn(empty) is None
 
 
+def test_a_stray_label_has_a_limit_of_its_own(spark):
+    rng = random.Random(9)
+    say = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(n))
+    rows = [(i, "ab"[i % 2], say(("abcde", "cdefg")[i % 2], 6)) for i in range(12_000)]
+    strays = [(20_000 + i, x, say("hijklmnop", 60)) for i, x in enumerate(("xx", "yy", "zz"))]
+    foreign = spark.createDataFrame([(i, say("qrstuvwxyzäöüßéèñ", 80)) for i in range(20)], "doc_id long, text string")
+    for stray in strays:
+        model = langid.learn(spark.createDataFrame([*rows, stray], "doc_id long, lang string, text string"))
+        assert all(math.isfinite(x) for x in model.limits)
+        assert langid.identify(foreign, model).where("rejected").count() == 20
+        assert langid.identify(spark.createDataFrame([stray, rows[0]], "doc_id long, lang string, text string"), model).where("rejected").count() == 0
+
+
+def test_a_label_never_predicted_takes_the_pooled_limit(spark):
+    rows = [(i, x, "abab baba abba") for i in range(4) for x in "ab"]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.limits[0] == model.limits[1] < 5
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     told = queries.op1_language_id(spark, f"{DATA}/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
