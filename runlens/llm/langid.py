@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,11 +123,13 @@ class Model:
     """Interpolated Kneser-Ney: log2 probabilities of all sequences that some language has, for every language at once.
 
     rows: (order, language number, sequence, count), the count being occurrences at the highest order and distinct
-    symbols before the sequence at the lower ones.
+    symbols before the sequence at the lower ones. Of the sequences of two symbols and more, a model can have those
+    alone whose last symbol but one is `part` by the remainder to `parts`: with all single symbols, the discounts (by order and language) and
+    the number of symbols, which come from all rows, these have everything that their probabilities depend on.
     """
 
-    def __init__(self, langs: list[str], order: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> None:
-        self.langs, width = langs, len(langs)
+    def __init__(self, width: int, order: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, discounts: np.ndarray, part: int = 0, parts: int = 1) -> None:
+        self.width, self.part, self.parts = width, part, parts
         self.logs, self.found, self.contexts, self.weights = [], [], [], []
         symbols = len(np.unique(gram[order == 1])) + 1
         for k in range(1, ORDER + 1):
@@ -133,9 +137,7 @@ class Model:
             keys, which = np.unique(gram[here], return_inverse=True)
             counts = np.zeros((len(keys), width))
             np.add.at(counts, (which, lang[here]), n[here])
-            ones, twos = (counts == 1).sum(axis=0), (counts == 2).sum(axis=0)
-            discount = np.where(ones > 0, ones / np.maximum(1, ones + 2 * twos), 0.5)
-            discount = np.clip(discount, 0.05, 0.95)
+            discount = discounts[k - 1]
             contexts, of = np.unique(keys >> np.uint64(16), return_inverse=True)
             total, kinds = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
             np.add.at(total, of, counts)
@@ -148,61 +150,139 @@ class Model:
             self.contexts.append(Sorted(contexts))
             self.weights.append(np.log2(weight).astype(np.float32))
         self.unknown = -math.log2(symbols)
-        #: By language: the largest cross-entropy that is usual in it.
-        self.limits = np.full(width, np.inf)
 
     def _log(self, k: int, sequences: np.ndarray) -> np.ndarray:
         if k == 0:
-            return np.full((len(sequences), len(self.langs)), self.unknown, np.float32)
+            return np.full((len(sequences), self.width), self.unknown, np.float32)
         at = self.found[k - 1].find(sequences)
-        out = self.logs[k - 1][at]
+        out = self.logs[k - 1][at] if len(self.logs[k - 1]) else np.empty((len(sequences), self.width), np.float32)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             rest = sequences[missing]
+            out[missing] = self._log(k - 1, rest & np.uint64((1 << 16 * (k - 1)) - 1)) if k > 1 else self.unknown
             context = self.contexts[k - 1].find(rest >> np.uint64(16))
-            weight = np.where(context[:, None] >= 0, self.weights[k - 1][context], np.float32(0))
-            out[missing] = weight + (self._log(k - 1, rest & np.uint64((1 << 16 * (k - 1)) - 1)) if k > 1 else self.unknown)
+            known = context >= 0
+            out[missing[known]] += self.weights[k - 1][context[known]]
         return out
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy in bits a symbol by text and language, number of symbols, whether there is a letter."""
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits by text and language of the symbols in this part, number of all symbols, whether there is a letter."""
         codes, begins = symbols(texts)
         places, packed = grams(codes)
         cuts = np.searchsorted(places, begins)
-        logs = np.concatenate((np.zeros((1, len(self.langs))), np.cumsum(self._log(ORDER, packed), axis=0, dtype=np.float64)))
         letters = np.concatenate(([0], np.cumsum(codes[places] != _OTHER)))
-        n = np.diff(cuts)
-        return (logs[cuts[:-1]] - logs[cuts[1:]]) / np.maximum(n, 1)[:, None], n, letters[cuts[1:]] > letters[cuts[:-1]]
+        own = cuts
+        if self.parts > 1:
+            mine = (packed >> np.uint64(16) & np.uint64(0xFFFF)) % np.uint64(self.parts) == self.part
+            packed, own = packed[mine], np.concatenate(([0], np.cumsum(mine)))[cuts]
+        logs = np.concatenate((np.zeros((1, self.width)), np.cumsum(self._log(ORDER, packed), axis=0, dtype=np.float64)))
+        return logs[own[:-1]] - logs[own[1:]], np.diff(cuts), letters[cuts[1:]] > letters[cuts[:-1]]
+
+
+class Learned:
+    """What is known of the languages: true counts (k, lang, gram, n) of all sequences in a table, and small numbers about them.
+
+    The table grows with the corpus, so its models are made and sent out in parts, each of about `cells` sequences times languages:
+    the driver has one part at a time, and so has a Python worker. All sequences that a symbol's probability can
+    depend on have the same last symbol but one, by which parts are made; a part is never smaller than what the most
+    frequent symbol has.
+    """
+
+    def __init__(self, tables: DataFrame, cells: int) -> None:
+        self.tables, self._sent = tables, {}
+        told = tables.groupBy("k", "lang").agg(F.count("*").alias("rows"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()
+        self.langs = sorted({r["lang"] for r in told})
+        number = {x: i for i, x in enumerate(self.langs)}
+        self.discounts = np.full((ORDER, len(self.langs)), 0.5)
+        for r in told:
+            if r["ones"]:
+                self.discounts[r["k"] - 1, number[r["lang"]]] = min(0.95, max(0.05, r["ones"] / (r["ones"] + 2 * r["twos"])))
+        self.parts = min(1 << 16, max(1, -(-sum(r["rows"] for r in told) * len(self.langs) // cells)))
+        #: By language: the largest cross-entropy that is usual in it.
+        self.limits = np.full(len(self.langs), np.inf)
+
+    def sent(self, part: int) -> Broadcast:
+        if part not in self._sent:
+            own = self.tables if self.parts == 1 else self.tables.where((F.col("k") == 1) | (F.shiftright("gram", 16).bitwiseAND(0xFFFF) % self.parts == part))
+            got = own.select("k", "lang", "gram", "n").toArrow()
+            lang = pc.index_in(got["lang"], value_set=pa.array(self.langs, got["lang"].type)).to_numpy()
+            model = Model(len(self.langs), got["k"].to_numpy(), lang, got["gram"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy(), self.discounts, part, self.parts)
+            self._sent[part] = self.tables.sparkSession.sparkContext.broadcast(model)
+        return self._sent[part]
+
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy in bits a symbol by text and language, number of symbols, whether there is a letter."""
+        told = [self.sent(part).value.sums(texts) for part in range(self.parts)]
+        _, n, letters = told[0]
+        return sum(bits for bits, _, _ in told) / np.maximum(n, 1)[:, None], n, letters
 
 
-def _entropies(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def _slices(batch: pa.RecordBatch, size: int = 300_000) -> Iterator[tuple[int, list[str]]]:
+    """The texts of the last column in lists of about that many characters, and where each begins."""
+    texts, begin, held = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()], 0, 0
+    for end, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= size or end == len(texts):
+            yield begin, texts[begin:end]
+            begin, held = end, 0
+
+
+def _entropies(docs: DataFrame, learned: Learned, keep: list[str]) -> DataFrame:
     """The columns keep, and lang_pred, score, cross_entropy, n_symbols, rejected of docs."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    langs, limits = learned.langs, learned.limits
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    names_out = [*keep, "lang_pred", "score", "cross_entropy", "n_symbols", "rejected"]
+    schema = f"{kinds}, lang_pred string, score double, cross_entropy double, n_symbols long, rejected boolean"
+
+    def judged(bits: np.ndarray, n: np.ndarray, letters: np.ndarray) -> list[pa.Array]:
+        bits = bits / np.maximum(n, 1)[:, None]
+        best = bits.argmin(axis=1)
+        least = bits[np.arange(len(best)), best]
+        odds = np.exp2(-(bits - least[:, None]) * np.minimum(n, 20)[:, None]).sum(axis=1)
+        limit = limits[best] + 1 + 10 / np.sqrt(np.maximum(n, 1))
+        names = [langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
+        return [pa.array(names, pa.string()), pa.array(np.where(letters, 1 / odds, 0.0)), pa.array(np.where(letters, least, 0.0)), pa.array(n, pa.int64()), pa.array(~letters | (least > limit))]
+
+    text = F.col("text").cast("string").alias("_text")
+    if learned.parts == 1:
+        shared = learned.sent(0)
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for begin, texts in _slices(batch):
+                    yield pa.RecordBatch.from_arrays([*(c.slice(begin, len(texts)) for c in batch.columns[:-1]), *judged(*shared.value.sums(texts))], names_out)
+
+        return docs.select(*keep, text).mapInArrow(judge, schema)
+
+    numbered = materialize(docs.select(*keep, F.monotonically_increasing_id().alias("_row"), text), "numbered-texts")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+    def adder(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        shared = learned.sent(part)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for begin, texts in _slices(batch):
+                    bits, n, letters = shared.value.sums(texts)
+                    sums = pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), len(langs)).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array([part] * len(texts), pa.int32()), sums, pa.array(n, pa.int64()), pa.array(letters)], ["_row", "_part", "_bits", "_n", "_letters"])
+
+        return add
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, begin, size = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()], 0, 0
-            for end, text in enumerate(texts, 1):
-                size += len(text)
-                if size < 300_000 and end < len(texts):
-                    continue
-                bits, n, letters = model.score(texts[begin:end])
-                best = bits.argmin(axis=1)
-                least = bits[np.arange(len(best)), best]
-                odds = np.exp2(-(bits - least[:, None]) * np.minimum(n, 20)[:, None]).sum(axis=1)
-                limit = model.limits[best] + 1 + 10 / np.sqrt(np.maximum(n, 1))
-                names = [model.langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-                told = [pa.array(names, pa.string()), pa.array(np.where(letters, 1 / odds, 0.0)), pa.array(np.where(letters, least, 0.0)), pa.array(n, pa.int64()), pa.array(~letters | (least > limit))]
-                yield pa.RecordBatch.from_arrays([*(c.slice(begin, end - begin) for c in batch.columns[:-1]), *told], [*keep, "lang_pred", "score", "cross_entropy", "n_symbols", "rejected"])
-                begin, size = end, 0
-
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(judge, f"{kinds}, lang_pred string, score double, cross_entropy double, n_symbols long, rejected boolean")
-
-
-def _calibrate(model: Model, rows: DataFrame) -> None:
+            if batch.num_rows:
+                bits = np.array([np.sum([p["_bits"] for p in parts], axis=0) for parts in batch.column(batch.num_columns - 3).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *judged(bits, batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))], names_out)
+
+    # Each part's sums are written before the next part is sent, so a worker never needs two of them.
+    each = [materialize(numbered.select("_row", "_text").mapInArrow(adder(part), "_row long, _part int, _bits array<double>, _n long, _letters boolean"), "part-sums") for part in range(learned.parts)]
+    every = functools.reduce(DataFrame.unionByName, each)
+    added = every.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_part", "_bits"))).alias("_parts"), F.first("_n").alias("_n"), F.first("_letters").alias("_letters"))
+    return numbered.join(added, "_row").select(*keep, "_parts", "_n", "_letters").mapInArrow(whole, schema)
+
+
+def _calibrate(model: Learned, rows: DataFrame) -> None:
     """Sets the limits of rejection from all of rows (lang, text): the 99.9th percentile of each language's cross-entropies, in steps of 1/1024 bit.
 
     Only rows predicted as labelled count. A language without any takes the percentile over the rows of all languages
@@ -219,34 +299,27 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
         model.limits[number[row["lang"]]] = row["limit"]
 
 
-def learn(labelled: DataFrame, slots: int = 1 << 22) -> Model | None:
-    """A model of the languages in labelled (doc_id, lang, text), or None if no row has both a lang and a symbol.
+def learn(labelled: DataFrame, cells: int = 1 << 23) -> Learned | None:
+    """What is known of the languages in labelled (doc_id, lang, text), or None if no row has both a lang and a symbol.
 
-    All rows are counted, in Spark. The tables that the driver gets hold at most `slots` sequences of each order and
-    language (sequences whose hashes meet share a slot, the counts together under the smallest), so what is broadcast
-    has a bound that doesn't grow with the corpus. The limits of rejection are calibrated on all rows.
+    All rows are counted, in Spark, and every sequence keeps its own count; models are made in parts of about `cells`
+    sequences times languages (see Learned). The limits of rejection are calibrated on all rows.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     highest = materialize(count_grams(rows), "gram-counts")
-    orders, table = [], highest
-    for k in range(ORDER, 0, -1):
-        orders.append(table.withColumn("k", F.lit(k)))
-        if k > 1:
-            table = table.groupBy("lang", F.col("gram").bitwiseAND((1 << 16 * (k - 1)) - 1).alias("gram")).agg(F.count("*").alias("n"))
-    every = functools.reduce(DataFrame.unionByName, orders)
-    slotted = every.groupBy("k", "lang", F.pmod(F.xxhash64("gram"), F.lit(slots)).alias("slot")).agg(F.min("gram").alias("gram"), F.sum("n").alias("n"))
-    got = slotted.select("k", "lang", "gram", "n").toArrow()
-    if not got.num_rows:
+    lower, table = [], highest
+    for k in range(ORDER - 1, 0, -1):
+        table = table.groupBy("lang", F.col("gram").bitwiseAND((1 << 16 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
+        lower.append(table.withColumn("k", F.lit(k)))
+    lower = materialize(functools.reduce(DataFrame.unionByName, lower), "lower-counts")
+    learned = Learned(highest.withColumn("k", F.lit(ORDER)).unionByName(lower), cells)
+    if not learned.langs:
         return None
-    langs = sorted(set(got["lang"].unique().to_pylist()))
-    number = {x: i for i, x in enumerate(langs)}
-    lang = np.array([number[x] for x in got["lang"].to_pylist()])
-    model = Model(langs, got["k"].to_numpy(), lang, got["gram"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy())
-    _calibrate(model, rows)
-    return model
+    _calibrate(learned, rows)
+    return learned
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Learned | None, keep: list[str] | None = None) -> DataFrame:
     """docs' columns keep (doc_id) with lang_pred, score, cross_entropy, n_symbols, rejected.
 
     lang_pred is the language whose model gives the text the lowest cross-entropy a symbol (ties: the first by name),

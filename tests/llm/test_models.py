@@ -71,6 +71,24 @@ def test_a_label_never_predicted_takes_the_pooled_limit(spark):
     assert model.limits[0] == model.limits[1] < 5
 
 
+def test_no_sequence_is_left_out_however_many_there_are(spark):
+    rng = random.Random(10)
+    say = lambda first: "".join(chr(first + rng.randrange(4000)) for _ in range(20_000))
+    by = {"a": [say(0x4E00), say(0x4E00)], "b": [say(0x5800)]}
+    labelled = spark.createDataFrame([(i, x, t) for x in by for i, t in enumerate(by[x])], "doc_id long, lang string, text string")
+    symbols = len({c for ts in by.values() for t in ts for c in t}) + 1
+    docs = spark.createDataFrame([(0, by["a"][0]), (1, by["b"][0][:500]), (2, say(0x5200)[:300]), (3, None), (4, "?!"), (2, "again")], "doc_id long, text string")
+    told = []
+    for cells in (1 << 23, 60_000):
+        model = langid.learn(labelled, cells=cells)
+        bits, _, _ = model.score([by["a"][0][:2000]])
+        assert bits[0].tolist() == pytest.approx([brute_entropy(by[x], by["a"][0][:2000], symbols) for x in by], rel=1e-4)
+        told.append((model.parts, sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in langid.identify(docs, model).collect())))
+    assert told[0][0] == 1 < told[1][0] and told[0][1] == told[1][1] and len(told[0][1]) == 6
+    tables = model.tables.where("k = 4 AND lang = 'a'")
+    assert tables.count() == len({("\x01\x01\x01" + t)[i : i + 4] for t in by["a"] for i in range(len(t))})
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     told = queries.op1_language_id(spark, f"{DATA}/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
