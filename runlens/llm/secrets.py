@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import prepare
+from runlens.llm.common import materialize, prepare
 
 #: Kinds in their order, pattern, group whose length counts, least length.
 BASE = [
@@ -28,26 +29,31 @@ _PATTERNS = {k: (re.compile(p, re.ASCII | (re.IGNORECASE if k == "assign" else 0
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = bytes(1 if chr(c) in "0123456789abcdef" else 0 for c in range(256))
 _DIGITS = b"0123456789"
-_TOKEN = re.compile(r"[A-Za-z0-9_+/=.-]+|[^\sA-Za-z0-9_+/=.-]")
+#: Tokens of a text, and the ends of its lines.
+_TOKEN = re.compile(r"[A-Za-z0-9_+/=.-]+|[^\sA-Za-z0-9_+/=.-]|\n")
 BEGIN, INSIDE, OUTSIDE = range(3)
 FEATURES = 4096
+#: A token's neighbours that are features of it, and the most tokens of a line that the field is fitted to at once.
+_NEAR = (-3, -2, -1, 1)
+LENGTH = 16
+_LINE = re.compile(r"[^\n]+")
 
 Span = tuple[int, int, str]
 
 
-def base_spans(text: str, raw: bytes) -> list[Span]:
-    """(start, end, kind) of the fixed patterns; raw is the text's UTF-8, in which a quick search tells what can't match."""
+def base_spans(text: str, raw: bytes, value: bool = False) -> list[Span]:
+    """(start, end, kind) of the fixed patterns, or of their secrets alone (value); raw is the text's UTF-8, in which a quick search tells what can't match."""
     found = []
     low = raw.lower()
     for kind, (pattern, group, least) in _PATTERNS.items():
         if kind == "assign" and not any(w in low for w in _WORDS) or kind == "access" and b"AKIA" not in raw or kind == "hex" and b"\x01" * 32 not in raw.translate(_HEX):
             continue
-        found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if len(m[group]) >= least]
+        found += [(m.start(group if value else 0), m.end(group if value else 0), kind) for m in pattern.finditer(text) if len(m[group]) >= least]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def is_candidate(token: str) -> bool:
-    """Only tokens of 8 characters or more with a digit can be part of a tagged secret; the field holds all others to outside."""
+def _opaque(token: str) -> bool:
+    """Tokens of 8 characters or more with a digit are rarely words: as neighbours all are the same feature."""
     return len(token) >= 8 and any(c in "0123456789" for c in token)
 
 
@@ -60,61 +66,148 @@ def _shape(token: str) -> list[str]:
     return [f"len{min(n // 8, 8)}", f"digits{4 * kinds['d'] // n}", f"mix{int(kinds['u'] > 0)}{int(kinds['l'] > 0)}{int(kinds['d'] > 0)}{int(kinds['s'] > 0)}", f"entropy{int(entropy)}", f"hex{int(hexes)}{min(n // 16, 4)}", f"outline{outline}", f"only{int(kinds['d'] == n)}{min(n // 4, 8)}"]
 
 
-def candidate_runs(text: str, raw: bytes) -> Iterator[tuple[list[tuple[int, int]], list[list[int]]]]:
-    """Runs of neighbouring candidate tokens in a line: their places, and each token's features (hashed, at most FEATURES).
+@functools.lru_cache(1 << 16)
+def _known(token: str) -> tuple[list[int], list[int]]:
+    """Features (hashed, at most FEATURES) of a token's shape, and those that it gives to tokens near it, by _NEAR."""
+    told = "-" if _opaque(token) or token == "\n" else token.lower()[:12]
+    number = lambda f: zlib.crc32(f.encode("utf-8", "replace")) % FEATURES
+    return [number(f) for f in _shape(token)], [number(f"at{d}:{told}") for d in _NEAR]
 
-    Features are the token's shape, the tokens around it, and the file's share of digits, of signs and its length.
-    """
-    if len(raw.translate(None, _DIGITS)) == len(raw):
-        return
+
+def _file(raw: bytes) -> list[int]:
+    """Features of a text: its share of digits, of signs, its length; and one that is always there."""
     n = max(1, len(raw))
     digits, signs = n - len(raw.translate(None, _DIGITS)), n - len(raw.translate(None, b"=:{}();<>$#\"'"))
-    file = [f"filedigits{min(9, int(math.log2(1 + 1000 * digits / n)))}", f"filesigns{min(9, int(math.log2(1 + 1000 * signs / n)))}", f"filelen{int(math.log10(n))}"]
-    begin = 0
-    for line in text.split("\n"):
-        if re.search("[0-9]", line):
-            tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(line)]
-            places, features = [], []
-            for i, (start, end, token) in enumerate(tokens):
-                if is_candidate(token):
-                    near = [f"at{d}:{tokens[i + d][2].lower()[:12] if 0 <= i + d < len(tokens) and not is_candidate(tokens[i + d][2]) else '-'}" for d in (-3, -2, -1, 1)]
-                    places.append((begin + start, begin + end))
-                    features.append([zlib.crc32(f.encode()) % FEATURES for f in (*_shape(token), *near, *file, "any")])
-                elif places:
-                    yield places, features
-                    places, features = [], []
-            if places:
-                yield places, features
-        begin += len(line) + 1
+    return [zlib.crc32(f.encode()) % FEATURES for f in (f"filedigits{min(9, int(math.log2(1 + 1000 * digits / n)))}", f"filesigns{min(9, int(math.log2(1 + 1000 * signs / n)))}", f"filelen{int(math.log10(n))}", "any")]
+
+
+def line_features(tokens: list[str], file: list[int]) -> list[list[int]]:
+    """The features of each token of a line."""
+    near = [_known(t)[1] for t in tokens]
+    none = _known("\n")[1]
+    return [[*_known(t)[0], *(near[i + d][j] if 0 <= i + d < len(tokens) else none[j] for j, d in enumerate(_NEAR)), *file] for i, t in enumerate(tokens)]
 
 
 class Field:
-    """Weights of features by tag, and of tags by the tag before. A run has an outside tag at both its ends; inside never follows outside."""
+    """Weights of features by tag, and of tags by the tag before. A line has an outside tag at both its ends; inside never follows outside."""
 
     def __init__(self, emission: np.ndarray, transition: np.ndarray) -> None:
         self.emission, self.transition = emission, transition
 
     def decode(self, features: list[list[int]]) -> list[int]:
         """The most likely tags (Viterbi); ties go to the first of begin, inside, outside."""
+        return self.best(np.array([self.emission[f].sum(axis=0) for f in features]))
+
+    def best(self, local: np.ndarray) -> list[int]:
+        """The same from each token's sums of weights by tag."""
         scores, back = self.transition[OUTSIDE], []
-        for i, f in enumerate(features):
+        for i, own in enumerate(local):
             if i:
                 ways = scores[:, None] + self.transition
                 back.append(ways.argmax(axis=0))
                 scores = ways.max(axis=0)
-            scores = scores + self.emission[f].sum(axis=0)
+            scores = scores + own
         tags = [int((scores + self.transition[:, OUTSIDE]).argmax())]
         for b in reversed(back):
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
+    def open_places(self, local: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where a tag other than outside can be best at all; ends marks the ends of lines among the tokens.
+
+        A stretch of begin and inside tags is in the best tags only if it scores no less than outside tags in its
+        place. Each token's part in that is bounded, with the dearest step to it and from it; a token that is in no
+        stretch whose bounds sum to 0 or more is outside. So the stretches left can be decoded each alone.
+        """
+        stay = self.transition[OUTSIDE, OUTSIDE]
+        steps = self.transition[:, :OUTSIDE].max(axis=0) - stay + np.maximum(0, self.transition[:OUTSIDE, OUTSIDE] - stay)
+        gain = (local[:, :OUTSIDE] + steps).max(axis=1) - local[:, OUTSIDE]
+        gain[ends] = -1e4
+        upto = np.concatenate(([0.0], np.cumsum(gain)))
+        before = upto[:-1] - np.minimum.accumulate(upto)[:-1]
+        after = np.maximum.accumulate(upto[::-1])[::-1][1:] - upto[1:]
+        return np.flatnonzero((before + gain + after >= -1e-4) & ~ends)
+
+
+class Tagger:
+    """Tags of all tokens of texts by a field. Sums of weights are remembered for up to `words` unlike tokens."""
+
+    def __init__(self, field: Field, words: int = 200_000) -> None:
+        self.field, self.words = field, words
+        self.numbers: dict[str, int] = {}
+        self.sums = np.zeros((1024, 1 + len(_NEAR), 3))
+
+    def _numbers(self, tokens: list[str]) -> np.ndarray:
+        if len(self.numbers) > self.words:
+            self.numbers = {}
+        numbers = self.numbers
+        if "\n" not in numbers:
+            self._add("\n")
+        for token in set(tokens).difference(numbers):
+            self._add(token)
+        return np.array([numbers[t] for t in tokens], np.int64)
+
+    def _add(self, token: str) -> None:
+        at = self.numbers[token] = len(self.numbers)
+        if at == len(self.sums):
+            self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
+        own, near = _known(token)
+        self.sums[at, 0] = self.field.emission[own].sum(axis=0)
+        self.sums[at, 1:] = self.field.emission[near]
+
+    def local(self, tokens: list[str], files: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's sums of weights by tag (those of its text, files, among them), and which tokens are ends of lines."""
+        numbers = self._numbers(tokens)
+        line_end = self.numbers["\n"]
+        ends = numbers == line_end
+        line = np.cumsum(ends) - ends
+        out = self.sums[numbers, 0] + files
+        for j, d in enumerate(_NEAR, 1):
+            near = np.full(len(numbers), line_end)
+            here, there = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
+            near[here] = np.where(line[here] == line[there], numbers[there], line_end)
+            out += self.sums[near, j]
+        return out, ends
+
+    def spans(self, texts: list[str], raws: list[bytes]) -> list[list[Span]]:
+        out: list[list[Span]] = [[] for _ in texts]
+        begin = 0
+        while begin < len(texts):
+            tokens, starts, end = [], [], begin
+            while end < len(texts) and len(tokens) < 100_000:
+                starts.append(len(tokens))
+                tokens += _TOKEN.findall(texts[end])
+                tokens.append("\n")
+                end += 1
+            sizes = np.diff([*starts, len(tokens)])
+            files = np.array([self.field.emission[_file(raw)].sum(axis=0) for raw in raws[begin:end]])
+            local, ends = self.local(tokens, np.repeat(files, sizes, axis=0))
+            places = self.field.open_places(local, ends)
+            held, where = -1, []
+            for stretch in np.split(places, np.flatnonzero(np.diff(places) != 1) + 1):
+                if not len(stretch):
+                    continue
+                tags = self.field.best(local[stretch])
+                if all(t == OUTSIDE for t in tags):
+                    continue
+                text = int(np.searchsorted(starts, stretch[0], "right")) - 1
+                if text != held:
+                    held, where = text, [m.span() for m in _TOKEN.finditer(texts[begin + text])]
+                own = out[begin + text]
+                for at, tag in zip(stretch - starts[text], tags, strict=True):
+                    if tag == BEGIN:
+                        own.append((*where[at], "crf"))
+                    elif tag == INSIDE:
+                        own[-1] = (own[-1][0], where[at][1], "crf")
+            begin = end
+        return out
+
 
 def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 80, rate: float = 0.3, decay: float = 0.01) -> Field:
     """The field of the highest likelihood less decay * squared weights / 2, by gradient steps over all runs at once (forward and backward sums)."""
     forbidden = np.zeros((3, 3))
     forbidden[OUTSIDE, INSIDE] = -1e4
     emission, transition = np.zeros((FEATURES, 3)), np.zeros((3, 3))
-    runs, tags = [r[:16] for r in runs], [t[:16] for t in tags]
     if not runs:
         emission[:, OUTSIDE] = 1
         return Field(emission, forbidden)
@@ -134,6 +227,7 @@ def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 80, rat
     target = np.zeros((3, 3))
     np.add.at(target, (before[seen], after[seen]), 1)
     speed_e, speed_t = np.zeros_like(emission), np.zeros_like(transition)
+    flat = x.ravel()
     for _ in range(steps):
         weights = np.vstack((emission, np.zeros(3)))
         local = weights[x].sum(axis=2) + np.where(there[:, :, None], 0, closed)
@@ -148,11 +242,11 @@ def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 80, rat
             behind.append(total(step + (local[:, t] + behind[-1])[:, None, :], 2))
         behind = behind[::-1]
         whole = total(ahead[-1] + behind[-1], 1)
-        grad_e, grad_t = np.zeros((FEATURES + 1, 3)), np.zeros((3, 3))
+        missed, grad_t = np.zeros((size, wide, 3)), np.zeros((3, 3))
         for t in range(wide):
             odds = np.exp(ahead[t] + behind[t] - whole[:, None]) * there[:, t, None]
             hit = (np.arange(3) == y[:, t, None]) * there[:, t, None]
-            np.add.at(grad_e, x[:, t], (hit - odds)[:, None, :])
+            missed[:, t] = hit - odds
             if t == 0:
                 grad_t[OUTSIDE] -= odds.sum(axis=0)
             else:
@@ -161,6 +255,7 @@ def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 80, rat
                 grad_t -= (pair * (there[:, t] | there[:, t - 1])[:, None, None]).sum(axis=0)
         last = there[:, -1]
         grad_t[:, OUTSIDE] -= (np.exp(ahead[-1] + behind[-1] - whole[:, None]) * last[:, None]).sum(axis=0)
+        grad_e = np.stack([np.bincount(flat, np.repeat(missed[:, :, tag].ravel(), deep), FEATURES + 1) for tag in range(3)], axis=1)
         for weight, speed, grad in ((emission, speed_e, grad_e[:FEATURES] / size), (transition, speed_t, (grad_t + target) / size)):
             grad = grad - decay * weight / size
             speed *= 0.9
@@ -170,15 +265,47 @@ def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 80, rat
 
 
 def _tags(places: list[tuple[int, int]], spans: list[Span]) -> list[int]:
-    """Begin for the first token that meets a span, inside for further ones of the same span."""
-    out, last = [], None
+    """Begin for the first token that meets a span, inside for further ones of the same span; spans that meet count as one."""
+    joined: list[list[int]] = []
+    for start, end, _ in sorted(spans):
+        if joined and start < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([start, end])
+    out, at, last = [], 0, -1
     for start, end in places:
-        hit = next((s for s in spans if s[0] < end and start < s[1]), None)
-        out.append(OUTSIDE if hit is None else INSIDE if hit == last else BEGIN)
-        last = hit
+        while at < len(joined) and joined[at][1] <= start:
+            at += 1
+        hit = at < len(joined) and joined[at][0] < end
+        out.append(OUTSIDE if not hit else INSIDE if at == last else BEGIN)
+        last = at if hit else -1
     return out
 
 
+def pieces(text: str, spans: list[Span]) -> Iterator[tuple[list[str], list[int], int, int]]:
+    """The lines' tokens and tags, and from where to where at most LENGTH of them are a piece. Pieces are cut before a secret rather than in it."""
+    for line in _LINE.finditer(text):
+        found = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, *line.span())]
+        tokens, tags = [t for _, _, t in found], [OUTSIDE] * len(found)
+        if spans:
+            tags = _tags([(a, b) for a, b, _ in found], spans)
+        begin = 0
+        while begin < len(tokens):
+            end = cut = min(begin + LENGTH, len(tokens))
+            while begin < cut < len(tokens) and tags[cut] == INSIDE:
+                cut -= 1
+            end = cut if cut > begin else end
+            yield tokens, tags, begin, end
+            begin = end
+
+
+def piece(tokens: list[str], tags: list[int], begin: int, end: int, file: list[int]) -> tuple[list[list[int]], list[int]]:
+    """Features and tags of a piece; inside at its begin, from a secret longer than a piece, is begin."""
+    low = max(0, begin - 3)
+    features = line_features(tokens[low : end + 1], file)[begin - low : end - low]
+    return features, [BEGIN if i == 0 and t == INSIDE else t for i, t in enumerate(tags[begin:end])]
+
+
 def made_lines(n: int = 300, seed: int = 7) -> Iterator[tuple[str, list[Span]]]:
     """Lines by rule: random keys in contexts that the fixed patterns don't know, and numbers, addresses and dates that are no secrets."""
     rng = random.Random(seed)
@@ -191,52 +318,55 @@ def made_lines(n: int = 300, seed: int = 7) -> Iterator[tuple[str, list[Span]]]:
         word = rng.choice(["call", "see", "from", "the", "on", "to"])
         yield f"{word} {before}{key}", [(len(word) + 1 + len(before), len(word) + 1 + len(before) + len(key), "crf")]
         yield f"{word} {plain} {rng.choice(['and', 'or', 'then'])}", []
+        parts = ["".join(rng.choices(string.ascii_letters, k=rng.randrange(20, 44))), "".join(rng.choices(letters, k=5)) + digits(2), "".join(rng.choices(letters, k=16)) + ":" + "".join(rng.choices(letters, k=16))]
+        yield f"{word} {before}{parts[i % 3]}", [(len(word) + 1 + len(before), len(word) + 1 + len(before) + len(parts[i % 3]), "crf")]
 
 
 def learn(docs: DataFrame, runs: int = 2000) -> Field:
-    """A field fitted to what the fixed patterns tag, on at most `runs` candidate runs with a secret and as many without, and to made_lines.
+    """A field fitted to what the fixed patterns tag, and to made_lines.
 
-    All documents are searched for runs; which of them are taken depends on hashes of their features alone. Twice
-    `runs` short rows is all that the driver gets.
+    All lines of all documents are cut to pieces of at most LENGTH tokens, with features from the whole line. At most
+    `runs` pieces with a secret, as many without one but with a long token that has a digit, and as many others are
+    taken, those of the least hashes. A task tells no more than that, so the driver gets three times `runs` pieces.
     """
     prepare(docs.sparkSession)
 
-    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[int, tuple]] = [{}, {}, {}]
+        most = [1 << 32] * 3
         for batch in batches:
-            xs, ys, secret = [], [], []
             for text in batch.column(0).to_pylist():
                 raw = text.encode()
-                found = list(candidate_runs(text, raw))
-                spans = base_spans(text, raw) if found else []
-                for places, features in found:
-                    tags = _tags(places, spans)
-                    xs.append(features)
-                    ys.append(tags)
-                    secret.append(BEGIN in tags)
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.list_(pa.int32()))), pa.array(ys, pa.list_(pa.int32())), pa.array(secret, pa.bool_())], ["features", "tags", "secret"])
-
-    every = docs.where("text IS NOT NULL").select("text").mapInArrow(runs_of, "features array<array<int>>, tags array<int>, secret boolean")
-    every = every.withColumn("turn", F.xxhash64("features", "tags")).dropDuplicates(["features", "tags"])
-    taken = [r for s in (True, False) for r in every.where(F.col("secret") == s).orderBy("turn").limit(runs).collect()]
+                spans, file = base_spans(text, raw, value=True), None
+                for tokens, tags, begin, end in pieces(text, spans):
+                    own = tokens[begin:end]
+                    kind = 0 if spans and any(t != OUTSIDE for t in tags[begin:end]) else 1 if any(map(_opaque, own)) else 2
+                    turn = zlib.crc32(" ".join(own).encode())
+                    if turn >= most[kind] or turn in held[kind]:
+                        continue
+                    file = file or _file(raw)
+                    held[kind][turn] = piece(tokens, tags, begin, end, file)
+                    if len(held[kind]) >= 2 * runs:
+                        held[kind] = dict(sorted(held[kind].items())[:runs])
+                        most[kind] = max(held[kind]) + 1
+        rows = [(kind, turn, *held[kind][turn]) for kind in range(3) for turn in sorted(held[kind])[:runs]]
+        for i in range(0, len(rows), 1000):
+            columns = zip(*rows[i : i + 1000], strict=True)
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "turn", "features", "tags"])
+
+    every = docs.where("text IS NOT NULL").select("text").mapInArrow(pieces_of, "kind int, turn long, features array<array<int>>, tags array<int>")
+    every = materialize(every, "secret-pieces").dropDuplicates(["kind", "features", "tags"])
+    taken = [r for k in range(3) for r in every.where(F.col("kind") == k).orderBy("turn", F.xxhash64("features", "tags")).limit(runs).collect()]
     xs, ys = [r["features"] for r in taken], [r["tags"] for r in taken]
     for line, spans in made_lines():
-        for places, features in candidate_runs(line, line.encode()):
-            xs.append(features)
-            ys.append(_tags(places, spans))
+        for cut in pieces(line, spans):
+            x, y = piece(*cut, _file(line.encode()))
+            xs.append(x)
+            ys.append(y)
     return fit(xs, ys)
 
 
-def tagged_spans(text: str, raw: bytes, field: Field) -> list[Span]:
-    out = []
-    for places, features in candidate_runs(text, raw):
-        for (start, end), tag in zip(places, field.decode(features), strict=True):
-            if tag == BEGIN:
-                out.append((start, end, "crf"))
-            elif tag == INSIDE:
-                out[-1] = (out[-1][0], end, "crf")
-    return out
-
-
 def scan_secrets(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, spans) for each row of docs: spans of (kind, start, end) in code points, by start and then kind.
 
@@ -250,13 +380,14 @@ def scan_secrets(docs: DataFrame, field: Field) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value)
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                raw = text.encode()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            raws = [t.encode() for t in texts]
+            for text, raw, tagged in zip(texts, raws, tagger.spans(texts, raws), strict=True):
                 base = base_spans(text, raw)
-                own = [s for s in tagged_spans(text, raw, shared.value) if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+                own = [s for s in tagged if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
                 out.append([{"kind": k, "start": a, "end": b} for a, b, k in sorted(base + own, key=lambda s: (s[0], KINDS.index(s[2])))])
             spans = pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), spans], ["doc_id", "spans"])

@@ -106,6 +106,36 @@ def test_viterbi_finds_the_best_tags():
         assert value(field.decode(run)) == pytest.approx(max(map(value, itertools.product(range(3), repeat=n))))
 
 
+def test_all_tokens_of_a_line_are_tagged(spark):
+    rng = np.random.default_rng(12)
+    transition = rng.normal(size=(3, 3))
+    transition[secrets.OUTSIDE, secrets.INSIDE] = -1e4
+    field = secrets.Field(rng.normal(size=(secrets.FEATURES, 3)) + (np.arange(3) == secrets.OUTSIDE) * 0.1, transition)
+    texts = ["", "one", "say Bearer abcdefghijklmnopqrstuv now\n\nkey: wxyz , abc1\n" * 30, "no ü sign\r\n x9 : y" * 20, "tail " * 300]
+    raws = [t.encode() for t in texts]
+    for text, raw, got in zip(texts, raws, secrets.Tagger(field, words=3).spans(texts, raws), strict=True):
+        want, begin = [], 0
+        for line in text.split("\n"):
+            found = [(m.start() + begin, m.end() + begin, m[0]) for m in secrets._TOKEN.finditer(line)]
+            for (start, end, _), tag in zip(found, field.decode(secrets.line_features([t for *_, t in found], secrets._file(raw))) if found else [], strict=True):
+                if tag == secrets.BEGIN:
+                    want.append((start, end, "crf"))
+                elif tag == secrets.INSIDE:
+                    want[-1] = (want[-1][0], end, "crf")
+            begin += len(line) + 1
+        assert got == want
+    assert secrets.Tagger(field).spans(texts, raws)[2]
+
+
+def test_secrets_of_letters_alone_and_in_parts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = secrets.learn(docs)
+    cases = [("call Bearer QwErTyUiOpAsDfGhJkLzXcVbNmQw", 12), ("see key: mKpLqRzXvBnTyWsDfGhJkCaEuIoP", 9), ("on auth = q8Zx7Lw2Kd9Fp4Vb:t6Yh3Nj5Rm1Gs0Uc", 10)]
+    rows = [(i, t) for i, (t, _) in enumerate(cases)] + [(9, "the key to the house lay on the table and nobody saw it")]
+    told = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert told == {i: [(at, len(t))] for i, (t, at) in enumerate(cases)} | {9: []}
+
+
 def test_licenses(spark, awkward, empty):
     texts = ["MIT License, mit-license; Apache  LICENSE", "licensed under the Apache License, Version 2.0", "released under the terms of the MIT License", "mit x license", None]
     rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
