@@ -1,13 +1,11 @@
 import itertools
-import random
-import re
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from runlens.llm import decontam, licenses, packing, secrets, tokens
+from runlens.llm import licenses, packing, secrets, tokens
 
 
 def whole(name, text):
@@ -56,34 +54,6 @@ def test_packing_holds_each_id_once(awkward, empty):
     assert padding < 0.1 * total and packing.pack_documents(empty, path).count() == 0
 
 
-def edits(item, text):
-    """The least edits that turn a part of text into item."""
-    row = [0] * (len(text) + 1)
-    for c in item:
-        last, row = row, [row[0] + 1]
-        for j, d in enumerate(text):
-            row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
-    return min(row)
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_decontamination_matches_edit_distance(seed):
-    rng = random.Random(seed)
-    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 7)))
-    items = [" ".join(word() for _ in range(rng.randrange(14, 30))) for _ in range(6)]
-    index = decontam.Items(list(range(6)), items, 0.1)
-    for _ in range(25):
-        i = rng.randrange(6)
-        copy = list(items[i])
-        for _ in range(rng.randrange(0, 22)):
-            j = rng.randrange(len(copy))
-            rng.choice([lambda: copy.__setitem__(j, rng.choice("xyz")), lambda: copy.pop(j), lambda: copy.insert(j, "q")])()
-        text = " ".join([word() for _ in range(20)] + ["".join(copy).upper()] + [word() for _ in range(20)])
-        flat = re.sub(r"\s+", " ", text.lower())
-        wanted = {k for k in range(6) if edits(items[k], flat) <= index.budgets[k]}
-        assert {m[1] for m in index.matches([text])} == wanted
-
-
 def test_secrets(awkward, empty):
     field = secrets.learn(awkward)
     found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan_secrets(awkward, field).collect() if r["doc_id"] is not None}
