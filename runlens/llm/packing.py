@@ -17,34 +17,56 @@ Piece = tuple[tuple, int, bytes]
 
 
 class Harmonic:
-    """Class k holds pieces of capacity/(k+1) < length <= capacity/k, and a bin of class k takes exactly k of them.
-
-    A document is cut into pieces of the capacity, then of its halves, quarters and so on while at least `whole` ids
-    are left, which fill their bins to the last place; fewer ids stay one piece, and its bin of k pieces wastes less
-    than 1/(k+1). Bins are filled with no regard to other workers; a worker holds fewer than k pieces of each class.
+    """Class k holds pieces of capacity/(k+1) < length <= capacity/k, and a bin of class k takes exactly k of them, so it wastes less than 1/(k+1).
+
+    A document of up to capacity/2 ids is one piece, unless it fills another bin up. Of a longer one, whole
+    sequences are cut off, and what is left over capacity/2, which would have a bin of class 1 alone, waits as filler:
+    the room that k pieces leave in a bin goes to ids cut off it, and what then has a lower class is a piece of that. Without filler
+    the largest waiting piece is cut for the room, so a bin wastes nothing while anything waits. At most `fillers`
+    documents wait as filler; beyond that the first is cut in half a capacity and a rest. Bins are filled with no regard to other
+    workers; a worker holds fewer than k pieces of each class.
     """
 
-    def __init__(self, capacity: int = 2048, whole: int = 128) -> None:
-        if capacity & (capacity - 1) or not 1 <= whole <= capacity:
-            raise ValueError("capacity must be a power of two, and whole between 1 and it")
-        self.capacity, self.whole = capacity, whole
+    def __init__(self, capacity: int = 2048, fillers: int = 256) -> None:
+        if capacity & (capacity - 1) or capacity < 2:
+            raise ValueError("capacity must be a power of two, and at least 2")
+        self.capacity, self.fillers = capacity, fillers
         self.waiting: dict[int, list[Piece]] = {}
 
-    def pieces(self, doc: tuple, ids: bytes) -> Iterator[Piece]:
-        start, left = 0, len(ids) // 4
-        while left:
-            size = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1) if left >= self.whole else left
-            yield doc, start, ids[4 * start : 4 * (start + size)]
-            start, left = start + size, left - size
-
     def add(self, doc: tuple, ids: bytes) -> Iterator[list[Piece]]:
         """The bins that this document's pieces fill."""
-        for piece in self.pieces(doc, ids):
-            k = self.capacity * 4 // len(piece[2])
+        whole = 4 * self.capacity
+        for start in range(0, len(ids) - whole + 1, whole):
+            yield [(doc, start // 4, ids[start : start + whole])]
+        start = len(ids) // whole * whole
+        todo = [(doc, start // 4, ids[start:])] if start < len(ids) else []
+        while todo:
+            piece = todo.pop()
+            k = whole // len(piece[2])
             held = self.waiting.setdefault(k, [])
             held.append(piece)
-            if len(held) == k:
-                yield self.waiting.pop(k)
+            if k == 1 and len(held) > self.fillers:
+                doc, start, ids = held.pop(0)
+                todo += [(doc, start, ids[: whole // 2]), (doc, start + self.capacity // 2, ids[whole // 2 :])]
+            elif k > 1 and len(held) == k:
+                full = self.waiting.pop(k)
+                rest = self._fill(full)
+                yield full
+                todo += rest
+
+    def _fill(self, full: list[Piece]) -> list[Piece]:
+        """Takes ids for the room left in a bin from the largest pieces that wait; what is left of the last of them."""
+        room = 4 * self.capacity - sum(len(p[2]) for p in full)
+        while room and self.waiting:
+            k = min(self.waiting)
+            doc, start, ids = self.waiting[k].pop()
+            if not self.waiting[k]:
+                del self.waiting[k]
+            full.append((doc, start, ids[:room]))
+            if len(ids) > room:
+                return [(doc, start + room // 4, ids[room:])]
+            room -= len(ids)
+        return []
 
     def rest(self) -> Iterator[list[Piece]]:
         """What still waits, one class after another, cut where a bin is full; the last ids go to bins of powers of two."""
@@ -65,7 +87,7 @@ class Harmonic:
         self.waiting = {}
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, whole: int = 128) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, fillers: int = 256) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Each document's ids and end_id lie in its pieces once each; a sequence's pieces follow one another from offset 0,
@@ -77,7 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_ids, harmonic, sequence = encoder(tokenizer), Harmonic(capacity, whole), TaskContext.get().partitionId() << 40
+        to_ids, harmonic, sequence = encoder(tokenizer), Harmonic(capacity, fillers), TaskContext.get().partitionId() << 40
         end = end_id.to_bytes(4, "little")
         doc_type, out = None, []
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +41,14 @@ class _Words(dict):
 
 
 class Encoder:
-    """Texts to ids (bytes of little-endian unsigned 32-bit integers), as the tokenizers library gives them for the whole text.
-
-    Made for the two families of the tokenizers used here. Byte-level ones that keep spaces part a text where a
-    character that isn't white space meets a space or line end, so a text in which these stand alone is the sequence
-    of its words, each with what stands before it; other texts are encoded whole. Those that drop white space part it
-    at every space. A word's ids are looked up among remembered ones: up to `limit` words of at most 11 characters, as
-    longer ones rarely recur. A new word of letters and closing marks goes straight to the library's model, anything
-    else through the whole of the tokenizer.
+    """Texts to ids (bytes of little-endian unsigned 32-bit integers), as the tokenizers library's encode gives them for the whole text with add_special_tokens=False.
+
+    Two families of tokenizers are known by their parts. Byte-level ones that keep spaces part a text where a character
+    that isn't white space meets a space or line end, so a text in which these stand alone is the sequence of its
+    words, each with what stands before it. Those that drop white space part it at every space. Other texts, texts that
+    hold an added token's string, and all texts of any other tokenizer are encoded whole. A word's ids are looked up among
+    remembered ones: up to `limit` words of at most 11 characters, as longer ones rarely recur. A new word of letters
+    and closing marks goes straight to the library's model, anything else through the whole of the tokenizer.
     """
 
     def __init__(self, path: str, limit: int = 800_000) -> None:
@@ -54,9 +56,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.spaced = len(set(self.tokenizer.encode("a a", add_special_tokens=False).ids)) > 1
+        self.kind = _family(json.loads(self.tokenizer.to_str()))
+        self.spaced = self.kind == "spaced"
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.firsts = _Words(lambda word: self._encode([word])[0], limit)
         self.words = _Words(self._word, limit)
         self.marks = {"": b""}
 
@@ -83,18 +88,39 @@ class Encoder:
             shown = "\u0120" + shown
         return before + b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)]) + self.marks[marks]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _one(self, text: str) -> bytes:
+        if not self.kind or self.added and self.added.search(text):
+            return self._encode([text])[0]
         look = self.words.__getitem__
         if not self.spaced:
-            return [self._encode([t])[0] if "\u03a3" in t or "\u0130" in t else b"".join(map(look, t.lower().replace("\n", " ").split(" "))) for t in texts]
-        out = []
-        for t in texts:
-            if _TOUCHING.search(t) or t[:1] in _SPACE or t[-1:] in _SPACE:
-                out.append(self._encode([t])[0])
-            else:
-                # the first word as if after a line end, whose only id then goes
-                out.append(b"".join(map(look, ("\n" + t.replace("\n", " \n")).split(" ")))[4:])
-        return out
+            low = text.lower()
+            if not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", low)):
+                return self._encode([text])[0]
+            return b"".join(map(look, low.replace("\n", " ").split(" ")))
+        if _TOUCHING.search(text) or text[:1] in _SPACE or text[-1:] in _SPACE:
+            return self._encode([text])[0]
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.firsts[first] + b"".join(map(look, rest))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return list(map(self._one, texts))
+
+
+#: The parts by which the two families of tokenizers are known.
+_SPACED = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+_DROPPED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+def _family(parts: dict) -> str:
+    """spaced, dropped, or nothing for a tokenizer whose texts can only be encoded whole."""
+    model = parts["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback") or parts.get("truncation") or parts.get("padding"):
+        return ""
+    own = {k: parts[k] for k in _SPACED}
+    return "spaced" if own == _SPACED else "dropped" if own == _DROPPED else ""
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -1,17 +1,38 @@
 import itertools
+import random
 
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from runlens.llm import licenses, packing, secrets, tokens
 
 
 def whole(name, text):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids
+
+
+_SIGNS = list("abcdefXYZ 019.,;'\"-_\n\t\r\x0b\x0c\x00\x1c\x85\xa0\u1680\u180e\u2003\u2028\u202f\u200b\u3000\ufeffé\xdfÅ\u212b\ufb01ΣσςİıǅK日本語한\u1100\u0301\u030aY😀<|>")
+_PARTS = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", " the", " House", "don't", "it's", "\r\n", "  ", "\n\n", "\xa0"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_the_library(name):
+    rng, encode, library = random.Random(5), tokens.Encoder(public_tokenizers.path(name), limit=2000), Tokenizer.from_file(public_tokenizers.path(name))
+    assert encode.kind
+    texts = ["", "\xa0", "\xa0a b", "a<|endoftext|>b", *("".join(rng.choice(_PARTS) if rng.random() < 0.25 else rng.choice(_SIGNS) for _ in range(rng.randrange(14))) for _ in range(30_000))]
+    for text, got in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_tokenizers_encode_texts_whole(tmp_path):
+    path = tmp_path / "words.json"
+    own = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(str(path))
+    encode = tokens.Encoder(str(path))
+    assert not encode.kind and np.frombuffer(encode(["a b\na c"])[0], "<u4").tolist() == [0, 1, 0, 2]
 
 
 def test_packed_words_round_trip():
@@ -42,16 +63,34 @@ def test_packing_holds_each_id_once(awkward, empty):
         mine = sorted((p for p in pieces if p["doc_id"] == own["doc_id"]), key=lambda p: p["start"])
         assert np.frombuffer(b"".join(p["ids"] for p in mine), "<u4").tolist() == [*whole("word_bpe_49k.json", own["text"]), 1]
         assert [p["start"] for p in mine] == [sum(q["length"] for q in mine[:i]) for i in range(len(mine))]
-    padding = total = 0
     for _, group in itertools.groupby(sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])), key=lambda p: p["sequence_id"]):
         at = 0
         for p in group:
             assert p["offset"] == at
             at += p["length"]
-        assert at <= 2048
-        padding += 0 if at & (at - 1) == 0 else 2048 - at
-        total += at
-    assert padding < 0.1 * total and packing.pack_documents(empty, path).count() == 0
+        assert at <= 2048 and at & (at - 1) == 0
+    assert packing.pack_documents(empty, path).count() == 0
+    every = packing.pack_documents(awkward, path).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert {r["doc_id"]: r["sum(length)"] // r["max(doc_tokens)"] for r in every} == {r: 2 if r in (5, 9) else 1 for r in (None, *range(16))}
+
+
+@pytest.mark.parametrize("sizes", [(1, 40), (1, 2048), (900, 1100), (1025, 2047), (1, 9000), (2048, 2048)])
+def test_bins_of_all_lengths(sizes):
+    rng, harmonic, bins, docs = random.Random(3), packing.Harmonic(2048, fillers=4), [], {}
+    for i in range(3000):
+        docs[i] = np.array([rng.randrange(1 << 16) for _ in range(rng.randint(*sizes))], "<u4").tobytes()
+        bins += harmonic.add((i,), docs[i])
+        assert all(len(held) < max(k, 6) for k, held in harmonic.waiting.items())
+    full = len(bins)
+    bins += harmonic.rest()
+    held = [sum(len(p[2]) for p in b) // 4 for b in bins]
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in held[full:]) and sum(2048 - n for n in held[:full]) <= 0.02 * sum(held)
+    parts = {}
+    for (doc,), start, ids in (p for b in bins for p in b):
+        parts.setdefault(doc, []).append((start, ids))
+    assert all(b"".join(ids for _, ids in sorted(parts[i])) == docs[i] for i in docs)
+    short = [i for i, ids in docs.items() if len(ids) <= 4096]
+    assert sum(len(parts[i]) == 1 for i in short) >= 0.4 * len(short)
 
 
 def test_secrets(awkward, empty):
