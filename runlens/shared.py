@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors see; a temporary one where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which the driver and all executors see.
+
+    Where it is unset, a session in one process (local mode) gets a temporary folder; on a cluster that is an error,
+    as no folder of one machine would do.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="runlens-", dir="/tmp"))
     return f"file://{_OWN[0]}"
@@ -33,4 +41,32 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that materialize wrote (the very results of it), once nothing will read them again."""
+    for table in tables:
+        path = None if table is None else vars(table).get("_written")
+        if path:
+            context = table.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def salted_join(rows: DataFrame, told: DataFrame, key: str, counts: DataFrame, by: list[str], per: int = 100_000, most: int = 200_000) -> DataFrame:
+    """rows joined with told on key; counts (key, n) has the number of rows of each key, and is a written table. by: columns of rows that deal a key's rows.
+
+    Keys with more than `per` rows, and more than all rows / `most`, are dealt over as many salts on both sides, so that
+    no task gets more rows of a key. Fewer than `most` keys can have that many rows, so their table is broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(per, -(-total // most))
+    heavy = counts.where(F.col("n") > limit).select(F.col(key).alias("_heavy"), F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
+    heavy = F.broadcast(heavy)
+    one = told.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_heavy", "_salts")
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_salts"))).cast("int")
+    many = rows.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn("_salt", salt).drop("_heavy", "_salts")
+    return many.join(one, [key, "_salt"]).drop("_salt")
