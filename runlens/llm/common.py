@@ -1,40 +1,12 @@
-"""What the operators of this folder share: the shared folder, tables written to cut lineage, and Arrow helpers."""
+"""What the operators of this folder share with the library, and Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which the driver and all executors see; a temporary one where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="runlens-", dir="/tmp"))
-    return f"file://{_OWN[0]}"
-
-
-def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it isn't installed on them by other means."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
 
+from runlens.shared import discard, materialize, prepare, salted_join, shared_dir
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later steps survive lost executors and never compute it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "materialize", "prepare", "salted_join", "shared_dir", "utf8"]
 
 
 def utf8(column: pa.Array) -> list[bytes]:

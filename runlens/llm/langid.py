@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from runlens.llm.common import materialize, prepare
+from runlens.llm.common import discard, materialize, prepare
 from runlens.llm.shingles import mix
 
 ORDER = 4
@@ -26,70 +27,89 @@ def _folded() -> np.ndarray:
     return np.array([(ord(c.lower()[0]) if c.isalpha() else _OTHER) for c in map(chr, range(1 << 16))], np.uint16)
 
 
+def _units(point: int) -> tuple[int, int]:
+    """The two symbols of a letter beyond the basic plane (its UTF-16 units, in lower case), blanks for what is no letter."""
+    if not chr(point).isalpha():
+        return _OTHER, _OTHER
+    low = ord(chr(point).lower()[0])
+    return tuple(np.frombuffer(chr(low if low > 0xFFFF else point).encode("utf-16-le"), "<u2").tolist())
+
+
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The texts as symbols, each after three start marks, and where each begins. Runs of what is no letter are one blank."""
     mark = "\x01" * (ORDER - 1)
-    codes = np.frombuffer("".join(mark + t.replace("\x01", " ") for t in texts).encode("utf-32-le", "replace"), np.uint32)
-    folded = _folded()[np.minimum(codes, 0xFFFF)]
+    parts = [(mark + t.replace("\x01", " ")).encode("utf-16-le", "replace") for t in texts]
+    codes = np.frombuffer(b"".join(parts), "<u2")
+    folded = _folded()[codes]
     folded[codes == _START] = _START
-    if codes.max(initial=0) > 0xFFFF:
-        high = np.flatnonzero(codes > 0xFFFF)
-        kinds, which = np.unique(codes[high], return_inverse=True)
-        folded[high] = np.array([0xE000 + c % 0x1900 if chr(c).isalpha() else _OTHER for c in kinds], np.uint16)[which]
-    begins = np.cumsum([0, *(len(t) + ORDER - 1 for t in texts)])
+    high = np.flatnonzero((codes >= 0xD800) & (codes < 0xDC00))
+    if len(high):
+        points = 0x10000 + ((codes[high].astype(np.int64) - 0xD800) << 10) + (codes[high + 1].astype(np.int64) - 0xDC00)
+        kinds, which = np.unique(points, return_inverse=True)
+        units = np.array([_units(int(p)) for p in kinds], np.uint16)
+        folded[high], folded[high + 1] = units[which, 0], units[which, 1]
+    begins = np.cumsum([0, *(len(p) // 2 for p in parts)])
     stays = np.ones(len(folded), bool)
     stays[1:] = (folded[1:] != _OTHER) | (folded[:-1] != _OTHER)
-    return folded[stays], np.concatenate(([0], np.cumsum(stays)))[begins]
+    kept = folded[stays]
+    return kept, begins - np.concatenate(([0], np.cumsum(~stays)))[begins]
 
 
-def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol but start marks: its place, and it with the three before it, 16 bits each."""
-    places = np.flatnonzero(codes != _START)
-    wide = codes.astype(np.uint64)
-    packed = wide[places]
+def grams(codes: np.ndarray, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol from begin on but start marks: its place, and it with the three before it, 16 bits each."""
+    places = np.flatnonzero(codes[begin:] != _START) + begin
+    packed = codes[places].astype(np.uint64)
     for j in range(1, ORDER):
-        packed |= wide[places - j] << np.uint64(16 * j)
+        packed |= codes[places - j].astype(np.uint64) << np.uint64(16 * j)
     return places, packed
 
 
+def _windows(codes: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """grams of all codes, so many at a time: a text of any length needs little more than its symbols."""
+    for low in range(0, len(codes), size):
+        begin = max(0, low - ORDER + 1)
+        places, packed = grams(codes[begin : low + size], low - begin)
+        yield places + begin, packed
+
+
 def count_grams(labelled: DataFrame, chunk: int = 1_000_000) -> DataFrame:
-    """(lang, gram, n) over all of labelled (lang, text): every four-symbol sequence and how often it occurs."""
+    """(lang, held, gram, n) over all of labelled (lang, held, text): every four-symbol sequence and how often it occurs."""
     prepare(labelled.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        counted: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def merged(lang: str) -> None:
-            keys, n = (np.concatenate(x) for x in zip(*held[lang], strict=True))
+        def merged(key: tuple[str, bool]) -> None:
+            keys, n = (np.concatenate(x) for x in zip(*counted[key], strict=True))
             order = np.argsort(keys)
             keys = keys[order]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            held[lang] = [(keys[first], np.add.reduceat(n[order], first))]
+            counted[key] = [(keys[first], np.add.reduceat(n[order], first))]
 
         for batch in batches:
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
+            by: dict[tuple[str, bool], list[str]] = {}
+            for lang, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                by.setdefault((lang, held), []).append(text)
+            for key, texts in by.items():
                 begin = size = 0
                 for end, text in enumerate(texts, 1):
                     size += len(text)
                     if size >= chunk or end == len(texts):
-                        packed = grams(symbols(texts[begin:end])[0])[1]
-                        if len(packed):
-                            held.setdefault(lang, []).append(np.unique(packed, return_counts=True))
+                        for _, packed in _windows(symbols(texts[begin:end])[0]):
+                            if len(packed):
+                                counted.setdefault(key, []).append(np.unique(packed, return_counts=True))
+                            if len(counted.get(key, ())) >= 16:
+                                merged(key)
                         begin, size = end, 0
-                        if len(held.get(lang, ())) >= 16:
-                            merged(lang)
-        for lang in held:
-            merged(lang)
-            keys, n = held[lang][0]
+        for key in counted:
+            merged(key)
+            keys, n = counted[key][0]
             for i in range(0, len(keys), 100_000):
                 part = keys[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.view(np.int64)), pa.array(n[i : i + 100_000], pa.int64())], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(part)), pa.array([key[1]] * len(part)), pa.array(part.view(np.int64)), pa.array(n[i : i + 100_000], pa.int64())], ["lang", "held", "gram", "n"])
 
-    partial = labelled.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
-    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    partial = labelled.select("lang", "held", "text").mapInArrow(count, "lang string, held boolean, gram long, n long")
+    return partial.groupBy("lang", "held", "gram").agg(F.sum("n").alias("n"))
 
 
 class Sorted:
@@ -168,15 +188,18 @@ class Model:
     def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits by text and language of the symbols in this part, number of all symbols, whether there is a letter."""
         codes, begins = symbols(texts)
-        places, packed = grams(codes)
-        cuts = np.searchsorted(places, begins)
-        letters = np.concatenate(([0], np.cumsum(codes[places] != _OTHER)))
-        own = cuts
-        if self.parts > 1:
-            mine = (packed >> np.uint64(16) & np.uint64(0xFFFF)) % np.uint64(self.parts) == self.part
-            packed, own = packed[mine], np.concatenate(([0], np.cumsum(mine)))[cuts]
-        logs = np.concatenate((np.zeros((1, self.width)), np.cumsum(self._log(ORDER, packed), axis=0, dtype=np.float64)))
-        return logs[own[:-1]] - logs[own[1:]], np.diff(cuts), letters[cuts[1:]] > letters[cuts[:-1]]
+        bits, n, letters = np.zeros((len(texts), self.width)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for places, packed in _windows(codes):
+            of = np.searchsorted(begins, places, "right") - 1
+            n += np.bincount(of, minlength=len(texts))
+            letters += np.bincount(of, codes[places] != _OTHER, len(texts)).astype(np.int64)
+            if self.parts > 1:
+                mine = (packed >> np.uint64(16) & np.uint64(0xFFFF)) % np.uint64(self.parts) == self.part
+                packed, of = packed[mine], of[mine]
+            if len(of):
+                first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                bits[of[first]] -= np.add.reduceat(self._log(ORDER, packed), first, axis=0, dtype=np.float64)
+        return bits, n, letters > 0
 
 
 class Learned:
@@ -198,8 +221,8 @@ class Learned:
             if r["ones"]:
                 self.discounts[r["k"] - 1, number[r["lang"]]] = min(0.95, max(0.05, r["ones"] / (r["ones"] + 2 * r["twos"])))
         self.parts = min(1 << 16, max(1, -(-sum(r["rows"] for r in told) * len(self.langs) // cells)))
-        #: By language: the largest cross-entropy that is usual in it.
-        self.limits = np.full(len(self.langs), np.inf)
+        #: By language: what cross-entropies are usual in it (see usual).
+        self.limits = np.tile([np.inf, 0.0, 0.0, 0.0, 0.0], (len(self.langs), 1))
 
     def sent(self, part: int) -> Broadcast:
         if part not in self._sent:
@@ -210,6 +233,11 @@ class Learned:
             self._sent[part] = self.tables.sparkSession.sparkContext.broadcast(model)
         return self._sent[part]
 
+    def forget(self) -> None:
+        """Takes the models back from the workers."""
+        for shared in self._sent.values():
+            shared.unpersist()
+
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy in bits a symbol by text and language, number of symbols, whether there is a letter."""
         told = [self.sent(part).value.sums(texts) for part in range(self.parts)]
@@ -231,18 +259,17 @@ def _entropies(docs: DataFrame, learned: Learned, keep: list[str]) -> DataFrame:
     """The columns keep, and lang_pred, score, cross_entropy, n_symbols, rejected of docs."""
     prepare(docs.sparkSession)
     langs, limits = learned.langs, learned.limits
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     names_out = [*keep, "lang_pred", "score", "cross_entropy", "n_symbols", "rejected"]
-    schema = f"{kinds}, lang_pred string, score double, cross_entropy double, n_symbols long, rejected boolean"
+    told = T.StructType().add("lang_pred", "string").add("score", "double").add("cross_entropy", "double").add("n_symbols", "long").add("rejected", "boolean")
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *told])
 
     def judged(bits: np.ndarray, n: np.ndarray, letters: np.ndarray) -> list[pa.Array]:
         bits = bits / np.maximum(n, 1)[:, None]
         best = bits.argmin(axis=1)
         least = bits[np.arange(len(best)), best]
         odds = np.exp2(-(bits - least[:, None]) * np.minimum(n, 20)[:, None]).sum(axis=1)
-        limit = limits[best] + 1 + 10 / np.sqrt(np.maximum(n, 1))
         names = [langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
-        return [pa.array(names, pa.string()), pa.array(np.where(letters, 1 / odds, 0.0)), pa.array(np.where(letters, least, 0.0)), pa.array(n, pa.int64()), pa.array(~letters | (least > limit))]
+        return [pa.array(names, pa.string()), pa.array(np.where(letters, 1 / odds, 0.0)), pa.array(np.where(letters, least, 0.0)), pa.array(n, pa.int64()), pa.array(~letters | (least > usual(limits[best], n)))]
 
     text = F.col("text").cast("string").alias("_text")
     if learned.parts == 1:
@@ -282,40 +309,70 @@ def _entropies(docs: DataFrame, learned: Learned, keep: list[str]) -> DataFrame:
     return numbered.join(added, "_row").select(*keep, "_parts", "_n", "_letters").mapInArrow(whole, schema)
 
 
-def _calibrate(model: Learned, rows: DataFrame) -> None:
-    """Sets the limits of rejection from all of rows (lang, text): the 99.9th percentile of each language's cross-entropies, in steps of 1/1024 bit.
+#: The share of a language's held-back texts that its limit lets through, and the least and extra room in standard deviations.
+USUAL, LEAST_Z, ROOM = 0.999, 6.0, 1.25
+
+
+def usual(limits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The largest usual cross-entropy of texts of n symbols, by rows of (m, c, a, b, z): mean m + c / n, plus z times the root of the variance a + b / n."""
+    m, c, a, b, z = limits.T
+    return m + c / np.maximum(n, 1) + z * np.sqrt(a + b / np.maximum(n, 1))
+
+
+def _measured(known: DataFrame) -> list[Row]:
+    """(lang, rows, m, c, a, b, z) of known (lang, h, u = 1 / n), see usual: lines fitted over u, to h and to its squared distance from the first."""
+    zero = lambda x: F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0))
+    line = known.groupBy("lang").agg(F.count("*").alias("rows"), F.avg("h").alias("_h"), F.avg("u").alias("_u"), zero(F.regr_slope("h", "u")).alias("c")).withColumn("m", F.col("_h") - F.col("c") * F.col("_u")).drop("_h", "_u")
+    near = known.join(line, "lang").withColumn("d", F.col("h") - F.col("m") - F.col("c") * F.col("u"))
+    spread = near.groupBy("lang").agg(F.avg(F.col("d") ** 2).alias("_v"), F.avg("u").alias("_u"), zero(F.regr_slope(F.col("d") ** 2, F.col("u"))).alias("b")).withColumn("a", F.greatest(F.col("_v") - F.col("b") * F.col("_u"), F.lit(1e-3))).drop("_v", "_u")
+    far = near.join(spread, "lang").withColumn("z", F.ceil(F.col("d") / F.sqrt(F.col("a") + F.col("b") * F.col("u")) * 64) / 64)
+    steps = far.groupBy("lang", "rows", "m", "c", "a", "b", "z").agg(F.count("*").alias("n"))
+    return steps.groupBy("lang", "rows", "m", "c", "a", "b").agg(F.percentile("z", F.lit(USUAL), F.col("n")).alias("z")).collect()
+
+
+def _calibrate(fitted: Learned, held_back: DataFrame, langs: list[str], least_rows: int = 30) -> np.ndarray | None:
+    """What is usual in each of langs (see usual), from texts (lang, text) that the model was not counted from; None if there are none.
 
-    Only rows predicted as labelled count. A language without any takes the percentile over the rows of all languages
-    that are, or where there are none, over all rows with a letter. What is gathered has a row for each language and step.
+    Only rows predicted as labelled count. A language with fewer than least_rows of them takes what is usual over the rows of all
+    languages, or where none is right, over all rows with a letter. What is gathered is a row for each language.
     """
-    known = _entropies(rows, model, ["lang"]).where("n_symbols > 0 AND lang_pred <> 'und'")
-    steps = known.groupBy("lang", (F.col("lang_pred") == F.col("lang")).alias("right"), (F.ceil(F.col("cross_entropy") * 1024) / 1024).alias("bits")).agg(F.count("*").alias("n"))
-    steps = materialize(steps, "calibration")
-    usual = F.percentile("bits", F.lit(0.999), F.col("n")).alias("limit")
-    pooled = [steps.where(which).agg(usual).first()["limit"] for which in ("right", "true")]
-    model.limits[:] = next((x for x in pooled if x is not None), np.inf)
-    number = {x: i for i, x in enumerate(model.langs)}
-    for row in steps.where("right").groupBy("lang").agg(usual).collect():
-        model.limits[number[row["lang"]]] = row["limit"]
+    known = _entropies(held_back, fitted, ["lang"]).where("n_symbols > 0 AND lang_pred <> 'und'")
+    known = materialize(known.select("lang", (F.col("lang_pred") == F.col("lang")).alias("right"), F.col("cross_entropy").alias("h"), (1 / F.col("n_symbols")).alias("u")), "calibration")
+    limits = lambda r: [r["m"], r["c"], r["a"], r["b"], max(LEAST_Z, ROOM * r["z"])]
+    every = known.withColumn("lang", F.lit(""))
+    pooled = _measured(every.where("right")) or _measured(every)
+    own = {r["lang"]: limits(r) for r in _measured(known.where("right")) if r["rows"] >= least_rows}
+    discard(known)
+    return np.array([own.get(x, limits(pooled[0])) for x in langs]) if pooled else None
 
 
-def learn(labelled: DataFrame, cells: int = 1 << 23) -> Learned | None:
-    """What is known of the languages in labelled (doc_id, lang, text), or None if no row has both a lang and a symbol.
+def learn(labelled: DataFrame, cells: int = 1 << 23, folds: int = 10) -> Learned | None:
+    """What is known of the languages in labelled (lang, text), or None if no row has both a lang and a symbol.
 
     All rows are counted, in Spark, and every sequence keeps its own count; models are made in parts of about `cells`
-    sequences times languages (see Learned). The limits of rejection are calibrated on all rows.
+    sequences times languages (see Learned). The limits of rejection come from one in `folds` texts (by a hash of the text, so
+    that copies stay together), scored by a model of the others; the model that is returned has all.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    highest = materialize(count_grams(rows), "gram-counts")
-    lower, table = [], highest
-    for k in range(ORDER - 1, 0, -1):
-        table = table.groupBy("lang", F.col("gram").bitwiseAND((1 << 16 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
-        lower.append(table.withColumn("k", F.lit(k)))
-    lower = materialize(functools.reduce(DataFrame.unionByName, lower), "lower-counts")
-    learned = Learned(highest.withColumn("k", F.lit(ORDER)).unionByName(lower), cells)
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(folds)) == 0)
+    counts = materialize(count_grams(rows), "gram-counts")
+
+    def tables(highest: DataFrame) -> DataFrame:
+        lower, table = [], highest
+        for k in range(ORDER - 1, 0, -1):
+            table = table.groupBy("lang", F.col("gram").bitwiseAND((1 << 16 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
+            lower.append(table.withColumn("k", F.lit(k)))
+        lower = materialize(functools.reduce(DataFrame.unionByName, lower), "lower-counts")
+        return highest.withColumn("k", F.lit(ORDER)).unionByName(lower)
+
+    fitted = Learned(tables(counts.where("NOT held").drop("held")), cells)
+    learned = Learned(tables(materialize(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "all-counts")), cells)
     if not learned.langs:
         return None
-    _calibrate(learned, rows)
+    limits = _calibrate(fitted, rows.where("held"), learned.langs) if fitted.langs else None
+    if limits is not None:
+        learned.limits = limits
+    fitted.forget()
     return learned
 
 
@@ -324,7 +381,7 @@ def identify(docs: DataFrame, model: Learned | None, keep: list[str] | None = No
 
     lang_pred is the language whose model gives the text the lowest cross-entropy a symbol (ties: the first by name),
     score its share of the odds (0 to 1). A text that is null or has no letter is `und`, score 0, and rejected; so is
-    one whose cross-entropy is more than 1 + 10 / sqrt(symbols) bits above the 99.9th percentile of its language.
+    one whose cross-entropy is not usual for a text of its length in that language, by held-back texts (see usual).
     Without a model all are `und`, score 0, and only texts without a letter are rejected. Repeated rows give a row
     each; an empty table gives an empty one.
     """

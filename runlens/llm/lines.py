@@ -9,11 +9,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import materialize, prepare, utf8
+from runlens.llm.common import materialize, prepare, salted_join, utf8
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANK = b" \t\n\x0b\x0c\r"
-_SALTS = 16
 
 
 def line_keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
@@ -44,12 +43,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Da
     """(doc_id, version, dropped): positions of the lines whose key is in min_docs documents or more and in a larger doc_id too.
 
     Distinct documents are counted by (key, doc_id) first, so a line that all documents share never meets in one
-    task. The join back to lines deals each key over salts for the same reason.
+    task. The join back to lines deals such a key over salts for the same reason.
     """
     lines = materialize(line_keys(docs, min_chars), "line-keys")
-    common = lines.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    salted = common.select("key", "keeper", F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])).alias("salt"))
-    found = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(_SALTS)).cast("int")).join(salted, ["key", "salt"]).where("doc_id <> keeper")
+    counted = lines.groupBy("key", "doc_id").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"), F.sum("c").alias("n"))
+    common = materialize(counted.where(F.col("docs") >= min_docs).select("key", "keeper", "n"), "common-lines")
+    found = salted_join(lines, common.select("key", "keeper"), "key", common, ["doc_id", "pos"]).where("doc_id <> keeper")
     return found.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("dropped"))
 
 
@@ -69,7 +68,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     """
     drops = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("_drop_id"), F.col("version").alias("_drop_version"), F.col("dropped").alias("_dropped"))
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    joined = docs.join(drops.hint("shuffle_hash"), (docs["doc_id"] == drops["_drop_id"]) & (F.xxhash64(docs["text"]) == drops["_drop_version"]), "left")
+    joined = docs.join(drops, (docs["doc_id"] == drops["_drop_id"]) & (F.xxhash64(docs["text"]) == drops["_drop_version"]), "left")
     text = F.coalesce(docs["text"], F.lit(""))
     out = {c: docs[c] for c in rest} | {"text": _kept(text, F.col("_dropped")), "n_lines": F.size(F.split(text, "\n", -1)).cast("long"), "n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)).cast("long")}
     order = [*(c for c in docs.columns if c in out and c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped"]

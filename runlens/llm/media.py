@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import materialize, prepare, utf8
+from runlens.llm.common import materialize, prepare, salted_join, utf8
 from runlens.llm.shingles import mix
 
 UNIT, FILL = 576, 255
@@ -178,8 +178,9 @@ def _described(files: list[bytes]) -> list[pa.Array]:
 def read_media(files: DataFrame, chunks: DataFrame, describe: bool = False) -> DataFrame:
     """(doc_id, n_bytes, media): each file put together from its chunk list, every chunk checked against its digest.
 
-    Files that have all their chunks need no shuffle; the others' missing ones come by a join on the digest. With
-    describe, in place of media what features adds to it, computed where the file is put together.
+    Files that have all their chunks need no shuffle; the others' missing ones come by a join on the digest, in which
+    chunks of very many places are dealt over several tasks. Rows of one doc_id with the same chunks are told apart no
+    further: each gets its file. With describe, in place of media what features adds to it, computed where the file is put together.
     """
     prepare(files.sparkSession)
     kind = files.schema["doc_id"].dataType.simpleString()
@@ -200,7 +201,9 @@ def read_media(files: DataFrame, chunks: DataFrame, describe: bool = False) -> D
     whole = files.where(~F.exists("own", lambda c: c.isNull())).withColumn("fetched", F.expr("cast(null AS array<struct<place:int,data:binary>>)"))
     parted = files.where(F.exists("own", lambda c: c.isNull())).withColumn("row", F.struct("doc_id", "n_bytes", F.xxhash64("digests"), F.xxhash64(F.reverse("digests"))))
     places = parted.select("row", F.posexplode(F.arrays_zip("digests", "own")).alias("place", "c")).where("c.own IS NULL").select("row", "place", F.col("c.digests").alias("digest")).distinct()
-    fetched = places.join(chunks, "digest").groupBy("row").agg(F.collect_list(F.struct("place", "data")).alias("fetched"))
+    places = materialize(places, "media-places")
+    counts = materialize(places.groupBy("digest").agg(F.count("*").alias("n")), "media-counts")
+    fetched = salted_join(places, chunks, "digest", counts, ["row", "place"], per=5_000).groupBy("row").agg(F.collect_list(F.struct("place", "data")).alias("fetched"))
     joined = parted.join(fetched, parted["row"].eqNullSafe(fetched["row"])).select("doc_id", "n_bytes", "digests", "own", "fetched")
     return whole.unionByName(joined).select("doc_id", "n_bytes", "digests", "own", "fetched").mapInArrow(build, f"doc_id {kind}, n_bytes long, {told}")
 

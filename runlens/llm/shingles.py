@@ -3,20 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        _powers[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, x, np.uint64)))) for x in (_PRIME, _INVERSE)]
-    return _powers
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,19 +19,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+def word_hashes(whole: bytes, begins: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """Keyed hashes of whole[begin:end]: eight bytes of every word at a time are mixed into what the bytes before them gave."""
+    padded = np.frombuffer(whole + bytes(8), np.uint8)
+    eight = np.ndarray(len(whole) + 1, "<u8", padded, strides=(1,))
+    left = ends - begins
+    h = mix(left.astype(np.uint64) * _SPREAD + np.uint64(key) + _SPREAD)
+    todo, at = None, begins
+    while len(at):
+        chunk, size = eight[at], np.minimum(left, 8).astype(np.uint64)
+        chunk &= ~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * size)
+        if todo is None:
+            h = mix((h ^ chunk) * _SPREAD)
+            todo = np.flatnonzero((left > 8) & (left <= _LONG))
+            at, left = at[todo] + 8, left[todo] - 8
+        else:
+            h[todo] = mix((h[todo] ^ chunk) * _SPREAD)
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(ends - begins > _LONG):
+        h[i] = xxhash.xxh3_64_intdigest(whole[begins[i] : ends[i]], seed=key & (1 << 64) - 1)
+    return h
+
+
+def shingle_sets(texts: list[bytes], width: int, key: int = 0) -> list[np.ndarray]:
     """For each text its distinct shingles of width words, sorted; fewer words make one shingle, no words an empty set.
 
-    A-Z count as a-z, words are what blanks part. All texts are hashed in one pass: a word's hash is a difference of
-    prefix sums of byte times power, shifted back to the word's start.
+    A-Z count as a-z, words are what blanks part. All texts are hashed in one pass.
     """
-    whole = np.frombuffer(b" ".join(t.lower() for t in texts) + b" ", np.uint8)
-    blank = _BLANK[whole]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank))))
+    whole = b" ".join([t.lower() for t in texts]) + b" "
+    blank = _BLANK[np.frombuffer(whole, np.uint8)]
+    edge = np.flatnonzero(np.diff(blank, prepend=True))
     begins, ends = edge[::2], edge[1::2]
-    power, inverse = _tables(len(whole) + 1)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum((whole.astype(np.uint64) + np.uint64(1)) * power[: len(whole)])))
-    words = mix((sums[ends] - sums[begins]) * inverse[begins])
+    words = word_hashes(whole, begins, ends, key)
     places = np.cumsum([0, *(len(t) + 1 for t in texts)])
     cuts = np.searchsorted(begins, places)
     hashed = np.zeros(max(0, len(words) - width + 1), np.uint64)

@@ -1,7 +1,12 @@
+import itertools
 import random
 import re
 
+import numpy as np
+import pytest
+
 from runlens.llm import lines, minhash
+from runlens.llm.shingles import shingle_sets as shingles_of
 
 from .conftest import COLUMNS
 
@@ -73,11 +78,12 @@ def test_prefix_join_alone_finds_every_link(spark):
     docs = families(7, n=25)
     sets = [(d, shingles(t, 3)) for d, t in docs]
     number = {s: i for i, s in enumerate(sorted(set().union(*(s for _, s in sets))))}
-    packed = [(d, b"".join(number[x].to_bytes(8, "little") for x in sorted(s))) for d, s in sets]
-    opened = spark.createDataFrame([(d, d) for d, _ in docs], "node long, label long")
-    prefixes = minhash._prefixes(spark.createDataFrame(packed, "node long, shingles binary"), opened, 85)
-    pairs = {(r["a"], r["b"]) for r in minhash._prefix_pairs(prefixes, 85).collect()}
-    links = {(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(x & y) >= 85 * len(x | y)}
+    name = lambda d: d.to_bytes(4, "big")
+    packed = [(name(d), b"".join(number[x].to_bytes(8, "little") for x in sorted(s))) for d, s in sets]
+    opened = spark.createDataFrame([(name(d), name(d)) for d, _ in docs], "node binary, label binary")
+    prefixes = minhash._prefixes(spark.createDataFrame(packed, "node binary, shingles binary"), opened, 85)
+    pairs = {(bytes(r["a"]), bytes(r["b"])) for r in minhash._prefix_pairs(prefixes, 85).collect()}
+    links = {(name(a), name(b)) for a, x in sets for b, y in sets if a < b and 100 * len(x & y) >= 85 * len(x | y)}
     assert links and links <= pairs and len(pairs) < 10 * len(links)
 
 
@@ -90,6 +96,40 @@ def test_near_duplicates_of_awkward_rows(awkward, empty):
     assert by[None]["component_id"] is None and by[None]["kept"] and by[5]["n_copies"] == 3
 
 
+@pytest.mark.parametrize("order", list(itertools.permutations(range(4)))[::5])
+def test_unlike_texts_of_one_doc_id(spark, order):
+    rng = random.Random(4)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a + " and more"), (3, b + " and more")]
+    got = minhash.near_duplicates(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_words_that_differ_have_unlike_hashes():
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - x for x in bits]
+    for n in (8, 64, 255, 256, 1024, 2048):
+        a, b = bytes(97 + x for x in bits[:n]), bytes(98 - x for x in bits[:n])
+        x, y, z = shingles_of([a, b, a], 3)
+        assert (x == z).all() and (x != y).all() and len(x) == 1
+        assert shingles_of([a], 3, key=1)[0] != x
+
+
+def test_pairs_at_the_threshold_meet_in_some_band():
+    """Also small sets, whose minimum and maximum under a permutation aren't independent."""
+    rng = np.random.default_rng(3)
+    for percent, low in ((80, 5), (85, 7), (80, 10), (85, 20)):
+        rows, bands = minhash.band_plan(percent)
+        keys, odd = minhash.permutations(-(-rows * bands // 2))
+        missed = 0
+        for _ in range(1500):
+            union = rng.integers(0, 1 << 63, low, dtype=np.uint64)
+            x, y = (minhash.signature(s, keys, odd)[: rows * bands].reshape(bands, rows) for s in (union, union[: -(-low * percent // 100)]))
+            missed += not (x == y).all(axis=1).any()
+        assert missed == 0
+
+
 def brute_lines(docs, least=20, most=3):
     strip, lower = "\x20\x09\x0a\x0b\x0c\x0d", lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
     key = lambda line: lower(line.strip(strip))

@@ -2,7 +2,9 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from runlens.llm import chat, langid, queries
@@ -52,6 +54,26 @@ def test_language_model_matches_plain_counting(spark, awkward, empty):
     assert langid.identify(empty, model).count() == 0 and langid.learn(empty) is None
 
 
+def test_symbols_beyond_the_basic_plane(spark):
+    codes, begins = langid.symbols(["a\U00020000b", "😀😀x", "", "\U00010400"])
+    start = [1, 1, 1]
+    assert codes.tolist() == [*start, 97, 0xD840, 0xDC00, 98, *start, 32, 120, *start, *start, 0xD801, 0xDC28] and begins.tolist() == [0, 7, 12, 15, 20]
+    rng = random.Random(2)
+    kinds = [chr(0x20000 + i) for i in range(0, 40_000, 13)]
+    model = langid.learn(spark.createDataFrame([("a", "".join(rng.choices(kinds, k=3000))), ("b", "".join(rng.choices(kinds[::2], k=3000)))], "lang string, text string"))
+    assert model.tables.where("k = 1 AND lang = 'b'").count() <= len(kinds[::2]) + 1024
+
+
+def test_long_texts_are_scored_in_windows(spark):
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdé", k=rng.randrange(1, 6))) for _ in range(n)) for n in (3, 400_000, 1)]
+    model = langid.learn(spark.createDataFrame([("a", t) for t in texts], "lang string, text string"))
+    model = model.sent(0).value
+    whole, n, letters = model.sums(texts)
+    packed = langid.grams(langid.symbols(texts[1:2])[0])[1]
+    assert n[1] == len(packed) > 1 << 20 and letters.all() and whole[1, 0] == pytest.approx(-model._log(langid.ORDER, packed).sum(dtype=float), rel=1e-6)
+
+
 def test_a_stray_label_has_a_limit_of_its_own(spark):
     rng = random.Random(9)
     say = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(n))
@@ -60,7 +82,7 @@ def test_a_stray_label_has_a_limit_of_its_own(spark):
     foreign = spark.createDataFrame([(i, say("qrstuvwxyzäöüßéèñ", 80)) for i in range(20)], "doc_id long, text string")
     for stray in strays:
         model = langid.learn(spark.createDataFrame([*rows, stray], "doc_id long, lang string, text string"))
-        assert all(math.isfinite(x) for x in model.limits)
+        assert np.isfinite(model.limits).all()
         assert langid.identify(foreign, model).where("rejected").count() == 20
         assert langid.identify(spark.createDataFrame([stray, rows[0]], "doc_id long, lang string, text string"), model).where("rejected").count() == 0
 
@@ -68,7 +90,21 @@ def test_a_stray_label_has_a_limit_of_its_own(spark):
 def test_a_label_never_predicted_takes_the_pooled_limit(spark):
     rows = [(i, x, "abab baba abba") for i in range(4) for x in "ab"]
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
-    assert model.limits[0] == model.limits[1] < 5
+    assert (model.limits[0] == model.limits[1]).all()
+
+
+def test_rejection_by_held_back_texts(spark):
+    """Known texts of all lengths stay, foreign ones and random letters go."""
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").where("lang IS NOT NULL")
+    seen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = langid.learn(docs.where(seen != 1))
+    known = langid.identify(docs.where(seen == 1), model, ["doc_id", "lang"]).where("lang_pred = lang")
+    assert known.where("rejected").count() <= 0.001 * known.count()
+    rng = random.Random(3)
+    strange = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(60)) for _ in range(20)]
+    strange += ["Съешь ещё этих мягких французских булок да выпей чаю", "Pchnąć w tę łódź jeża lub ośm skrzyń fig, zażółć gęślą jaźń", "Törkylempijävongahdus, hyvää yötä ja huomenta kaikille ystäville"]
+    gone = langid.identify(spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string"), model).where("rejected").count()
+    assert gone == len(strange)
 
 
 def test_no_sequence_is_left_out_however_many_there_are(spark):
