@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     whose nodes have reached their root take no part in the next. The second result has path_score and path_length;
     nodes on a circle never reach a root and are missing there.
     """
-    spark, up = nodes.sparkSession, nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_p"))
+    up = nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_p"))
     known = nodes.join(up, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("parent_id") == F.col("_p")), "left")
     state = materialize(known.select("conv_id", "node_id", F.col("_p").alias("up"), F.col("score").alias("path_score"), F.lit(1).cast("long").alias("path_length")), "reply-steps")
     tables, ended, most = [], [state.where("up IS NULL")], state.count()
@@ -42,10 +44,7 @@ def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         state = materialize(further.withColumn("moved", F.lit(True)).unionByName(state.where("up IS NULL").select(*further.columns, F.lit(False).alias("moved"))), "reply-steps")
         ended.append(state.where("up IS NULL AND moved").drop("moved"))
         active, state = state.where("up IS NOT NULL").drop("moved"), state.drop("moved")
-    whole = spark.createDataFrame([], state.schema)
-    for done in ended:
-        whole = whole.unionByName(done)
-    return tables, whole.drop("up")
+    return tables, functools.reduce(DataFrame.unionByName, ended).drop("up")
 
 
 def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
@@ -53,10 +52,13 @@ def best_paths(messages: DataFrame, top: int = 1) -> DataFrame:
 
     path is 1 for a conversation's branch with the highest mean score, and so on up to top; ties go to the longer
     branch, then to the smaller leaf. pos counts from 0 at the root. A parent that isn't in the conversation makes its
-    reply a root; a missing score counts as 0; messages on a circle of parents belong to no path. node_id must be
-    unique in a conversation; of repeated node_ids one stays. Null conv_ids are one conversation.
+    reply a root; a missing score counts as 0; messages on a circle of parents belong to no path. Of messages of one
+    conversation with the same node_id the one stays that is least by parent, role, text and score, nulls first; a null
+    node_id is a node like others, to which nothing replies. Null conv_ids are one conversation; empty tables give
+    empty ones, and other columns are left out.
     """
-    messages = messages.dropDuplicates(["conv_id", "node_id"])
+    rest = F.struct("parent_id", "role", "text", F.col("score").cast("double").alias("score"))
+    messages = materialize(messages.groupBy("conv_id", "node_id").agg(F.min(rest).alias("m")).select("conv_id", "node_id", "m.*"), "messages")
     nodes = messages.select("conv_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     tables, whole = jump_tables(nodes)
     parents = nodes.select(F.col("conv_id").alias("_c"), F.col("parent_id").alias("_p")).distinct()

@@ -222,7 +222,7 @@ class Learned:
                 self.discounts[r["k"] - 1, number[r["lang"]]] = min(0.95, max(0.05, r["ones"] / (r["ones"] + 2 * r["twos"])))
         self.parts = min(1 << 16, max(1, -(-sum(r["rows"] for r in told) * len(self.langs) // cells)))
         #: By language: what cross-entropies are usual in it (see usual).
-        self.limits = np.tile([np.inf, 0.0, 0.0, 0.0, 0.0], (len(self.langs), 1))
+        self.limits = np.tile([np.inf, 0.0, 0.0, 0.0, 0.0, np.inf], (len(self.langs), 1))
 
     def sent(self, part: int) -> Broadcast:
         if part not in self._sent:
@@ -309,14 +309,20 @@ def _entropies(docs: DataFrame, learned: Learned, keep: list[str]) -> DataFrame:
     return numbered.join(added, "_row").select(*keep, "_parts", "_n", "_letters").mapInArrow(whole, schema)
 
 
-#: The share of a language's held-back texts that its limit lets through, and the least and extra room in standard deviations.
-USUAL, LEAST_Z, ROOM = 0.999, 6.0, 1.25
+#: The share of a language's held-back texts that its limit lets through, the room beyond it, and the least number of
+#: standard deviations: whatever the distribution, at most 1 text in 16^2 is further from the mean.
+USUAL, ROOM, LEAST_Z = 0.999, 1.25, 16.0
 
 
 def usual(limits: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The largest usual cross-entropy of texts of n symbols, by rows of (m, c, a, b, z): mean m + c / n, plus z times the root of the variance a + b / n."""
-    m, c, a, b, z = limits.T
-    return m + c / np.maximum(n, 1) + z * np.sqrt(a + b / np.maximum(n, 1))
+    """The largest usual cross-entropy of texts of n symbols, by rows of (m, c, a, b, z, e).
+
+    The mean is m + c / n, the variance a + b / n, and z standard deviations from it are usual. A text that is no better
+    predicted than single symbols by their frequencies (e bits each, and four standard deviations of the part that shrinks with n) never is.
+    """
+    m, c, a, b, z, e = limits.T
+    n = np.maximum(n, 1)
+    return np.minimum(m + c / n + z * np.sqrt(a + b / n), np.maximum(m, e) + c / n + 4 * np.sqrt(b / n))
 
 
 def _measured(known: DataFrame) -> list[Row]:
@@ -330,8 +336,15 @@ def _measured(known: DataFrame) -> list[Row]:
     return steps.groupBy("lang", "rows", "m", "c", "a", "b").agg(F.percentile("z", F.lit(USUAL), F.col("n")).alias("z")).collect()
 
 
-def _calibrate(fitted: Learned, held_back: DataFrame, langs: list[str], least_rows: int = 30) -> np.ndarray | None:
-    """What is usual in each of langs (see usual), from texts (lang, text) that the model was not counted from; None if there are none.
+def _entropy_of_symbols(counts: DataFrame) -> dict[str, float]:
+    """Bits a symbol of each language in counts (lang, gram, n) by the frequencies of single symbols."""
+    single = counts.groupBy("lang", F.col("gram").bitwiseAND(0xFFFF).alias("s")).agg(F.sum("n").cast("double").alias("n"))
+    told = single.groupBy("lang").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log2("n")).alias("logs"))
+    return {r["lang"]: math.log2(r["all"]) - r["logs"] / r["all"] for r in told.collect()}
+
+
+def _calibrate(fitted: Learned, held_back: DataFrame, entropies: dict[str, float], least_rows: int = 30) -> np.ndarray | None:
+    """What is usual in each language of entropies (see usual), from texts (lang, text) that the model was not counted from; None if there are none.
 
     Only rows predicted as labelled count. A language with fewer than least_rows of them takes what is usual over the rows of all
     languages, or where none is right, over all rows with a letter. What is gathered is a row for each language.
@@ -343,7 +356,7 @@ def _calibrate(fitted: Learned, held_back: DataFrame, langs: list[str], least_ro
     pooled = _measured(every.where("right")) or _measured(every)
     own = {r["lang"]: limits(r) for r in _measured(known.where("right")) if r["rows"] >= least_rows}
     discard(known)
-    return np.array([own.get(x, limits(pooled[0])) for x in langs]) if pooled else None
+    return np.array([[*own.get(x, limits(pooled[0])), e] for x, e in sorted(entropies.items())]) if pooled else None
 
 
 def learn(labelled: DataFrame, cells: int = 1 << 23, folds: int = 10) -> Learned | None:
@@ -366,10 +379,11 @@ def learn(labelled: DataFrame, cells: int = 1 << 23, folds: int = 10) -> Learned
         return highest.withColumn("k", F.lit(ORDER)).unionByName(lower)
 
     fitted = Learned(tables(counts.where("NOT held").drop("held")), cells)
-    learned = Learned(tables(materialize(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "all-counts")), cells)
+    every = materialize(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "all-counts")
+    learned = Learned(tables(every), cells)
     if not learned.langs:
         return None
-    limits = _calibrate(fitted, rows.where("held"), learned.langs) if fitted.langs else None
+    limits = _calibrate(fitted, rows.where("held"), _entropy_of_symbols(every)) if fitted.langs else None
     if limits is not None:
         learned.limits = limits
     fitted.forget()

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.llm.common import discard, materialize, prepare, salted_join, utf8
 from runlens.llm.shingles import mix, shingle_sets
@@ -44,39 +45,41 @@ def _node(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def signatures(docs: DataFrame, words: int, percent: int, key: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, sketch): node names the shingle set, sketch has 16 bits of each signature value."""
+def signatures(docs: DataFrame, words: int, percent: int, key: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, the columns keep, n_shingles, node, bands, sketch): node names the shingle set, sketch has 16 bits of each signature value."""
     prepare(docs.sparkSession)
     rows, bands = band_plan(percent)
     keys, odd = permutations(-(-rows * bands // 2))
     salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(keep or [])]
+    told = T.StructType().add("n_shingles", "long").add("node", "binary").add("bands", T.ArrayType(T.LongType())).add("sketch", "binary")
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in names), *told])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, size, begin = batch.column(0), utf8(batch.column(1)), 0, 0
+            texts, size, begin = utf8(batch.column(len(names))), 0, 0
             for end, text in enumerate(texts, 1):
                 size += len(text)
                 if size < 1 << 20 and end < len(texts):
                     continue
                 sets = shingle_sets(texts[begin:end], words, key)
-                names, found, sketches = [], [], []
+                nodes, found, sketches = [], [], []
                 for s in sets:
                     if not len(s):
-                        names.append(None), found.append(None), sketches.append(None)
+                        nodes.append(None), found.append(None), sketches.append(None)
                         continue
                     values = signature(s, keys, odd)[: rows * bands]
                     band = salt.copy()
                     for j in range(rows):
                         band = mix(band * np.uint64(3) + values.reshape(bands, rows)[:, j])
-                    names.append(_node(s))
+                    nodes.append(_node(s))
                     found.append(band.view(np.int64))
                     sketches.append((values >> np.uint64(40)).astype("<u2").tobytes())
                 counts = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), counts, pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(begin, end - begin) for c in batch.columns[:-1]), counts, pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema.names)
                 begin, size = end, 0
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(sign, f"doc_id {kind}, n_shingles long, node binary, bands array<long>, sketch binary")
+    return docs.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(sign, schema)
 
 
 def _full_sets(docs: DataFrame, words: int, key: int = 0) -> DataFrame:
@@ -196,8 +199,8 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return state
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_copies): documents linked by near-equal shingle sets, directly or by way of others.
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: int = 0, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, the columns keep, n_shingles, component_id, kept, n_copies): documents linked by near-equal shingle sets, directly or by way of others.
 
     Two documents are linked if their sets of distinct shingles of so many words have 100 * intersection >=
     percent * union. A document with fewer words has its whole sequence as its only shingle; one without words, or
@@ -214,7 +217,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: int
     million, more alike ones with less (band_plan); a sketch rules out a link with odds of 1 to a billion (_likely).
     """
     own = docs.select("doc_id", "text")
-    signed = materialize(signatures(own, words, percent, key), "signatures")
+    signed = materialize(signatures(docs, words, percent, key, keep), "signatures")
     named = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     copies = materialize(named.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("n_copies")), "nodes")
     firsts = named.join(copies.select("node", "first"), "node").where("doc_id = first").select("node", "doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["node"])
@@ -260,6 +263,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: int
         known = known.join(least, "label")
     else:
         known = known.withColumn("component_id", F.col("first"))
-    told = signed.select("doc_id", "n_shingles", "node").join(known.select(F.col("node").alias("_node"), "component_id", "n_copies"), F.col("node") == F.col("_node"), "left")
+    told = signed.select("doc_id", *(keep or []), "n_shingles", "node").join(known.select(F.col("node").alias("_node"), "component_id", "n_copies"), F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return told.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return told.select("doc_id", *(keep or []), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
+import bisect
+import itertools
 import math
 import random
 import re
 import string
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import materialize, prepare
+from runlens.llm.common import discard, materialize, prepare
+from runlens.llm.shingles import mix
 
 #: Kinds in their order, pattern, group whose length counts, least length.
 BASE = [
@@ -33,10 +34,10 @@ _DIGITS = b"0123456789"
 _TOKEN = re.compile(r"[A-Za-z0-9_+/=.-]+|[^\sA-Za-z0-9_+/=.-]|\n")
 BEGIN, INSIDE, OUTSIDE = range(3)
 FEATURES = 4096
-#: A token's neighbours that are features of it, and the most tokens of a line that the field is fitted to at once.
+#: A token's neighbours that are features of it, and the tokens of a line that the field is fitted to at once, at most.
 _NEAR = (-3, -2, -1, 1)
 LENGTH = 16
-_LINE = re.compile(r"[^\n]+")
+_DIGIT = re.compile("[0-9]")
 
 Span = tuple[int, int, str]
 
@@ -57,21 +58,42 @@ def _opaque(token: str) -> bool:
     return len(token) >= 8 and any(c in "0123456789" for c in token)
 
 
-def _shape(token: str) -> list[str]:
-    kinds = Counter("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in token)
-    n = len(token)
-    entropy = -sum(v / n * math.log2(v / n) for v in Counter(token).values())
-    hexes = all(c in "0123456789abcdefABCDEF" for c in token)
-    outline = re.sub(r"(.)\1+", r"\1", "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else c for c in token))[:8]
-    return [f"len{min(n // 8, 8)}", f"digits{4 * kinds['d'] // n}", f"mix{int(kinds['u'] > 0)}{int(kinds['l'] > 0)}{int(kinds['d'] > 0)}{int(kinds['s'] > 0)}", f"entropy{int(entropy)}", f"hex{int(hexes)}{min(n // 16, 4)}", f"outline{outline}", f"only{int(kinds['d'] == n)}{min(n // 4, 8)}"]
-
-
-@functools.lru_cache(1 << 16)
-def _known(token: str) -> tuple[list[int], list[int]]:
-    """Features (hashed, at most FEATURES) of a token's shape, and those that it gives to tokens near it, by _NEAR."""
-    told = "-" if _opaque(token) or token == "\n" else token.lower()[:12]
-    number = lambda f: zlib.crc32(f.encode("utf-8", "replace")) % FEATURES
-    return [number(f) for f in _shape(token)], [number(f"at{d}:{told}") for d in _NEAR]
+#: By character: digit, capital, small letter, anything else; and whether it is a hexadecimal digit.
+_CLASS = np.array([0 if chr(c) in "0123456789" else 1 if chr(c) in string.ascii_uppercase else 2 if chr(c) in string.ascii_lowercase else 3 for c in range(129)], np.int64)
+_HEXES = np.array([chr(c) in "0123456789abcdefABCDEF" for c in range(129)])
+
+
+def _numbers(kind: int, values: np.ndarray) -> np.ndarray:
+    """Features of a kind, by hashed value, below FEATURES."""
+    return (mix(values.astype(np.uint64) + np.uint64((kind + 1) << 40)) >> np.uint64(20)).astype(np.int64) % FEATURES
+
+
+def token_features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the features of its shape (length, shares and kinds of characters, entropy, outline), and those that it gives to tokens near it, by _NEAR."""
+    codes = np.frombuffer("".join(tokens).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    n = np.array([len(t) for t in tokens], np.int64)
+    begins = np.cumsum(n) - n
+    of, at = np.repeat(np.arange(len(n)), n), np.arange(len(codes)) - np.repeat(begins, n)
+    kinds = _CLASS[np.minimum(codes, 128)]
+    total = lambda x: np.add.reduceat(x, begins)
+    digits, upper, lower, signs = (total((kinds == k).astype(np.int64)) for k in range(4))
+    pairs = np.sort(of << 21 | codes)
+    runs = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+    sizes = np.diff(np.append(runs, len(pairs)))
+    entropy = np.log2(n) - np.bincount(pairs[runs] >> 21, sizes * np.log2(sizes), len(n)) / n
+    hexes = total(_HEXES[np.minimum(codes, 128)].astype(np.int64)) == n
+    signed = np.where(kinds < 3, kinds, codes + 10)
+    turns = np.concatenate(([True], signed[1:] != signed[:-1])) | (at == 0)
+    rank = np.cumsum(turns)
+    rank -= np.repeat(rank[begins], n)
+    spread = lambda x, place: mix((x * 64 + place).astype(np.uint64))
+    outline = total(np.where(turns & (rank < 8), spread(signed, rank), np.uint64(0)))
+    small = np.where(kinds == 1, codes + 32, codes)
+    told = total(np.where(at < 12, spread(small, at), np.uint64(0)))
+    told[((n >= 8) & (digits > 0)) | (codes[begins] == 10)] = 0
+    mixed = (upper > 0) * 8 + (lower > 0) * 4 + (digits > 0) * 2 + (signs > 0)
+    shape = [np.minimum(n // 8, 8), 4 * digits // n, mixed, (entropy + 1e-9).astype(np.int64), hexes * 8 + np.minimum(n // 16, 4), outline, (digits == n) * 16 + np.minimum(n // 4, 8)]
+    return np.stack([_numbers(k, v) for k, v in enumerate(shape)], axis=1), np.stack([_numbers(20 + j, told) for j in range(len(_NEAR))], axis=1)
 
 
 def _file(raw: bytes) -> list[int]:
@@ -83,9 +105,10 @@ def _file(raw: bytes) -> list[int]:
 
 def line_features(tokens: list[str], file: list[int]) -> list[list[int]]:
     """The features of each token of a line."""
-    near = [_known(t)[1] for t in tokens]
-    none = _known("\n")[1]
-    return [[*_known(t)[0], *(near[i + d][j] if 0 <= i + d < len(tokens) else none[j] for j, d in enumerate(_NEAR)), *file] for i, t in enumerate(tokens)]
+    own, near = token_features([*tokens, "\n"])
+    none = len(tokens)
+    beside = np.stack([near[[i + d if 0 <= i + d < none else none for i in range(none)], j] for j, d in enumerate(_NEAR)], axis=1)
+    return np.concatenate((own[:-1], beside, np.tile(np.array(file, np.int64), (none, 1))), axis=1).tolist()
 
 
 class Field:
@@ -141,19 +164,16 @@ class Tagger:
         if len(self.numbers) > self.words:
             self.numbers = {}
         numbers = self.numbers
-        if "\n" not in numbers:
-            self._add("\n")
-        for token in set(tokens).difference(numbers):
-            self._add(token)
-        return np.array([numbers[t] for t in tokens], np.int64)
-
-    def _add(self, token: str) -> None:
-        at = self.numbers[token] = len(self.numbers)
-        if at == len(self.sums):
-            self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
-        own, near = _known(token)
-        self.sums[at, 0] = self.field.emission[own].sum(axis=0)
-        self.sums[at, 1:] = self.field.emission[near]
+        new = [t for t in dict.fromkeys(("\n", *tokens)) if t not in numbers]
+        if new:
+            first = len(numbers)
+            numbers.update(zip(new, range(first, first + len(new)), strict=True))
+            while first + len(new) > len(self.sums):
+                self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
+            own, near = token_features(new)
+            self.sums[first : first + len(new), 0] = sum(self.field.emission[own[:, k]] for k in range(own.shape[1]))
+            self.sums[first : first + len(new), 1:] = self.field.emission[near]
+        return np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
 
     def local(self, tokens: list[str], files: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's sums of weights by tag (those of its text, files, among them), and which tokens are ends of lines."""
@@ -282,21 +302,24 @@ def _tags(places: list[tuple[int, int]], spans: list[Span]) -> list[int]:
     return out
 
 
-def pieces(text: str, spans: list[Span]) -> Iterator[tuple[list[str], list[int], int, int]]:
-    """The lines' tokens and tags, and from where to where at most LENGTH of them are a piece. Pieces are cut before a secret rather than in it."""
-    for line in _LINE.finditer(text):
-        found = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, *line.span())]
-        tokens, tags = [t for _, _, t in found], [OUTSIDE] * len(found)
-        if spans:
-            tags = _tags([(a, b) for a, b, _ in found], spans)
-        begin = 0
-        while begin < len(tokens):
-            end = cut = min(begin + LENGTH, len(tokens))
-            while begin < cut < len(tokens) and tags[cut] == INSIDE:
-                cut -= 1
-            end = cut if cut > begin else end
-            yield tokens, tags, begin, end
-            begin = end
+def pieces(line: str, spans: list[Span], at: int = 0) -> list[tuple[list[str], list[int], int, int]]:
+    """A line's tokens and tags, and from where to where at most LENGTH of them are a piece; spans count from the text's begin, the line begins `at`.
+
+    Pieces are cut before a secret rather than in it.
+    """
+    found = [(at + m.start(), at + m.end(), m[0]) for m in _TOKEN.finditer(line)]
+    tokens, tags = [t for _, _, t in found], [OUTSIDE] * len(found)
+    if spans:
+        tags = _tags([(a, b) for a, b, _ in found], spans)
+    begin, out = 0, []
+    while begin < len(tokens):
+        end = cut = min(begin + LENGTH, len(tokens))
+        while begin < cut < len(tokens) and tags[cut] == INSIDE:
+            cut -= 1
+        end = cut if cut > begin else end
+        out.append((tokens, tags, begin, end))
+        begin = end
+    return out
 
 
 def piece(tokens: list[str], tags: list[int], begin: int, end: int, file: list[int]) -> tuple[list[list[int]], list[int]]:
@@ -325,9 +348,10 @@ def made_lines(n: int = 300, seed: int = 7) -> Iterator[tuple[str, list[Span]]]:
 def learn(docs: DataFrame, runs: int = 2000) -> Field:
     """A field fitted to what the fixed patterns tag, and to made_lines.
 
-    All lines of all documents are cut to pieces of at most LENGTH tokens, with features from the whole line. At most
-    `runs` pieces with a secret, as many without one but with a long token that has a digit, and as many others are
-    taken, those of the least hashes. A task tells no more than that, so the driver gets three times `runs` pieces.
+    The sample it is fitted to: of the lines of all documents at most `runs` with a secret, as many without one but with a
+    long token that has a digit, and as many others, those of the least hashes; of each line a piece of at most LENGTH
+    tokens (that with the first secret, else one by the hash), with features from the whole line. A task tells no more
+    than that, so the driver gets three times `runs` pieces. Scanning isn't bounded so: it takes all tokens of all lines.
     """
     prepare(docs.sparkSession)
 
@@ -337,15 +361,23 @@ def learn(docs: DataFrame, runs: int = 2000) -> Field:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 raw = text.encode()
-                spans, file = base_spans(text, raw, value=True), None
-                for tokens, tags, begin, end in pieces(text, spans):
-                    own = tokens[begin:end]
-                    kind = 0 if spans and any(t != OUTSIDE for t in tags[begin:end]) else 1 if any(map(_opaque, own)) else 2
-                    turn = zlib.crc32(" ".join(own).encode())
+                spans, file, at, reached = base_spans(text, raw, value=True), None, 0, 0
+                for line in text.split("\n"):
+                    begin, at = at, at + len(line) + 1
+                    if not line:
+                        continue
+                    while reached < len(spans) and spans[reached][1] <= begin:
+                        reached += 1
+                    kind = 0 if reached < len(spans) and spans[reached][0] < at - 1 else 1 if _DIGIT.search(line) and any(map(_opaque, _TOKEN.findall(line))) else 2
+                    turn = zlib.crc32(line.encode())
                     if turn >= most[kind] or turn in held[kind]:
                         continue
+                    cuts = pieces(line, spans[reached:] if kind == 0 else [], begin)
+                    if not cuts:
+                        continue
                     file = file or _file(raw)
-                    held[kind][turn] = piece(tokens, tags, begin, end, file)
+                    chosen = next((c for c in cuts if any(t != OUTSIDE for t in c[1][c[2] : c[3]])), cuts[turn % len(cuts)])
+                    held[kind][turn] = piece(*chosen, file)
                     if len(held[kind]) >= 2 * runs:
                         held[kind] = dict(sorted(held[kind].items())[:runs])
                         most[kind] = max(held[kind]) + 1
@@ -355,9 +387,11 @@ def learn(docs: DataFrame, runs: int = 2000) -> Field:
             kinds = (pa.int32(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "turn", "features", "tags"])
 
-    every = docs.where("text IS NOT NULL").select("text").mapInArrow(pieces_of, "kind int, turn long, features array<array<int>>, tags array<int>")
-    every = materialize(every, "secret-pieces").dropDuplicates(["kind", "features", "tags"])
+    every = docs.where("text IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(pieces_of, "kind int, turn long, features array<array<int>>, tags array<int>")
+    written = materialize(every, "secret-pieces")
+    every = written.dropDuplicates(["kind", "features", "tags"])
     taken = [r for k in range(3) for r in every.where(F.col("kind") == k).orderBy("turn", F.xxhash64("features", "tags")).limit(runs).collect()]
+    discard(written)
     xs, ys = [r["features"] for r in taken], [r["tags"] for r in taken]
     for line, spans in made_lines():
         for cut in pieces(line, spans):
@@ -367,13 +401,19 @@ def learn(docs: DataFrame, runs: int = 2000) -> Field:
     return fit(xs, ys)
 
 
+def apart(spans: list[Span], base: list[Span]) -> list[Span]:
+    """The spans that meet none of base, which is in order of starts."""
+    starts, reach = [b[0] for b in base], list(itertools.accumulate((b[1] for b in base), max))
+    return [s for s in spans if not (i := bisect.bisect_left(starts, s[1])) or reach[i - 1] <= s[0]]
+
+
 def scan_secrets(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, spans) for each row of docs: spans of (kind, start, end) in code points, by start and then kind.
 
     Kinds assign, access and hex are the fixed patterns' matches, each found from left to right without overlaps of
     its own kind, those with too short a secret dropped after matching; crf are spans of the field that meet none of
-    them. Null text counts as empty and has no span; repeated rows give a row each; an empty table gives an empty one;
-    other columns are left out.
+    them. Spans of one start are in the order of KINDS. Null text counts as empty and has no span; repeated rows give a
+    row each; an empty table gives an empty one; other columns are left out.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -387,7 +427,7 @@ def scan_secrets(docs: DataFrame, field: Field) -> DataFrame:
             raws = [t.encode() for t in texts]
             for text, raw, tagged in zip(texts, raws, tagger.spans(texts, raws), strict=True):
                 base = base_spans(text, raw)
-                own = [s for s in tagged if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+                own = apart(tagged, base)
                 out.append([{"kind": k, "start": a, "end": b} for a, b, k in sorted(base + own, key=lambda s: (s[0], KINDS.index(s[2])))])
             spans = pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), spans], ["doc_id", "spans"])

@@ -3,13 +3,17 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from runlens.llm import chat, langid, queries
 
 from .conftest import DATA
+from .test_decontam import flat, holds
+from .test_dedup import brute_components, brute_lines
 
 
 def brute_entropy(texts, text, symbols):
@@ -149,6 +153,87 @@ def test_reply_trees(spark):
             assert [r["node_id"] for r in sorted(got, key=lambda r: r["pos"]) if (r["conv_id"], r["path"]) == (c, k)] == way
 
 
+def test_awkward_reply_trees(spark, empty):
+    schema = "conv_id long, node_id long, parent_id long, role string, text string, score double, path long, pos long"
+    rows = [
+        (1, 1, None, "user", None, None, 9, 9), (1, 2, 1, None, "", 1.0, 9, 9), (1, 3, 1, "assistant", "b", 1.0, 9, 9), (1, 3, 1, "assistant", "a", 1.0, 9, 9),  # a tie, and a repeated node_id
+        (2, 1, 2, "user", "x", 0.0, 9, 9), (2, 2, 1, "user", "y", 0.0, 9, 9),  # a circle
+        (3, 5, 4, "assistant", "lone", None, 9, 9), (3, 5, 4, "assistant", "lone", None, 9, 9),  # a parent that isn't there, repeated rows
+        (None, 1, None, "user", "n", None, 9, 9), (None, 2, 1, "assistant", "m", None, 9, 9), (4, None, None, "user", "z", None, 9, 9),
+    ]
+    trees = spark.createDataFrame(rows, schema)
+    told = {}
+    for r in chat.best_paths(trees, 2).collect():
+        told.setdefault((r["conv_id"], r["path"]), []).append((r["pos"], r["node_id"], r["text"]))
+    assert {k: sorted(v) for k, v in told.items()} == {(1, 1): [(0, 1, None), (1, 2, "")], (1, 2): [(0, 1, None), (1, 3, "a")], (3, 1): [(0, 5, "lone")], (None, 1): [(0, 1, "n"), (1, 2, "m")]} | ({(4, 1): told[4, 1]} if (4, 1) in told else {})
+    whole = {r["conv_id"]: r for r in chat.parse_formatted(chat.format_chats(trees)).collect()}
+    assert [(t["role"], t["text"]) for t in whole[1]["turns"]] == [("user", ""), ("", "")] and whole[None]["loss_text"] == "m"
+    assert chat.format_chats(trees.limit(0)).count() == 0
+    rows = spark.createDataFrame([(1, 0, "user", "<|turn|>\\"), (1, 0, "user", "<|turn|>\\"), (1, None, None, None), (2, 5, "assistant", "x" * 300_000)], "conv_id long, turn long, role string, text string")
+    back = {r["conv_id"]: r for r in chat.parse_formatted(chat.format_chats(chat.as_reply_trees(rows))).collect()}
+    assert [t["text"] for t in back[1]["turns"]] == ["", "<|turn|>\\", "<|turn|>\\"] and len(back[2]["loss_text"]) == 300_000
+    assert chat.format_chats(chat.as_reply_trees(rows.limit(0))).count() == 0
+
+
+CLASH = ["lang_pred", "score", "cross_entropy", "n_symbols", "rejected", "n_lines", "n_dropped", "node", "version", "row", "_gone", "_bad", "_text", "key", "kept", "component_id", "start", "label"]
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, empty):
+    """Nulls, empty and very long texts, repeated rows, empty tables, and columns named like those of the stages."""
+    extra = [F.lit(i).alias(c) if i % 2 else F.lit(f"own {c}").alias(c) for i, c in enumerate(CLASH)]
+    docs = awkward.drop("node", "label", "start").select("*", *extra)
+    docs = corpus_pipeline.materialize(docs, "awkward")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty.drop("node", "label", "start").select("*", *extra), f"{DATA}/sf0.001").count() == 0
+        out = corpus_pipeline.materialize(stage(spark, docs, f"{DATA}/sf0.001"), name)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all(r[c] == (i if i % 2 else f"own {c}") for r in rows for i, c in enumerate(CLASH))
+        ids = sorted(str(r["doc_id"]) for r in rows)
+        if name == "language_id":
+            assert not {"0", "1", "2"} & set(ids) and len(ids) == docs.count() - 3
+        if name == "line_dedup":
+            assert {r["doc_id"]: r["text"] for r in rows if r["doc_id"] in (8, 9, 10)} == {8: "second", 9: "x\ny", 10: "\n".join(["A line that many documents share, word for word"] * 2)}
+            assert all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] is not None and r["n_chars"] is not None)
+        if name == "near_dedup":
+            assert ids.count("5") == 1 and ids.count("9") == 1 and "6" not in ids and "7" not in ids and "None" in ids
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def brute_pipeline(docs, benchmark):
+    """Line dedup, near-dedup and decontamination by plain loops on (doc_id, text)."""
+    texts = {d: t for d, (_, _, t) in brute_lines(docs).items()}
+    groups = brute_components(list(texts.items()), 5, 80)
+    texts = {d: t for d, t in texts.items() if groups[d][1] == d}
+    return {d: t for d, t in texts.items() if not any(holds(flat(item), flat(t)) for item in benchmark)}
+
+
+def test_pipeline_matches_plain_loops(spark, tmp_path):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 7)))
+    benchmark = [" ".join(word() for _ in range(20)) for _ in range(3)]
+    shared = ["a footer line that recurs in many documents", "another line that is in several of them too"]
+    base = [[word() for _ in range(40)] for _ in range(25)]
+    docs = []
+    for i in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(40)] = word()
+        rows = [" ".join(words)] + [x for x in shared if rng.random() < 0.3] + ([rng.choice(benchmark).upper()] if rng.random() < 0.2 else [])
+        docs.append((i, "\n".join(rows), "en", "s", None))
+    sf = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(list(enumerate(benchmark)), "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    want = brute_pipeline([(d, t) for d, t, *_ in docs], benchmark)
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {}
+    for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
+        ids.setdefault(p["doc_id"], []).extend(np.frombuffer(p["ids"], "<u4").tolist())
+    assert ids == {d: [*library.encode(t, add_special_tokens=False).ids, 1] for d, t in want.items()} and 10 < len(want) < 40
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     columns, rows = docs.columns, docs.count()
