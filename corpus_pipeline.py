@@ -1,6 +1,9 @@
 """Documents to training sequences: language ID, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
+docs has doc_id, text, lang and n_chars at least; stages but the last return its columns, whatever they are called, and
+pass on those that they have no part in. All stages take nulls in any column, empty and very long texts, repeated rows
+and empty tables, which give empty ones.
 """
 
 from __future__ import annotations
@@ -13,35 +16,64 @@ from runlens.llm import decontam, langid, lines, minhash, packing
 from runlens.llm.common import materialize
 
 
+def _with_row(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that an operator reads, and the whole row in one column, so that no other column's name can clash with its own."""
+    return docs.select(*columns, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def _rows(told: DataFrame, columns: list[str], changed: dict[str, F.Column] | None = None) -> DataFrame:
+    """The rows back from _with_row, with some columns changed."""
+    return told.select(*[(changed or {}).get(c, F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects, and sets lang to the language found."""
-    model = langid.learn(docs)
-    judged = langid.identify(docs, model, docs.columns)
-    found = judged.where("NOT rejected")
-    if model is None:
-        return found.select(*docs.columns)
-    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    """Drops documents that language ID rejects, and sets lang to the language found.
+
+    Rejected are null texts, texts without a letter, and those that no language's model takes for its own. Ties between
+    languages go to the first by name; repeated rows are judged alike. Without any labelled text, lang stays as it is and
+    only texts without a letter go. n_chars and rows without doc_id stay as they are.
+    """
+    model = langid.learn(docs.select("lang", "text"))
+    judged = langid.identify(_with_row(docs, "text"), model, ["row"]).where("NOT rejected")
+    return _rows(judged, docs.columns, {} if model is None else {"lang": F.col("lang_pred")})
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that other documents keep; n_chars follows the text."""
-    cut = lines.dedup_lines(docs)
-    return cut.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Drops lines that other documents keep; n_chars follows the text.
+
+    Null text becomes empty, and a document all of whose lines go stays with an empty text. Of documents that share a
+    line the largest doc_id keeps it; rows without doc_id neither count nor change; repeated rows are one document.
+    """
+    cut = lines.dedup_lines(_with_row(docs, "doc_id", "text"))
+    return _rows(cut, docs.columns, {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)})
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies (five words, 0.8)."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Keeps one document of each group of near copies (five words, 0.8): that of the smallest doc_id.
+
+    Null texts and those without a word are like nothing and stay; rows without doc_id stay. Texts of one doc_id are
+    judged each. Of repeated rows with one doc_id and text the first by lang, source and n_chars stays, nulls first.
+    """
+    named = _with_row(docs, "doc_id", "text").withColumn("version", F.xxhash64("text"))
+    told = minhash.near_duplicates(named, keep=["version"]).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    told = told.groupBy(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version")).agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_n"))
+    told = materialize(told.where("NOT _kept OR _n > 1"), "near-copies")
+    left = named.join(told, (F.col("doc_id") == F.col("_doc_id")) & (F.col("version") == F.col("_version")), "left").where("_kept IS NULL OR _kept")
+    order = F.struct(*[F.col("row").getField(c) for c in ("lang", "source", "n_chars") if c in docs.columns])
+    once = left.where("_n > 1").groupBy("doc_id", "version").agg(F.min_by("row", order).alias("row"))
+    return _rows(left.where("_n IS NULL OR _n = 1").select("row").unionByName(once.select("row")), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item, exactly or within its edit budget.
+
+    All rows of a doc_id go if one of them holds an item; null and empty texts hold none; rows without doc_id stay.
+    """
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, with their ids, in sequences of at most 2048 tokens."""
+    """The documents' pieces, with their ids, in sequences of at most 2048 tokens; null text counts as empty, repeated rows are packed each."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What marks a placeholder or a reference to the environment, and flags and keys that carry credentials.
+#: What marks a placeholder or a reference to the environment, and the name of a script in a command line.
 PLACEHOLDER = r"^(REPLACE_WITH_|OPTIONAL_|\$\{)"
-CREDENTIAL_KEY = r"(?i)(token|secret|password|api[_-]?key|credential)"
+SCRIPT = r"([\w.-]+\.py)"
 
 #: Patterns and what stands in their place.
 REDACTIONS = [
@@ -25,7 +25,7 @@ def redact(text: Column, rules: list[tuple[str, str]] | None = None) -> Column:
 
 def script_name(command: Column) -> Column:
     """The script that a command line runs; null without one."""
-    return F.nullif(F.regexp_extract(command, r"([A-Za-z0-9_.-]+\.py)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(command, SCRIPT, 1), F.lit(""))
 
 
 def short_hash(text: Column) -> Column:
@@ -41,10 +41,6 @@ def normalized(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def padded_id(prefix: str, number: Column, width: int = 3) -> Column:
-    return F.concat(F.lit(f"{prefix}-"), F.lpad(number.cast("string"), width, "0"))
-
-
 def k_of_n(text: Column) -> Column:
     """(seen, total, partial) of `k of N`; null where there is none."""
     seen = F.regexp_extract(text, r"(\d+) of (\d+)", 1).try_cast("int")
@@ -59,9 +55,11 @@ def section_tags(text: Column) -> Column:
 
 def set_front_matter(text: Column, key: str, value: Column) -> Column:
     """The text with a key of its leading --- block set, added if missing; unchanged without a block."""
-    has = text.rlike(rf"(?s)^---\n(.*\n)?{key}:[^\n]*\n.*?---")
-    changed = F.regexp_replace(text, F.lit(rf"(?s)^(---\n(?:.*?\n)?){key}:[^\n]*\n"), F.concat(F.lit(f"$1{key}: "), value, F.lit("\n")))
-    added = F.regexp_replace(text, F.lit(r"(?s)^---\n"), F.concat(F.lit(f"---\n{key}: "), value, F.lit("\n")))
+    block = rf"(?s)\A(---\n(?:(?!---\n).*?\n)??){key}:[^\n]*\n"
+    has = text.rlike(block) & (F.length(F.regexp_extract(text, rf"(?s)\A---\n(.*?\n)??---", 0)) >= F.length(F.regexp_extract(text, block, 0)))
+    quoted = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    changed = F.regexp_replace(text, F.lit(block), F.concat(F.lit(f"$1{key}: "), quoted, F.lit("\n")))
+    added = F.concat(F.lit(f"---\n{key}: "), value, F.lit("\n"), F.substr(text, F.lit(5)))
     return F.when(has, changed).when(text.startswith("---\n"), added).otherwise(text)
 
 

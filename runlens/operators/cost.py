@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = {"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_input_tokens", "cache_write": "cache_creation_input_tokens"}
@@ -56,6 +56,7 @@ def cost(used: DataFrame, rates: dict[str, tuple[float, float, float, float]] |
 
 
 def prefix_join(used: DataFrame, rates: DataFrame) -> DataFrame:
-    """The same match as a join, for rate cards that are tables: the longest prefix wins."""
-    key = Window.partitionBy("session").orderBy(F.desc(F.length("prefix")))
-    return used.join(F.broadcast(rates), F.col("model").startswith(F.col("prefix")), "left").withColumn("_n", F.row_number().over(key)).where("_n = 1").drop("_n")
+    """The same match as a join, for rate cards that are tables: the longest prefix wins. Only distinct models meet the rates; every row of used stays."""
+    names = used.select(F.col("model").alias("_model")).distinct()
+    best = names.join(rates, F.col("_model").startswith(F.col("prefix"))).groupBy("_model").agg(F.max_by(F.struct(*rates.columns), F.length("prefix")).alias("_rate"))
+    return used.join(best, F.col("model").eqNullSafe(F.col("_model")), "left").select(*used.columns, "_rate.*")

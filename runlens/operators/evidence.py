@@ -46,16 +46,6 @@ def sites(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\w./-]+\.[A-Za-z]\w*:\d+)"), 1))
 
 
-def excluded(path: Column, rules: list[str]) -> Column:
-    """Whether the last rule that matches excludes the path. name/ is a folder at any depth, *.x an ending, !rule takes back in."""
-    out = F.lit(False)
-    for rule in rules:
-        body = rule.removeprefix("!")
-        pattern = rf"(^|/){re.escape(body[:-1])}/" if body.endswith("/") else rf"(^|/){re.escape(body)}$".replace(r"\*", "[^/]*")
-        out = F.when(path.rlike(pattern), F.lit(not rule.startswith("!"))).otherwise(out)
-    return out
-
-
 _BRACES = {"js", "ts", "java", "go", "rs", "kt", "dart"}
 _SYMBOL = "path string, name string, kind string, line int, end_line int"
 

@@ -39,12 +39,12 @@ def rate_limit(calls: DataFrame, tool: str, max_calls: int = 2, key: tuple[str,
     return calls.withColumn("call_number", F.when(counts, F.row_number().over(order))).withColumn("allowed", F.coalesce(F.col("call_number") <= max_calls, F.lit(True)))
 
 
-def repeat_guard(calls: DataFrame, limit: int = 8, tool: str = "Edit", exempt: str = r"^\.claude/state/", run: str = "run_id", task: str = "task_id", target: str = "file") -> DataFrame:
-    """Adds episode, attempt and denied: in an episode (a stretch of one task) the call after `limit` of a tool on one file is denied, once."""
+def repeat_guard(calls: DataFrame, limit: int = 8, tool: str = "Edit", exempt: str | None = None, run: str = "run_id", task: str = "task_id", target: str = "file") -> DataFrame:
+    """Adds episode, attempt and denied: in an episode (a stretch of one task) the call after `limit` of a tool on one file is denied, once; files that match exempt are free."""
     order = Window.partitionBy(run).orderBy("ts", "event_id")
     changed = F.coalesce(~F.col(task).eqNullSafe(F.lag(task).over(order)), F.lit(True)).cast("int")
     first = F.when(F.row_number().over(order) == 1, 1).otherwise(changed)
     episodes = calls.withColumn("_new", first).withColumn("episode", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    counts = (F.col("tool") == tool) & ~F.col(target).rlike(exempt)
+    counts = (F.col("tool") == tool) & (~F.col(target).rlike(exempt) if exempt else F.lit(True))
     attempt = F.row_number().over(Window.partitionBy(run, "episode", target, counts).orderBy("ts", "event_id"))
     return episodes.withColumn("attempt", F.when(counts, attempt)).withColumn("denied", F.coalesce(F.col("attempt") == limit + 1, F.lit(False)))

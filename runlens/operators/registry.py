@@ -26,15 +26,19 @@ def capped_history(results: DataFrame, cap: int = HISTORY_CAP, key: str = "case_
 
 
 def record(cases: DataFrame, runs: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
-    """cases with runs (id, result, commit) recorded: last_run moves to the front of history, which keeps cap entries; nothing else changes.
+    """cases with runs (id, ts, result, commit) recorded in order of time: each moves the last_run before it to the front of history, which keeps cap entries; nothing else changes.
 
     Runs of unknown cases or with unknown results are left out (see rejected_runs).
     """
-    known = runs.where(F.col("result").isin(*RESULTS)).select(F.col("id").alias("_id"), F.struct("result", "commit").alias("_run"))
+    none = F.array().cast("array<struct<result:string,commit:string>>")
+    order = Window.partitionBy("id").orderBy(F.desc("ts"), F.desc("commit"), "result")
+    newest = runs.where(F.col("result").isin(*RESULTS)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap + 1)
+    known = newest.groupBy(F.col("id").alias("_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "result", "commit"))), lambda x: F.struct(x["result"].alias("result"), x["commit"].alias("commit"))).alias("_runs"))
     joined = cases.join(known, cases["id"] == known["_id"], "left")
-    pushed = F.slice(F.concat(F.when(F.col("last_run").isNotNull(), F.array("last_run")).otherwise(F.array().cast("array<struct<result:string,commit:string>>")), F.coalesce("history", F.array().cast("array<struct<result:string,commit:string>>"))), 1, cap)
-    ran = F.col("_run").isNotNull()
-    new = {"last_run": F.when(ran, F.col("_run")).otherwise(F.col("last_run")), "history": F.when(ran, pushed).otherwise(F.col("history"))}
+    before = F.concat(F.when(F.col("last_run").isNotNull(), F.array("last_run")).otherwise(none), F.coalesce("history", none))
+    ran = F.col("_runs").isNotNull()
+    pushed = F.slice(F.concat(F.slice("_runs", 2, cap), before), 1, cap)
+    new = {"last_run": F.when(ran, F.col("_runs")[0]).otherwise(F.col("last_run")), "history": F.when(ran, pushed).otherwise(F.col("history"))}
     return joined.select(*[new.get(c, F.col(c)).alias(c) for c in cases.columns])
 
 

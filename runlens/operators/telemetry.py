@@ -62,7 +62,8 @@ def heaviest_calls(calls: DataFrame, n: int = 10) -> DataFrame:
 
 def hook_errors(events: DataFrame) -> DataFrame:
     """Events with an error text, by run."""
-    return events.where("event = 'hook_error' OR (event IS NOT NULL AND error IS NOT NULL)").select("run_id", "ts", "hook", "error")
+    own = ["event_id"] if "event_id" in events.columns else []
+    return events.where("event = 'hook_error' OR (event IS NOT NULL AND error IS NOT NULL)").select(*own, "run_id", "ts", "hook", "error")
 
 
 def one_report(*parts: DataFrame) -> DataFrame:

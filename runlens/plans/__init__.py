@@ -1 +1 @@
-"""Dependency plans and claims."""
+"""Plans of dependent tasks and of review sweeps."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.functions import documents
 from runlens.shared import materialize
 
 
@@ -108,3 +109,54 @@ def coverage(planned: DataFrame, reported: DataFrame) -> DataFrame:
     all_batches = planned.groupBy("dir", "part", "seq").agg(F.count("*").alias("files")).join(told, ["dir", "part", "seq"], "left")
     counts = all_batches.agg(F.count("*").alias("batches"), F.count("told").alias("reported"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum(F.when(F.col("told") == 1, F.col("files"))), F.lit(0)).alias("covered"))
     return counts.withColumn("exit_code", F.when(F.col("batches") == 0, 2).when(F.col("batches") == F.col("reported"), 0).otherwise(1))
+
+
+#: What a task's status may become.
+TRANSITIONS = {"pending": ["running", "deferred"], "running": ["done", "blocked"], "blocked": ["pending", "deferred"], "deferred": ["pending"], "done": []}
+#: Exit codes of a plan.
+OK, FAILED, NOTHING, CIRCLE, NOT_RUNNABLE = range(5)
+
+
+def invalid_transitions(changes: DataFrame) -> DataFrame:
+    """changes (id, seq, status) -> (id, seq, before, status) where a task's next status isn't one that may follow; the first has to be pending."""
+    allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    told = changes.withColumn("before", F.lag("status").over(Window.partitionBy("id").orderBy("seq")))
+    fits = F.when(F.col("before").isNull(), F.col("status") == "pending").otherwise(F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("before")), F.col("status")), F.lit(False)))
+    return told.where(~F.coalesce(fits, F.lit(False))).select("id", "seq", "before", "status")
+
+
+def plan(tasks: DataFrame) -> DataFrame:
+    """One row: exit_code 3 and nothing to run where dependencies make a circle, else what next_task says."""
+    circle = on_circles(tasks).agg(F.count("*").alias("on_circles"))
+    both = next_task(tasks).unionByName(circle, allowMissingColumns=True)
+    told = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    broken = F.col("on_circles") > 0
+    return told.select(F.when(~broken, F.col("id")).alias("id"), F.when(broken, 0).otherwise(F.col("runnable")).alias("runnable"), "blocked", "on_circles", F.when(broken, CIRCLE).otherwise(F.col("exit_code")).alias("exit_code"))
+
+
+def single_task(tasks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (id) -> (id, exit_code, error): 0 for a runnable task; 4 where dependencies are pending, or it isn't pending or unknown."""
+    told = wanted.select("id").join(readiness(tasks), "id", "left")
+    runs = F.coalesce(F.col("state") == "runnable", F.lit(False))
+    return told.select("id", F.when(runs, OK).otherwise(NOT_RUNNABLE).alias("exit_code"), F.when(~runs, F.concat("id", F.lit(" is not runnable: "), F.coalesce("state", F.lit("not pending")))).alias("error"))
+
+
+def from_documents(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, id, role, status, intent, depends_on, skills_to_load, complexity, k) of task documents (key, text) by their front matter; documents without one are left out."""
+    fm = documents.front_matter(F.col("text"))
+    told = docs.select(key, fm.alias("_fm")).where("_fm IS NOT NULL")
+    listed = lambda k: F.coalesce(F.try_element_at("_fm", F.lit(k)), F.array().cast("array<string>")).alias(k)
+    one = lambda k: documents.scalar(F.col("_fm"), k).alias(k)
+    return told.select(key, one("id"), one("role"), one("status"), one("intent"), listed("depends_on"), listed("skills_to_load"), one("complexity"), documents.scalar(F.col("_fm"), "k").try_cast("int").alias("k"))
+
+
+def partition_faults(files: DataFrame, planned: DataFrame) -> DataFrame:
+    """(path, n): files that aren't in exactly one batch of planned (dir, part, seq, path), and planned paths that are no file (n is null)."""
+    counted = planned.groupBy("path").agg(F.count("*").alias("n"))
+    told = files.select("path").distinct().withColumn("_there", F.lit(True)).join(counted, "path", "full_outer")
+    return told.where("_there IS NULL OR n IS NULL OR n <> 1").select("path", F.when(F.col("_there"), F.coalesce("n", F.lit(0))).alias("n"))
+
+
+def is_strict_subset(keys: Column, of: Column) -> Column:
+    """Whether all of keys are in the other list, which has more."""
+    return (F.size(F.array_except(keys, of)) == 0) & (F.size(F.array_except(of, keys)) > 0)

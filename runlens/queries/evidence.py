@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import text
-from runlens.operators import evidence, planning, retrieval, upkeep
+from runlens.operators import evidence, retrieval, upkeep
+from runlens.plans import tasks as planning
 from runlens.queries import query, table
 from runlens.sources import adapters
 
@@ -61,34 +62,11 @@ def _tasks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_TASKS, "id string, status string, depends_on array<string>")
 
 
-@query(_TASK_SQL + """w AS (SELECT id, id AS at, 0 AS n FROM tasks UNION SELECT w.id, k.needs, n + 1 FROM w JOIN k ON k.id = w.at WHERE n < 20)
-SELECT id, CASE WHEN max(n) < 20 THEN max(n) END AS level FROM w GROUP BY id""")
-def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.levels(_tasks(spark))
-
-
 @query(_TASK_SQL + "w AS (SELECT id, needs FROM k UNION SELECT w.id, k.needs FROM w JOIN k ON k.id = w.needs) SELECT id FROM w WHERE id = needs")
 def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.on_circles(_tasks(spark))
 
 
-@query(_TASK_SQL + """s AS (SELECT t.id, e.needs, d.status FROM tasks t LEFT JOIN e ON e.id = t.id LEFT JOIN tasks d ON d.id = e.needs WHERE t.status = 'pending')
-SELECT id, CASE WHEN bool_or(needs IS NOT NULL AND status IS NULL) THEN 'invalid' WHEN bool_or(coalesce(status IN ('blocked', 'deferred'), false)) THEN 'blocked_by_dep'
-  WHEN bool_and(needs IS NULL OR coalesce(status = 'done', false)) THEN 'runnable' ELSE 'waiting' END AS state FROM s GROUP BY id""")
-def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.readiness(_tasks(spark))
-
-
-@query(_TASK_SQL + "m AS (SELECT e.id, needs FROM e LEFT JOIN tasks t ON t.id = needs WHERE t.id IS NULL) SELECT id, list(needs ORDER BY needs) AS missing FROM m GROUP BY id")
-def invalid_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.invalid_deps(_tasks(spark))
-
-
-@query("SELECT 't11' AS id, 2 AS runnable, 1 AS blocked, 0 AS exit_code")
-def next_task(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.next_task(_tasks(spark))
-
-
 @query("""
 SELECT user_id AS id, role, model, baseline, model <> baseline AS applied, k FROM (
   SELECT *, CASE WHEN complexity = 'low' AND role <> 'architect' AND baseline = 'opus' THEN 'sonnet' WHEN complexity = 'high' AND baseline = 'haiku' THEN 'sonnet' ELSE baseline END AS model FROM (
@@ -106,13 +84,13 @@ def resolve_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "role", "model", "baseline", "applied", "k")
 
 
-_FILES = "WITH f AS (SELECT source || '/' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.' || coalesce(lang, '') AS path, source AS dir, n_chars FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL), "
+_FILES = "WITH f AS (SELECT coalesce(source, '') || '/' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.' || coalesce(lang, '') AS path, coalesce(source, '') AS dir, n_chars FROM documents), "
 _BATCHES = _FILES + """p AS (SELECT *, CAST(floor(coalesce(sum(n_chars) OVER (PARTITION BY dir ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 80000) AS BIGINT) AS part FROM f),
 b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY dir, part ORDER BY path) - 1) / 20) AS BIGINT) AS seq FROM p) """
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.file_tree(table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL"))
+    return adapters.file_tree(table(spark, sf_dir, "documents"))
 
 
 @query(_BATCHES + "SELECT path, dir, part, seq FROM b")
@@ -127,12 +105,6 @@ def sweep_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.coverage(planned, planned.where("part % 3 <> 0"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(p, '(^|/)item/') THEN false WHEN regexp_matches(p, '(^|/)[^/]*7$') THEN true ELSE false END AS excluded FROM (SELECT page_id, regexp_replace(url, '[?#].*', '') AS p FROM pages)")
-def path_excludes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.regexp_replace("url", r"[?#].*", "")
-    return table(spark, sf_dir, "pages").select("page_id", evidence.excluded(path, ["*7", "!item/"]).alias("excluded"))
-
-
 _NOTES = [("a.md", "# Top\n## Purpose\nWhat it is\n### Detail\nmore\n## Steps\n- [ ] first\n- [x] second\ntext\n| item | seen |\n|---|---|\n| one | 3 of 3 |\n| a \\| b | 1 of 4 |\n"), ("b.md", "## purpose\n\n## Other\nx [§9, §3]"), ("c.md", None)]
 
 
@@ -184,19 +156,9 @@ def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.searched(claims, docs).select("claim_id", "actual", "status")
 
 
-@query(_LINES.replace(", unnest(string_split(text, chr(10))) AS text", ", unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line") + """
-c AS (SELECT path AS claim_id, path, line + path % 5 AS line, text AS snippet FROM l WHERE line = 1 AND path % 50 = 0 AND length(text) > 10),
-m AS (SELECT claim_id, count(l.path) AS n, min(abs(l.line - c.line)) FILTER (WHERE contains(l.text, snippet)) AS off FROM c LEFT JOIN l ON l.path = c.path GROUP BY claim_id)
-SELECT claim_id, CASE WHEN n = 0 THEN 'failed' WHEN off = 0 THEN 'reproduced' WHEN off <= 2 THEN 'stale' ELSE 'mismatch' END AS status FROM m""")
-def citation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_lines = evidence.lines(table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumnRenamed("doc_id", "path"))
-    claims = all_lines.where("line = 1 AND path % 50 = 0 AND length(text) > 10").select(F.col("path").alias("claim_id"), "path", (F.col("line") + F.col("path") % 5).alias("line"), F.col("text").alias("snippet"))
-    return evidence.cited(claims, all_lines)
-
-
-@query("SELECT source AS list, count(*) AS items, count(l.doc_id) AS covered, CASE WHEN count(l.doc_id) = 0 THEN 'missing' WHEN count(l.doc_id) < count(*) THEN 'incomplete' ELSE 'complete' END AS status FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE source IS NOT NULL GROUP BY source")
+@query("SELECT coalesce(source, '') AS list, count(*) AS items, count(l.doc_id) AS covered, CASE WHEN count(l.doc_id) = 0 THEN 'missing' WHEN count(l.doc_id) < count(*) THEN 'incomplete' ELSE 'complete' END AS status FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
 def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.col("source").alias("list"), F.col("doc_id").alias("item"))
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("list"), F.col("doc_id").alias("item"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"))
     return evidence.coverage_status(docs, docs.join(labels, "item", "left_semi"))
 

@@ -245,12 +245,12 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.duplicates(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query(_CALLS + "SELECT event_id, ts, run_id, 'hook-' || tool AS hook, 'broke at ' || event_id AS error FROM calls WHERE tool = 'error' AND event_id % 4 = 0")
+@query(_CALLS + "SELECT event_id, ts, run_id, 'hook-' || tool AS hook, 'broke at ' || event_id AS error FROM calls WHERE tool = 'error'")
 def hook_error_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _calls(spark, sf_dir)
-    broken = calls.where("tool = 'error' AND event_id % 4 = 0").select("event_id", "run_id", "ts", F.lit("hook_error").alias("event"), F.concat(F.lit("hook-"), "tool").alias("hook"), F.concat(F.lit("broke at "), "event_id").alias("error"))
+    broken = calls.where("tool = 'error'").select("event_id", "run_id", "ts", F.lit("hook_error").alias("event"), F.concat(F.lit("hook-"), "tool").alias("hook"), F.concat(F.lit("broke at "), "event_id").alias("error"))
     found = telemetry.one_report(calls, broken).where("event = 'hook_error'").select("event_id", "run_id", "ts", "event", "hook", "error")
-    return telemetry.hook_errors(found).join(found.select("event_id", "ts", "run_id"), ["run_id", "ts"]).select("event_id", "ts", "run_id", "hook", "error")
+    return telemetry.hook_errors(found).select("event_id", "ts", "run_id", "hook", "error")
 
 
 @query(_CALLS + "SELECT event_id, coalesce(CASE WHEN event_id % 6 <> 0 THEN run_id END, '_no-run') AS run_id FROM calls")
@@ -283,10 +283,10 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.tool_log(rows).withColumn("run_id", F.lit("all"))
 
 
-@query(_CALLS + _BUDGET.format(total=f"count(*) {_OVER}", a=40, b=60, c=80, axis="calls"))
+@query(_CALLS + ", " + ", ".join(f"{axis} AS (SELECT * FROM ({_BUDGET.format(total=total, a=a, b=b, c=c, axis=axis).strip().replace(', run AS', 'WITH run AS', 1)}))" for axis, total, a, b, c in (("calls_axis", f"count(*) {_OVER}", 40, 60, 80), ("result_axis", f"sum(res_chars) {_OVER}", 100_000, 200_000, 300_000))).replace("'calls_axis'", "'calls'").replace("'result_axis'", "'result_chars'") + " SELECT * FROM calls_axis UNION ALL SELECT * FROM result_axis")
 def stream_budget_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = budgets.consume(budgets.budget_stream(_stream(spark, sf_dir), (40, 60, 80), (10**9,)), f"budgets-{uuid.uuid4().hex}")
-    return told.where("axis = 'calls'")
+    told = budgets.consume(budgets.budget_stream(_stream(spark, sf_dir), (40, 60, 80), (100_000, 200_000, 300_000)), f"budgets-{uuid.uuid4().hex}")
+    return told
 
 
 @query(_CALLS + ", n AS (SELECT event_id, row_number() OVER (PARTITION BY task_id, date_trunc('week', ts) ORDER BY ts, event_id) AS call_number FROM calls WHERE tool = 'view') SELECT event_id, call_number, call_number <= 2 AS allowed FROM n")

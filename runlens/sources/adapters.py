@@ -36,8 +36,9 @@ def transcript(conversations: DataFrame) -> DataFrame:
 
 
 def file_tree(documents: DataFrame) -> DataFrame:
-    """Each document as a file of its source's folder."""
-    return documents.select(F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 10, "0"), F.lit("."), "lang").alias("path"), F.col("n_chars"), F.col("source").alias("dir"), F.col("lang").alias("ext"))
+    """Each document as a file of its source's folder; without a source or language that part is empty."""
+    source, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    return documents.select(F.concat(source, F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 10, "0"), F.lit("."), lang).alias("path"), F.col("n_chars"), source.alias("dir"), lang.alias("ext"))
 
 
 def lines(documents: DataFrame) -> DataFrame:

@@ -16,11 +16,12 @@ def _missing(error: AnalysisException) -> bool:
 def jsonl(spark: SparkSession, path: str, schema: str = schemas.EVENT, strict: bool = False) -> DataFrame:
     """Rows of a JSON-lines path; blank and malformed lines are left out, a missing path is empty. strict keeps malformed lines in _corrupt_record."""
     try:
-        rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+        lines = spark.read.text(path).where("trim(value) <> ''")
     except AnalysisException as error:
         if not _missing(error):
             raise
-        rows = spark.createDataFrame([], f"{schema}, _corrupt_record string")
+        lines = spark.createDataFrame([], "value string")
+    rows = lines.select(F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_row")).select("_row.*")
     return rows if strict else rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
@@ -61,8 +62,10 @@ def ambient(calls: DataFrame, log_ambient: bool = False) -> DataFrame:
 
 
 def newest_transcript(files: DataFrame) -> DataFrame:
-    """files (session, path, mtime, subagent) -> (session, path): the newest of a session's subagent files, else null."""
-    return files.groupBy("session").agg(F.max_by("path", F.struct("mtime", "path")).alias("any"), F.expr("max_by(path, struct(mtime, path)) FILTER (WHERE subagent)").alias("path")).select("session", "path")
+    """files (session, path, mtime, subagent, and direct or not) -> (session, path): a path that was named directly as it is, else the newest of a session's subagent files, else null."""
+    named = "max_by(path, struct(mtime, path)) FILTER (WHERE direct)" if "direct" in files.columns else "cast(null AS string)"
+    kind = files.schema["path"].dataType.simpleString()
+    return files.groupBy("session").agg(F.expr(f"coalesce(cast({named} AS {kind}), max_by(path, struct(mtime, path)) FILTER (WHERE subagent))").alias("path"))
 
 
 def agent_turns(turns: DataFrame) -> DataFrame:

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def append_events(events: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """Adds events as JSON lines, one folder for each run; a file that would hold more rows goes on in another."""
-    events.write.mode("append").option("maxRecordsPerFile", max_rows).partitionBy("run_id").json(path)
+def generations(events: DataFrame, max_bytes: int = 5_000_000) -> DataFrame:
+    """Adds generation: how often a run's log was full before a record, by the bytes of the JSON lines before it in order of (ts, event_id)."""
+    order = Window.partitionBy("run_id").orderBy("ts", "event_id")
+    size = F.octet_length(F.to_json(F.struct(*events.columns))) + 1
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return events.withColumn("generation", F.floor(before / max_bytes).cast("long"))
+
+
+def append_events(events: DataFrame, path: str, max_bytes: int = 5_000_000) -> None:
+    """Adds events as JSON lines, a folder for each run and in it one for each generation of about max_bytes; reading the path reads them all."""
+    generations(events, max_bytes).write.mode("append").partitionBy("run_id", "generation").json(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -16,6 +24,12 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def index_document(cases: DataFrame) -> DataFrame:
+    """(id, status, last_result) of cases as one index document, by id; a registry lists hand-written cases, so it is as small as these."""
+    entry = F.struct("id", F.struct("status", "last_result"))
+    return cases.agg(F.to_json(F.struct(F.count("*").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("cases"))).alias("json"))
+
+
 def manifest_document(entries: DataFrame) -> DataFrame:
     """(path, tpl, cur) as one manifest document; a manifest lists installed files, so it is as small as these."""
     entry = F.struct("path", F.struct("tpl", "cur"))

@@ -56,21 +56,22 @@ def rate_limit_stream(calls: DataFrame, tool: str, max_calls: int = 2) -> DataFr
     return own.groupBy("run_id", "task_id", "dispatched_at").applyInPandasWithState(step, "event_id long, call_number long, allowed boolean", "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-def last_known_stream(events: DataFrame) -> DataFrame:
-    """(run_id, event_id, task_id): events of no task take the run's last task so far, across micro-batches."""
+def last_known_stream(events: DataFrame, stale_s: float = float("inf")) -> DataFrame:
+    """(run_id, event_id, task_id): events of no task take the run's last task so far, across micro-batches, but not one more than stale_s seconds before them."""
     prepare(events.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last, seen = state.get if state.exists else (None, 0.0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         told = []
-        for task in rows["task_id"]:
-            last = task if isinstance(task, str) else last
-            told.append(last)
-        state.update((last,))
+        for task, ts in zip(rows["task_id"], rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, strict=True):
+            if isinstance(task, str):
+                last, seen = task, float(ts)
+            told.append(last if ts - seen <= stale_s else None)
+        state.update((last, seen))
         yield pd.DataFrame({"run_id": key[0], "event_id": rows["event_id"].to_numpy(), "task_id": told})
 
-    return events.select("run_id", "ts", "event_id", "task_id").groupBy("run_id").applyInPandasWithState(step, "run_id string, event_id long, task_id string", "task_id string", "append", GroupStateTimeout.NoTimeout)
+    return events.select("run_id", "ts", "event_id", "task_id").groupBy("run_id").applyInPandasWithState(step, "run_id string, event_id long, task_id string", "task_id string, seen double", "append", GroupStateTimeout.NoTimeout)
 
 
 def consume(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
@@ -82,14 +83,17 @@ def consume(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
 
 
 def isolated(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, errors: str) -> None:
-    """Runs step on each micro-batch; one that fails becomes a hook_error row in `errors`, and the stream goes on."""
+    """Runs step on each micro-batch; one that fails becomes a hook_error row in `errors`, and the stream goes on.
+
+    Each batch has a folder of its own, batch=number, in `out` or `errors`, so one that is run again after a failure replaces its rows.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         try:
-            step(batch).write.mode("append").parquet(out)
+            step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
         except Exception as error:  # noqa: BLE001  any failure of a step is data here
             spark: SparkSession = batch.sparkSession
-            spark.createDataFrame([(number, "hook_error", str(error)[:1000])], "batch long, event string, error string").write.mode("append").json(errors)
+            spark.createDataFrame([(number, "hook_error", str(error)[:1000])], "number long, event string, error string").write.mode("overwrite").json(f"{errors}/batch={number}")
 
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
 
