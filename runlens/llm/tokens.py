@@ -57,10 +57,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.kind = _family(json.loads(self.tokenizer.to_str()))
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.kind = "" if any(t.normalized for t in added) else _family(json.loads(self.tokenizer.to_str()))
         self.spaced = self.kind == "spaced"
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.added = [t.content for t in added]
         self.firsts = _Words(lambda word: self._encode([word])[0], limit)
         self.words = _Words(self._word, limit)
         self.marks = {"": b""}
@@ -89,7 +89,7 @@ class Encoder:
         return before + b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)]) + self.marks[marks]
 
     def _one(self, text: str) -> bytes:
-        if not self.kind or self.added and self.added.search(text):
+        if not self.kind or any(t in text for t in self.added):
             return self._encode([text])[0]
         look = self.words.__getitem__
         if not self.spaced:
