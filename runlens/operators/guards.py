@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.shared import carried
+
 #: Default thresholds.
 CALLS = (150, 300, 500)
 RESULT_CHARS = (500_000, 1_500_000, 3_000_000)
@@ -16,19 +18,25 @@ def budget_events(events: DataFrame, axis: str, thresholds: tuple[int, ...], key
     axis is calls or result_chars. Calls of no task have no budget. Earlier warnings in events (event = budget) count;
     one without an axis is about calls. A jump past several thresholds warns once, of the highest.
     """
-    order = Window.partitionBy(*key).orderBy("ts", "event_id")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     call = F.col("event").isNull()
-    amount = F.lit(1) if axis == "calls" else F.coalesce("res_chars", F.lit(0))
+    amount = F.when(call, F.lit(1) if axis == "calls" else F.coalesce("res_chars", F.lit(0))).otherwise(0)
     for name, kind in (("axis", "string"), ("threshold", "bigint")):
         if name not in events.columns:
             events = events.withColumn(name, F.lit(None).cast(kind))
     warned = F.when((F.col("event") == "budget") & (F.coalesce("axis", F.lit("calls")) == axis), F.col("threshold"))
-    total = events.where("task_id IS NOT NULL").withColumn("total", F.sum(F.when(call, amount).otherwise(0)).over(upto)).withColumn("warned", F.coalesce(F.max(warned).over(before), F.lit(0)))
-    reached = F.lit(0)
-    for t in sorted(thresholds):
-        reached = F.when(F.col("total") >= t, t).otherwise(reached)
-    told = total.withColumn("reached", F.when(call, reached).otherwise(0)).withColumn("so_far", F.greatest("warned", F.coalesce(F.max("reached").over(before), F.lit(0))))
+    own = carried(events.where("task_id IS NOT NULL").withColumns({"_amount": amount, "_warned": warned}), list(key), {"_total": (F.sum("_amount"), F.sum), "_most": (F.max("_warned"), F.max)})
+    order = Window.partitionBy(*key, "_bucket").orderBy("ts", "event_id")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    total = own.withColumn("total", F.coalesce("_total", F.lit(0)) + F.sum("_amount").over(upto)).withColumn("warned", F.greatest(F.coalesce("_most", F.lit(0)), F.coalesce(F.max("_warned").over(before), F.lit(0))))
+
+    def reached(amount: Column) -> Column:
+        level = F.lit(0)
+        for t in sorted(thresholds):
+            level = F.when(amount >= t, t).otherwise(level)
+        return level
+
+    # totals never fall, so what was reached before a call is what the total before it reaches
+    told = total.withColumn("reached", F.when(call, reached(F.col("total"))).otherwise(0)).withColumn("so_far", F.greatest("warned", reached(F.col("total") - F.col("_amount"))))
     return told.where("reached > so_far").select(*key, "ts", "event_id", F.lit(axis).alias("axis"), F.col("reached").cast("long").alias("threshold"), F.col("total").cast("long").alias("total"))
 
 
@@ -41,10 +49,13 @@ def rate_limit(calls: DataFrame, tool: str, max_calls: int = 2, key: tuple[str,
 
 def repeat_guard(calls: DataFrame, limit: int = 8, tool: str = "Edit", exempt: str | None = None, run: str = "run_id", task: str = "task_id", target: str = "file") -> DataFrame:
     """Adds episode, attempt and denied: in an episode (a stretch of one task) the call after `limit` of a tool on one file is denied, once; files that match exempt are free."""
-    order = Window.partitionBy(run).orderBy("ts", "event_id")
-    changed = F.coalesce(~F.col(task).eqNullSafe(F.lag(task).over(order)), F.lit(True)).cast("int")
-    first = F.when(F.row_number().over(order) == 1, 1).otherwise(changed)
-    episodes = calls.withColumn("_new", first).withColumn("episode", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    at = F.struct("ts", "event_id")
+    own = carried(calls.withColumn("_task", F.struct(F.col(task).alias("t"))), [run], {"_before": (F.max_by("_task", at), lambda name: F.last(name))})
+    order = Window.partitionBy(run, "_bucket").orderBy("ts", "event_id")
+    last = F.coalesce(F.lag("_task").over(order), F.col("_before"))
+    flagged = own.withColumn("_new", F.when(last.isNull() | ~last["t"].eqNullSafe(F.col(task)), 1).otherwise(0)).drop("_bucket", "_before", "_task")
+    counted = carried(flagged, [run], {"_episodes": (F.sum("_new"), F.sum)})
+    episodes = counted.withColumn("episode", F.coalesce("_episodes", F.lit(0)) + F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_episodes", "_bucket")
     counts = (F.col("tool") == tool) & (~F.col(target).rlike(exempt) if exempt else F.lit(True))
     attempt = F.row_number().over(Window.partitionBy(run, "episode", target, counts).orderBy("ts", "event_id"))
     return episodes.withColumn("attempt", F.when(counts, attempt)).withColumn("denied", F.coalesce(F.col("attempt") == limit + 1, F.lit(False)))

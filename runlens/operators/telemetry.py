@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.shared import carried
+
 SESSION = "(session)"
 
 
@@ -76,8 +78,11 @@ def one_report(*parts: DataFrame) -> DataFrame:
 
 def last_known(events: DataFrame, columns: tuple[str, ...] = ("task_id",)) -> DataFrame:
     """Fills columns that are null from the run's last record before that has them; (ts, event_id) is the order."""
-    before = Window.partitionBy("run_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumns({c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(before)) for c in columns})
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct("ts", "event_id"))
+    own = carried(events, ["run_id"], {f"_last_{c}": (F.max_by(c, at(c)), lambda name: F.last(name, ignorenulls=True)) for c in columns})
+    before = Window.partitionBy("run_id", "_bucket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    told = own.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.col(f"_last_{c}")) for c in columns})
+    return told.select(*events.columns)
 
 
 def latest_run(calls: DataFrame, now: Column, within_s: int = 3600, infrastructure: tuple[str, ...] = ("dispatch", "_no-run")) -> DataFrame:

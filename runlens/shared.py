@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -56,6 +57,22 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def carried(rows: DataFrame, key: list[str], told: dict[str, tuple[Column, Callable[[str], Column]]], width: str = "hour", time: str = "ts") -> DataFrame:
+    """rows with _bucket (their hour, say) and, for each name in told, what all earlier buckets of the key say together.
+
+    told has for each name an aggregate over a bucket's rows and one over the buckets before. A window over (key, _bucket) that adds
+    these is one over the whole key, but no task ever gets more of a key's rows than a bucket has, and a row for each bucket.
+    """
+    own = rows.withColumn("_bucket", F.date_trunc(width, time))
+    before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(*key, "_bucket").agg(*[first.alias(name) for name, (first, _) in told.items()])
+    upto = sums.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_bucket").alias("_k_bucket"), *[then(name).over(before).alias(name) for name, (_, then) in told.items()])
+    same = F.col("_bucket").eqNullSafe(F.col("_k_bucket"))
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return own.join(upto, same).drop("_k_bucket", *[f"_k_{k}" for k in key])
+
+
 def salted_join(rows: DataFrame, told: DataFrame, key: str, counts: DataFrame, by: list[str], per: int = 100_000, most: int = 200_000) -> DataFrame:
     """rows joined with told on key; counts (key, n) has the number of rows of each key, and is a written table. by: columns of rows that deal a key's rows.
 
