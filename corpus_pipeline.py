@@ -16,14 +16,14 @@ from runlens.llm import decontam, langid, lines, minhash, packing
 from runlens.llm.common import materialize
 
 
-def _with_row(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns that an operator reads, and the whole row in one column, so that no other column's name can clash with its own."""
-    return docs.select(*columns, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+def _numbered(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with its columns but for those that an operator reads named by their numbers, so that none can clash with a column of the operator's."""
+    return docs.select(*[docs[c].alias(c if c in own else f"_{i}") for i, c in enumerate(docs.columns)])
 
 
-def _rows(told: DataFrame, columns: list[str], changed: dict[str, F.Column] | None = None) -> DataFrame:
-    """The rows back from _with_row, with some columns changed."""
-    return told.select(*[(changed or {}).get(c, F.col("row").getField(c)).alias(c) for c in columns])
+def _named(told: DataFrame, docs: DataFrame, *own: str, **changed: F.Column) -> DataFrame:
+    """The columns of docs back from _numbered, with some changed."""
+    return told.select(*[changed.get(c, F.col(c if c in own else f"_{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     only texts without a letter go. n_chars and rows without doc_id stay as they are.
     """
     model = langid.learn(docs.select("lang", "text"))
-    judged = langid.identify(_with_row(docs, "text"), model, ["row"]).where("NOT rejected")
-    return _rows(judged, docs.columns, {} if model is None else {"lang": F.col("lang_pred")})
+    rows = _numbered(docs, "text")
+    judged = langid.identify(rows, model, rows.columns).where("NOT rejected")
+    return _named(judged, docs, "text") if model is None else _named(judged, docs, "text", lang=F.col("lang_pred"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +45,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null text becomes empty, and a document all of whose lines go stays with an empty text. Of documents that share a
     line the largest doc_id keeps it; rows without doc_id neither count nor change; repeated rows are one document.
     """
-    cut = lines.dedup_lines(_with_row(docs, "doc_id", "text"))
-    return _rows(cut, docs.columns, {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)})
+    cut = lines.dedup_lines(_numbered(docs, "doc_id", "text"))
+    return _named(cut, docs, "doc_id", "text", n_chars=F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +55,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and those without a word are like nothing and stay; rows without doc_id stay. Texts of one doc_id are
     judged each. Of repeated rows with one doc_id and text the first by lang, source and n_chars stays, nulls first.
     """
-    named = _with_row(docs, "doc_id", "text").withColumn("version", F.xxhash64("text"))
-    told = minhash.near_duplicates(named, keep=["version"]).where("n_shingles > 0 AND doc_id IS NOT NULL")
-    told = told.groupBy(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version")).agg(F.bool_and("kept").alias("_kept"), F.count("*").alias("_n"))
-    told = materialize(told.where("NOT _kept OR _n > 1"), "near-copies")
-    left = named.join(told, (F.col("doc_id") == F.col("_doc_id")) & (F.col("version") == F.col("_version")), "left").where("_kept IS NULL OR _kept")
-    order = F.struct(*[F.col("row").getField(c) for c in ("lang", "source", "n_chars") if c in docs.columns])
-    once = left.where("_n > 1").groupBy("doc_id", "version").agg(F.min_by("row", order).alias("row"))
-    return _rows(left.where("_n IS NULL OR _n = 1").select("row").unionByName(once.select("row")), docs.columns)
+    rows = _numbered(docs, "doc_id", "text").withColumn("version", F.xxhash64("text"))
+    told = minhash.near_duplicates(rows, keep=["version"]).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    told = told.groupBy(F.col("doc_id").alias("told_id"), F.col("version").alias("told_version")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    told = materialize(told.where("NOT kept OR n > 1"), "near-copies")
+    left = rows.join(told, (F.col("doc_id") == F.col("told_id")) & (F.col("version") == F.col("told_version")), "left").where("kept IS NULL OR kept")
+    order = F.struct(*[F.col(f"_{docs.columns.index(c)}") for c in ("lang", "source", "n_chars") if c in docs.columns])
+    numbered = _numbered(docs, "doc_id", "text").columns
+    once = left.where("n > 1").groupBy("doc_id", "version").agg(F.min_by(F.struct(*numbered), order).alias("row")).select("row.*")
+    return _named(left.where("n IS NULL OR n = 1").select(*numbered).unionByName(once), docs, "doc_id", "text")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
