@@ -245,9 +245,9 @@ class Learned:
         return sum(bits for bits, _, _ in told) / np.maximum(n, 1)[:, None], n, letters
 
 
-def _slices(batch: pa.RecordBatch, size: int = 300_000) -> Iterator[tuple[int, list[str]]]:
-    """The texts of the last column in lists of about that many characters, and where each begins."""
-    texts, begin, held = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()], 0, 0
+def _slices(batch: pa.RecordBatch, column: int, size: int = 300_000) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a column in lists of about that many characters, and where each begins."""
+    texts, begin, held = [t or "" for t in batch.column(column).to_pylist()], 0, 0
     for end, text in enumerate(texts, 1):
         held += len(text)
         if held >= size or end == len(texts):
@@ -271,25 +271,29 @@ def _entropies(docs: DataFrame, learned: Learned, keep: list[str]) -> DataFrame:
         names = [langs[b] if ok else "und" for b, ok in zip(best, letters, strict=True)]
         return [pa.array(names, pa.string()), pa.array(np.where(letters, 1 / odds, 0.0)), pa.array(np.where(letters, least, 0.0)), pa.array(n, pa.int64()), pa.array(~letters | (least > usual(limits[best], n)))]
 
-    text = F.col("text").cast("string").alias("_text")
+    # a text that is kept isn't sent twice
+    own = "text" in keep and docs.schema["text"].dataType == T.StringType()
+    at = keep.index("text") if own else len(keep)
+    sent = keep if own else [*keep, F.col("text").cast("string").alias("_text")]
     if learned.parts == 1:
         shared = learned.sent(0)
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for begin, texts in _slices(batch):
-                    yield pa.RecordBatch.from_arrays([*(c.slice(begin, len(texts)) for c in batch.columns[:-1]), *judged(*shared.value.sums(texts))], names_out)
+                for begin, texts in _slices(batch, at):
+                    yield pa.RecordBatch.from_arrays([*(c.slice(begin, len(texts)) for c in batch.columns[: len(keep)]), *judged(*shared.value.sums(texts))], names_out)
 
-        return docs.select(*keep, text).mapInArrow(judge, schema)
+        return docs.select(*sent).mapInArrow(judge, schema)
 
-    numbered = materialize(docs.select(*keep, F.monotonically_increasing_id().alias("_row"), text), "numbered-texts")
+    numbered = materialize(docs.select(*sent, F.monotonically_increasing_id().alias("_row")), "numbered-texts")
+    text = "text" if own else "_text"
 
     def adder(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         shared = learned.sent(part)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for begin, texts in _slices(batch):
+                for begin, texts in _slices(batch, 1):
                     bits, n, letters = shared.value.sums(texts)
                     sums = pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), len(langs)).cast(pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array([part] * len(texts), pa.int32()), sums, pa.array(n, pa.int64()), pa.array(letters)], ["_row", "_part", "_bits", "_n", "_letters"])
@@ -303,7 +307,7 @@ def _entropies(docs: DataFrame, learned: Learned, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *judged(bits, batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))], names_out)
 
     # Each part's sums are written before the next part is sent, so a worker never needs two of them.
-    each = [materialize(numbered.select("_row", "_text").mapInArrow(adder(part), "_row long, _part int, _bits array<double>, _n long, _letters boolean"), "part-sums") for part in range(learned.parts)]
+    each = [materialize(numbered.select("_row", text).mapInArrow(adder(part), "_row long, _part int, _bits array<double>, _n long, _letters boolean"), "part-sums") for part in range(learned.parts)]
     every = functools.reduce(DataFrame.unionByName, each)
     added = every.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_part", "_bits"))).alias("_parts"), F.first("_n").alias("_n"), F.first("_letters").alias("_letters"))
     return numbered.join(added, "_row").select(*keep, "_parts", "_n", "_letters").mapInArrow(whole, schema)
