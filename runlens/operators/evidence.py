@@ -105,15 +105,6 @@ def searched(claims: DataFrame, text_lines: DataFrame) -> DataFrame:
     return told.withColumn("status", status).withColumn("is_failing", F.col("status").isin("mismatch", "uncited", "failed")).drop("n_lines", "n_files")
 
 
-def cited(citations: DataFrame, text_lines: DataFrame, near: int = 2) -> DataFrame:
-    """citations (claim_id, path, line, snippet), text_lines (path, line, text) -> status: reproduced on the line, stale up to `near` lines off, mismatch, or failed without the file."""
-    c = citations.select("claim_id", F.col("path").alias("_path"), F.col("line").alias("_line"), "snippet")
-    off = F.min(F.when(F.col("text").contains(F.col("snippet")), F.abs(F.col("line") - F.col("_line"))))
-    met = c.join(text_lines, F.col("path") == F.col("_path"), "left").groupBy("claim_id").agg(F.count("path").alias("n"), off.alias("off"))
-    status = F.when(F.col("n") == 0, "failed").when(F.col("off") == 0, "reproduced").when(F.col("off") <= near, "stale").otherwise("mismatch")
-    return met.select("claim_id", status.alias("status"))
-
-
 def coverage_status(expected: DataFrame, rows: DataFrame, key: str = "list") -> DataFrame:
     """expected (list, item), rows (list, item): by list how many items, how many covered, and complete, incomplete or missing; no-checklist for rows without a list."""
     left = expected.select(key, "item").distinct().withColumn("_e", F.lit(1))

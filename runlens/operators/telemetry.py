@@ -76,6 +76,12 @@ def one_report(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def run_report(run: str, log: DataFrame, dispatch: DataFrame) -> DataFrame:
+    """One run's records of its own log and of the dispatch log that all runs share; other runs' records in either don't count."""
+    mine = F.col("run_id") == run
+    return one_report(log.where(mine), dispatch.where(mine))
+
+
 def last_known(events: DataFrame, columns: tuple[str, ...] = ("task_id",)) -> DataFrame:
     """Fills columns that are null from the run's last record before that has them; (ts, event_id) is the order."""
     at = lambda c: F.when(F.col(c).isNotNull(), F.struct("ts", "event_id"))

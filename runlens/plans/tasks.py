@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import documents
-from runlens.shared import materialize
+from runlens.shared import discard, materialize
 
 
 def edges(tasks: DataFrame) -> DataFrame:
@@ -42,16 +45,49 @@ def levels(tasks: DataFrame) -> DataFrame:
     return out
 
 
+def _settled(state: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """state (id, label) after as many steps of spread (id, label) as change something; each id takes the greatest label."""
+    while True:
+        after = materialize(state.unionByName(spread(state)).groupBy("id").agg(F.max("label").alias("label")), "labels")
+        changed = after.join(state.withColumnRenamed("label", "_old"), "id", "left").where("_old IS NULL OR label <> _old")
+        done = changed.isEmpty()
+        discard(state)
+        state = after
+        if done:
+            return state
+
+
 def on_circles(tasks: DataFrame) -> DataFrame:
-    """(id): tasks on a circle of dependencies, or on a way between two circles: what is left when free ends are taken off at both sides."""
-    left = materialize(edges(tasks), "edges")
-    n = left.count()
-    while n:
-        left = materialize(left.join(left.select(F.col("id").alias("needs")).distinct(), "needs", "left_semi").join(left.select(F.col("needs").alias("id")).distinct(), "id", "left_semi").select("id", "needs"), "edges")
-        before, n = n, left.count()
-        if n == before:
+    """(id): tasks on a circle of dependencies.
+
+    Ends that nothing follows or precedes are taken off first. What is left is coloured by the greatest task that leads to
+    each; a colour's tasks that lead back to that task are on circles with it (or it alone, if it needs itself), and go.
+    Only dependencies within a colour can be on further circles. So there are as many rounds as circles stand one behind another.
+    """
+    left, found = materialize(edges(tasks), "edges"), []
+    while True:
+        n = left.count()
+        while n:
+            trimmed = left.join(left.select(F.col("id").alias("needs")).distinct(), "needs", "left_semi").join(left.select(F.col("needs").alias("id")).distinct(), "id", "left_semi")
+            trimmed = materialize(trimmed.select("id", "needs"), "edges")
+            discard(left)
+            before, n, left = n, trimmed.count(), trimmed
+            if n == before:
+                break
+        if not n:
             break
-    return left.select("id").distinct()
+        nodes = materialize(left.select("id").union(left.select("needs")).distinct().select("id", F.col("id").alias("label")), "labels")
+        colour = _settled(nodes, lambda state: left.join(state.withColumnRenamed("id", "_n"), F.col("id") == F.col("_n")).select(F.col("needs").alias("id"), "label"))
+        own = left.join(colour.select(F.col("id"), F.col("label").alias("_a")), "id").join(colour.select(F.col("id").alias("needs"), F.col("label").alias("_b")), "needs")
+        inside = materialize(own.where("_a = _b").select("id", "needs"), "edges")
+        roots = materialize(colour.where("id = label"), "labels")
+        back = _settled(roots, lambda state: inside.join(state.withColumnRenamed("id", "_n"), F.col("needs") == F.col("_n")).select("id", "label"))
+        rest = materialize(inside.join(back.select("id"), "id", "left_anti").join(back.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", "needs"), "edges")
+        many = back.join(inside.where("id = needs").select("id", F.lit(True).alias("_self")), "id", "left").join(back.groupBy("label").agg(F.count("*").alias("_size")), "label")
+        found.append(materialize(many.where("_size > 1 OR _self").select("id"), "on-circles"))
+        discard(left, inside, back, colour)
+        left = rest
+    return functools.reduce(DataFrame.unionByName, found) if found else left.select("id")
 
 
 def readiness(tasks: DataFrame) -> DataFrame:

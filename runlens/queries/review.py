@@ -490,3 +490,11 @@ def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     needs = F.when((n % 5 == 0) & (n % 3 == 0), n - 4).when(n % 5 > 0, n + 1)
     rows = table(spark, sf_dir, "part").select(n.cast("string").alias("id"), F.lit("pending").alias("status"), F.when(needs.isNotNull(), F.array(needs.cast("string"))).otherwise(F.array().cast("array<string>")).alias("depends_on"))
     return tasks.on_circles(rows)
+
+
+@query(_CALLS + "SELECT run_id, coalesce(event, 'call') AS kind, count(*) AS n FROM (SELECT run_id, NULL AS event FROM calls UNION ALL SELECT run_id, 'dispatch' FROM calls WHERE tool = 'view') WHERE run_id = (SELECT min(run_id) FROM calls) GROUP BY 1, 2")
+def run_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _calls(spark, sf_dir)
+    dispatch = calls.where("tool = 'view'").select("run_id", "ts", F.lit("dispatch").alias("event"))
+    told = telemetry.run_report(calls.agg(F.min("run_id")).first()[0], calls, dispatch)
+    return told.groupBy("run_id", F.coalesce("event", F.lit("call")).alias("kind")).agg(F.count("*").alias("n"))

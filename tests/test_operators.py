@@ -1,12 +1,14 @@
 """Operators that no query covers: files and folders, rules over odd texts, replays of streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions import documents, globs, text
-from runlens.operators import citations, cost, registry, retrieval, upkeep
+from runlens.operators import citations, cost, evidence, registry, retrieval, upkeep
 from runlens.plans import tasks
-from runlens.shared import discard, materialize, salted_join, shared_dir
+from runlens.shared import carried, discard, materialize, salted_join, shared_dir
 from runlens.sources import readers, sinks
 from runlens.streaming import budgets
 
@@ -147,3 +149,43 @@ def test_joins_of_frequent_keys(spark):
     path = counts._written
     discard(counts, None)
     assert path.startswith(shared_dir(spark)) and readers.whole_text(spark, path).count() == 0
+
+
+def test_coverage_of_lists(spark):
+    lists = lambda *rows: spark.createDataFrame(rows, "list string, item string")
+    got = {r["list"]: (r["items"], r["covered"], r["status"]) for r in evidence.coverage_status(lists(("a", "1"), ("a", "2"), ("b", "1"), ("c", "1"), ("a", "1")), lists(("a", "1"), ("a", "x"), ("b", "1"), ("d", "1"))).collect()}
+    assert got == {"a": (2, 1, "incomplete"), "b": (1, 1, "complete"), "c": (1, 0, "missing"), "d": (0, 0, "no-checklist")}
+
+
+def test_running_totals_over_buckets(spark):
+    rows = spark.range(200).select(F.lit("r").alias("k"), F.when(F.col("id") % 17 != 0, F.timestamp_seconds(F.col("id") * 700)).alias("ts"), "id")
+    told = carried(rows, ["k"], {"before": (F.sum("id"), F.sum)}).collect()
+    assert len(told) == 200
+    for r in told:
+        hour = r["ts"].replace(minute=0, second=0) if r["ts"] else None
+        want = sum(x["id"] for x in told if (x["ts"] is None) > (r["ts"] is None) or x["ts"] and r["ts"] and x["ts"] < hour)
+        assert (r["before"] or 0) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_circles_match_plain_search(spark, seed):
+    rng = random.Random(seed)
+    needs = {f"t{i}": [f"t{j}" for j in rng.sample(range(40), rng.choice([0, 1, 1, 2]))] for i in range(40)}
+
+    def reached(start):
+        seen, todo = set(), [start]
+        while todo:
+            for n in needs[todo.pop()]:
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        return seen
+
+    rows = spark.createDataFrame([(k, v) for k, v in needs.items()], "id string, depends_on array<string>")
+    got = [r["id"] for r in tasks.on_circles(rows).collect()]
+    assert sorted(got) == sorted(t for t in needs if t in reached(t)) and tasks.on_circles(rows.limit(0)).count() == 0
+
+
+def test_a_way_between_circles_is_on_none(spark):
+    rows = [("a", ["b"]), ("b", ["a", "c"]), ("c", ["d"]), ("d", ["e"]), ("e", ["d"]), ("f", ["f"])]
+    assert sorted(r["id"] for r in tasks.on_circles(spark.createDataFrame(rows, "id string, depends_on array<string>")).collect()) == ["a", "b", "d", "e", "f"]
