@@ -1,6 +1,8 @@
 import hashlib
 import zlib
 
+from pyspark.sql import functions as F
+
 from runlens.llm import media
 
 
@@ -15,10 +17,23 @@ def test_media_is_read_back_whole(awkward, empty):
         text = texts[r["doc_id"]]
         payload = text + b"\xff" * (-len(text) % 576 if text else 576)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        values = [b - 128 for b in payload]
+        mean, rms = sum(values) / len(values), (sum(v * v for v in values) / len(values)) ** 0.5
+        turns = sum((x >= 0) != (y >= 0) for x, y in zip(values, values[1:], strict=False)) / max(1, len(values) - 1)
+        assert r["feature"] == f"mean={mean:.4f};rms={rms:.4f};zcr={turns:.4f}"
         assert (r["media_bytes"], r["media_sha256"]) == (len(payload) + 44, hashlib.sha256(media.wav(payload)).hexdigest())
     assert media.media_columns(empty).count() == 0
 
 
+def test_a_chunk_of_very_many_places(spark):
+    """Boilerplate texts have one chunk, whose places are dealt over several joins."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.repeat(F.lit("boilerplate "), 200)).otherwise(F.col("id").cast("string")).alias("text"))
+    files, chunks = media.store_media(docs)
+    assert chunks.count() < 12_000
+    told = media.read_media(files, chunks, describe=True)
+    assert told.count() == 12_000 and told.where("doc_id % 3 > 0").select("payload_sha256").distinct().count() == 1 and told.select("doc_id").distinct().count() == 12_000
+
+
 def test_cuts_depend_on_the_file_alone():
     a, b = bytes(range(256)) * 200, b"other" * 9000
     assert media.cut_points([a, b, a])[0] == media.cut_points([a])[0] == media.cut_points([b, a])[1]
