@@ -9,11 +9,11 @@ import random
 import re
 import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import discard, materialize, prepare
@@ -38,6 +38,7 @@ FEATURES = 4096
 _NEAR = (-3, -2, -1, 1)
 LENGTH = 16
 _DIGIT = re.compile("[0-9]")
+_WORD = re.compile(r"[A-Za-z0-9_+/=.-]+")
 
 Span = tuple[int, int, str]
 
@@ -53,11 +54,6 @@ def base_spans(text: str, raw: bytes, value: bool = False) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _opaque(token: str) -> bool:
-    """Tokens of 8 characters or more with a digit are rarely words: as neighbours all are the same feature."""
-    return len(token) >= 8 and any(c in "0123456789" for c in token)
-
-
 #: By character: digit, capital, small letter, anything else; and whether it is a hexadecimal digit.
 _CLASS = np.array([0 if chr(c) in "0123456789" else 1 if chr(c) in string.ascii_uppercase else 2 if chr(c) in string.ascii_lowercase else 3 for c in range(129)], np.int64)
 _HEXES = np.array([chr(c) in "0123456789abcdefABCDEF" for c in range(129)])
@@ -90,7 +86,7 @@ def token_features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     outline = total(np.where(turns & (rank < 8), spread(signed, rank), np.uint64(0)))
     small = np.where(kinds == 1, codes + 32, codes)
     told = total(np.where(at < 12, spread(small, at), np.uint64(0)))
-    told[((n >= 8) & (digits > 0)) | (codes[begins] == 10)] = 0
+    told[((n >= 8) & (digits > 0)) | (codes[begins] == 10)] = 0  # tokens of 8 characters or more with a digit are rarely words: as neighbours all are one feature
     mixed = (upper > 0) * 8 + (lower > 0) * 4 + (digits > 0) * 2 + (signs > 0)
     shape = [np.minimum(n // 8, 8), 4 * digits // n, mixed, (entropy + 1e-9).astype(np.int64), hexes * 8 + np.minimum(n // 16, 4), outline, (digits == n) * 16 + np.minimum(n // 4, 8)]
     return np.stack([_numbers(k, v) for k, v in enumerate(shape)], axis=1), np.stack([_numbers(20 + j, told) for j in range(len(_NEAR))], axis=1)
@@ -103,12 +99,22 @@ def _file(raw: bytes) -> list[int]:
     return [zlib.crc32(f.encode()) % FEATURES for f in (f"filedigits{min(9, int(math.log2(1 + 1000 * digits / n)))}", f"filesigns{min(9, int(math.log2(1 + 1000 * signs / n)))}", f"filelen{int(math.log10(n))}", "any")]
 
 
-def line_features(tokens: list[str], file: list[int]) -> list[list[int]]:
+Known = tuple[dict[str, int], np.ndarray, np.ndarray]
+
+
+def known(tokens: Iterable[str]) -> Known:
+    """token_features of all unlike tokens at once, and where each token's are; those of a line's end among them."""
+    unlike = list(dict.fromkeys(("\n", *tokens)))
+    return dict(zip(unlike, range(len(unlike)), strict=True)), *token_features(unlike)
+
+
+def line_features(tokens: list[str], file: list[int], told: Known | None = None) -> list[list[int]]:
     """The features of each token of a line."""
-    own, near = token_features([*tokens, "\n"])
-    none = len(tokens)
-    beside = np.stack([near[[i + d if 0 <= i + d < none else none for i in range(none)], j] for j, d in enumerate(_NEAR)], axis=1)
-    return np.concatenate((own[:-1], beside, np.tile(np.array(file, np.int64), (none, 1))), axis=1).tolist()
+    numbers, own, near = told or known(tokens)
+    at = np.array([numbers[t] for t in tokens] + [0])  # 0 is the line's end
+    place = np.arange(len(tokens))
+    beside = [near[at[np.where((place + d >= 0) & (place + d < len(tokens)), place + d, len(tokens))], j] for j, d in enumerate(_NEAR)]
+    return np.concatenate((own[at[:-1]], np.stack(beside, axis=1), np.tile(np.array(file, np.int64), (len(tokens), 1))), axis=1).tolist()
 
 
 class Field:
@@ -231,14 +237,13 @@ def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 80, rat
     if not runs:
         emission[:, OUTSIDE] = 1
         return Field(emission, forbidden)
-    size, wide, deep = len(runs), max(map(len, runs)), max(len(f) for r in runs for f in r)
-    x, y = np.full((size, wide, deep), FEATURES), np.full((size, wide), OUTSIDE)
-    there = np.zeros((size, wide), bool)
+    size, wide = len(runs), max(map(len, runs))
+    y, there = np.full((size, wide), OUTSIDE), np.zeros((size, wide), bool)
     for i, (run, own) in enumerate(zip(runs, tags, strict=True)):
         there[i, : len(run)] = True
         y[i, : len(run)] = own
-        for t, f in enumerate(run):
-            x[i, t, : len(f)] = f
+    x = np.array([f for run in runs for f in run])  # of all tokens; they have the same number of features
+    deep = x.shape[1]
     total = lambda v, axis: (m := v.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - m).sum(axis=axis))
     closed = np.where(np.arange(3) == OUTSIDE, 0.0, -1e4)
     before = np.concatenate((np.full((size, 1), OUTSIDE), y), axis=1)
@@ -249,8 +254,9 @@ def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 80, rat
     speed_e, speed_t = np.zeros_like(emission), np.zeros_like(transition)
     flat = x.ravel()
     for _ in range(steps):
-        weights = np.vstack((emission, np.zeros(3)))
-        local = weights[x].sum(axis=2) + np.where(there[:, :, None], 0, closed)
+        local = np.where(there[:, :, None], 0, closed) + np.zeros((size, wide, 3))
+        weights = emission.astype(np.float32)
+        local[there] = sum(weights[x[:, k]] for k in range(deep))
         moves = transition + forbidden
         ahead = [moves[OUTSIDE] + local[:, 0]]
         for t in range(1, wide):
@@ -275,8 +281,9 @@ def fit(runs: list[list[list[int]]], tags: list[list[int]], steps: int = 80, rat
                 grad_t -= (pair * (there[:, t] | there[:, t - 1])[:, None, None]).sum(axis=0)
         last = there[:, -1]
         grad_t[:, OUTSIDE] -= (np.exp(ahead[-1] + behind[-1] - whole[:, None]) * last[:, None]).sum(axis=0)
-        grad_e = np.stack([np.bincount(flat, np.repeat(missed[:, :, tag].ravel(), deep), FEATURES + 1) for tag in range(3)], axis=1)
-        for weight, speed, grad in ((emission, speed_e, grad_e[:FEATURES] / size), (transition, speed_t, (grad_t + target) / size)):
+        told = missed[there]
+        grad_e = np.stack([np.bincount(flat, np.repeat(told[:, tag], deep), FEATURES) for tag in range(3)], axis=1)
+        for weight, speed, grad in ((emission, speed_e, grad_e / size), (transition, speed_t, (grad_t + target) / size)):
             grad = grad - decay * weight / size
             speed *= 0.9
             speed += 0.1 * grad**2
@@ -322,10 +329,10 @@ def pieces(line: str, spans: list[Span], at: int = 0) -> list[tuple[list[str], l
     return out
 
 
-def piece(tokens: list[str], tags: list[int], begin: int, end: int, file: list[int]) -> tuple[list[list[int]], list[int]]:
+def piece(tokens: list[str], tags: list[int], begin: int, end: int, file: list[int], told: Known | None = None) -> tuple[list[list[int]], list[int]]:
     """Features and tags of a piece; inside at its begin, from a secret longer than a piece, is begin."""
     low = max(0, begin - 3)
-    features = line_features(tokens[low : end + 1], file)[begin - low : end - low]
+    features = line_features(tokens[low : end + 1], file, told)[begin - low : end - low]
     return features, [BEGIN if i == 0 and t == INSIDE else t for i, t in enumerate(tags[begin:end])]
 
 
@@ -345,60 +352,66 @@ def made_lines(n: int = 300, seed: int = 7) -> Iterator[tuple[str, list[Span]]]:
         yield f"{word} {before}{parts[i % 3]}", [(len(word) + 1 + len(before), len(word) + 1 + len(before) + len(parts[i % 3]), "crf")]
 
 
-def learn(docs: DataFrame, runs: int = 2000) -> Field:
+def learn(docs: DataFrame, runs: int = 1000, longest: int = 4096) -> Field:
     """A field fitted to what the fixed patterns tag, and to made_lines.
 
-    The sample it is fitted to: of the lines of all documents at most `runs` with a secret, as many without one but with a
+    The sample it is fitted to: of the lines of all documents of at most `longest` bytes, up to `runs` with a secret, as many without one but with a
     long token that has a digit, and as many others, those of the least hashes; of each line a piece of at most LENGTH
     tokens (that with the first secret, else one by the hash), with features from the whole line. A task tells no more
-    than that, so the driver gets three times `runs` pieces. Scanning isn't bounded so: it takes all tokens of all lines.
+    than that, so the driver gets three times `runs` lines. Scanning isn't bounded so: it takes all tokens of all lines.
+    Repeated lines count once; null and empty texts have none.
     """
     prepare(docs.sparkSession)
 
-    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[int, tuple]] = [{}, {}, {}]
         most = [1 << 32] * 3
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 raw = text.encode()
                 spans, file, at, reached = base_spans(text, raw, value=True), None, 0, 0
-                for line in text.split("\n"):
-                    begin, at = at, at + len(line) + 1
-                    if not line:
+                digits = bool(_DIGIT.search(text))
+                for line in raw.split(b"\n"):
+                    turn, kind = zlib.crc32(line), 2
+                    if spans:
+                        begin, at = at, at + len(line.decode()) + 1
+                        while reached < len(spans) and spans[reached][1] <= begin:
+                            reached += 1
+                        kind = 0 if reached < len(spans) and spans[reached][0] < at - 1 else 2
+                    if kind and turn >= most[2] and not (digits and turn < most[1]) or len(line) > longest:
                         continue
-                    while reached < len(spans) and spans[reached][1] <= begin:
-                        reached += 1
-                    kind = 0 if reached < len(spans) and spans[reached][0] < at - 1 else 1 if _DIGIT.search(line) and any(map(_opaque, _TOKEN.findall(line))) else 2
-                    turn = zlib.crc32(line.encode())
-                    if turn >= most[kind] or turn in held[kind]:
-                        continue
-                    cuts = pieces(line, spans[reached:] if kind == 0 else [], begin)
-                    if not cuts:
+                    shown = line.decode()
+                    if kind and digits and any(len(t) >= 8 and _DIGIT.search(t) for t in _WORD.findall(shown)):
+                        kind = 1
+                    if turn >= most[kind] or turn in held[kind] or not shown.strip():
                         continue
+                    own = [(max(a, begin) - begin, min(b, at - 1) - begin) for a, b, _ in spans[reached:] if a < at - 1] if kind == 0 else []
                     file = file or _file(raw)
-                    chosen = next((c for c in cuts if any(t != OUTSIDE for t in c[1][c[2] : c[3]])), cuts[turn % len(cuts)])
-                    held[kind][turn] = piece(*chosen, file)
+                    held[kind][turn] = (shown, [{"start": a, "end": b} for a, b in own], file)
                     if len(held[kind]) >= 2 * runs:
                         held[kind] = dict(sorted(held[kind].items())[:runs])
                         most[kind] = max(held[kind]) + 1
         rows = [(kind, turn, *held[kind][turn]) for kind in range(3) for turn in sorted(held[kind])[:runs]]
         for i in range(0, len(rows), 1000):
             columns = zip(*rows[i : i + 1000], strict=True)
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "turn", "features", "tags"])
-
-    every = docs.where("text IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(pieces_of, "kind int, turn long, features array<array<int>>, tags array<int>")
-    written = materialize(every, "secret-pieces")
-    every = written.dropDuplicates(["kind", "features", "tags"])
-    taken = [r for k in range(3) for r in every.where(F.col("kind") == k).orderBy("turn", F.xxhash64("features", "tags")).limit(runs).collect()]
+            kinds = (pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "turn", "line", "spans", "file"])
+
+    every = docs.where("text IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(sample, "kind int, turn long, line string, spans array<struct<start:long,end:long>>, file array<int>")
+    written = materialize(every, "secret-lines")
+    first = Window.partitionBy("kind", "turn").orderBy("line", "file")
+    once = written.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    shown = [(r["line"], [(s["start"], s["end"], "") for s in r["spans"]], r["file"], r["turn"]) for k in range(3) for r in once.where(F.col("kind") == k).orderBy("turn").limit(runs).collect()]
     discard(written)
-    xs, ys = [r["features"] for r in taken], [r["tags"] for r in taken]
-    for line, spans in made_lines():
-        for cut in pieces(line, spans):
-            x, y = piece(*cut, _file(line.encode()))
-            xs.append(x)
-            ys.append(y)
-    return fit(xs, ys)
+    chosen = []
+    for line, spans, file, turn in shown:
+        cuts = pieces(line, spans)
+        if cuts:
+            chosen.append((next((c for c in cuts if any(t != OUTSIDE for t in c[1][c[2] : c[3]])), cuts[turn % len(cuts)]), file))
+    chosen += [(cut, _file(line.encode())) for line, spans in made_lines() for cut in pieces(line, spans)]
+    told = known(t for (tokens, *_), _ in chosen for t in tokens)
+    xs, ys = zip(*(piece(*cut, file, told) for cut, file in chosen), strict=True)
+    return fit(list(xs), list(ys))
 
 
 def apart(spans: list[Span], base: list[Span]) -> list[Span]:
