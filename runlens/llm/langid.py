@@ -356,7 +356,7 @@ def _calibrate(fitted: Learned, held_back: DataFrame, entropies: dict[str, float
     known = _entropies(held_back, fitted, ["lang"]).where("n_symbols > 0 AND lang_pred <> 'und'")
     known = materialize(known.select("lang", (F.col("lang_pred") == F.col("lang")).alias("right"), F.col("cross_entropy").alias("h"), (1 / F.col("n_symbols")).alias("u")), "calibration")
     limits = lambda r: [r["m"], r["c"], r["a"], r["b"], max(LEAST_Z, ROOM * r["z"])]
-    every = known.withColumn("lang", F.lit(""))
+    every = known.withColumn("lang", F.substring("lang", 1, 0))
     pooled = _measured(every.where("right")) or _measured(every)
     own = {r["lang"]: limits(r) for r in _measured(known.where("right")) if r["rows"] >= least_rows}
     discard(known)
