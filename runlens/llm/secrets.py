@@ -401,8 +401,15 @@ def learn(docs: DataFrame, runs: int = 1000, longest: int = 4096) -> Field:
     written = materialize(every, "secret-lines")
     first = Window.partitionBy("kind", "turn").orderBy("line", "file")
     once = written.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    shown = [(r["line"], [(s["start"], s["end"], "") for s in r["spans"]], r["file"], r["turn"]) for k in range(3) for r in once.where(F.col("kind") == k).orderBy("turn").limit(runs).collect()]
-    discard(written)
+    once = materialize(once.select("kind", "turn", F.shiftright("turn", 20).alias("part"), "line", "spans", "file"), "secret-lines-once")
+    counts = {(r["kind"], r["part"]): r["n"] for r in once.groupBy("kind", "part").agg(F.count("*").alias("n")).collect()}
+    taken = []
+    for k in range(3):
+        upto = itertools.accumulate(counts.get((k, part), 0) for part in range(1 << 12))
+        cut = next((part for part, n in enumerate(upto) if n >= runs), 1 << 12)  # beyond it no line can be among the first, so none is sent
+        taken += once.where((F.col("kind") == k) & (F.col("part") <= cut)).orderBy("turn").limit(runs).collect()
+    shown = [(r["line"], [(s["start"], s["end"], "") for s in r["spans"]], r["file"], r["turn"]) for r in taken]
+    discard(written, once)
     chosen = []
     for line, spans, file, turn in shown:
         cuts = pieces(line, spans)
