@@ -94,7 +94,7 @@ class Encoder:
         look = self.words.__getitem__
         if not self.spaced:
             low = text.lower()
-            if not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", low)):
+            if any(t in low for t in self.added) or not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", low)):
                 return self._encode([text])[0]
             return b"".join(map(look, low.replace("\n", " ").split(" ")))
         if _TOUCHING.search(text) or text[:1] in _SPACE or text[-1:] in _SPACE:
