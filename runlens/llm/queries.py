@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, decontam, langid, licenses, lines, media, minhash, packing, secrets, tokens
+from runlens.llm import chat, decontam, langid, licenses, lines, media, minhash, packing, phrases, secrets, sharding, spelling, tokens
 from runlens.llm.common import materialize
 
 
@@ -133,9 +133,78 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+#: The crc32 goes over the UTF-8 bytes of the id, which are digits, and of letters up to U+00FF.
+_OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, i AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents
+), each AS (SELECT doc_id, w, count(*) AS c FROM runs WHERE length(w) >= 5 GROUP BY doc_id, w),
+hashed AS (
+  SELECT w, c, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))),
+    lambda h, b: xor(h >> 8, t[1 + (xor(h, b) & 255)])), 4294967295) AS h FROM each, crc
+), told AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM told WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cuts AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT DISTINCT x.word AS word, y.word AS other, y.n AS m FROM cuts x JOIN cuts y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word AND length(x.word) = length(y.word)
+  UNION SELECT x.word, y.word, y.n FROM cuts x JOIN words y ON x.rest = y.word
+  UNION SELECT y.word, x.word, x.n FROM cuts x JOIN words y ON x.rest = y.word
+), near AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS best, max(m) AS m FROM pairs GROUP BY word),
+forms AS (SELECT word, CASE WHEN m >= 2 * n THEN best END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN near USING (word)),
+chain AS (
+  SELECT word, word AS root, 0 AS k FROM forms
+  UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+), roots AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_files(spark, f"{sf_dir}/documents.parquet", shards=8)
+    content = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return placed.select("doc_id", (F.octet_length(content) + 1).cast("long").alias("size"), F.crc32(content).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+#: Words carry their language, so that all joins are on words alone.
+_OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (SELECT list_transform(list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> ''), lambda x: lang || chr(9) || x) AS w FROM pieces),
+u AS (SELECT w, count(*)::HUGEINT AS c FROM (SELECT unnest(w) AS w FROM split) GROUP BY w),
+b AS (SELECT x, y, count(*)::HUGEINT AS c FROM (SELECT unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM split WHERE len(w) > 1) GROUP BY x, y HAVING count(*) >= 10),
+t AS (SELECT x, y, z, count(*)::HUGEINT AS c FROM (SELECT unnest(w[:-3]) AS x, unnest(w[2:-2]) AS y, unnest(w[3:]) AS z FROM split WHERE len(w) > 2) GROUP BY x, y, z HAVING count(*) >= 10),
+total AS (SELECT split_part(w, chr(9), 1) AS lang, sum(c) AS n FROM u GROUP BY 1),
+cuts AS (
+  SELECT x, y, NULL AS z, b.c AS a, 1 AS cut, u1.c AS l, u2.c AS r FROM b JOIN u u1 ON u1.w = x JOIN u u2 ON u2.w = y
+  UNION ALL SELECT t.x, t.y, t.z, t.c, 1, u.c, b.c FROM t JOIN u ON u.w = t.x JOIN b ON b.x = t.y AND b.y = t.z
+  UNION ALL SELECT t.x, t.y, t.z, t.c, 2, b.c, u.c FROM t JOIN u ON u.w = t.z JOIN b ON b.x = t.x AND b.y = t.y
+), scored AS (SELECT *, (1000000 * a * a) // (l * r) AS score FROM cuts),
+candidates AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY score, cut) = 1),
+longer AS (SELECT x, y, max(c) AS m FROM (SELECT x, y, c FROM t UNION ALL SELECT y, z, c FROM t) GROUP BY x, y),
+kept AS (
+  SELECT split_part(c.x, chr(9), 1) AS lang, concat_ws(' ', split_part(c.x, chr(9), 2), split_part(c.y, chr(9), 2), split_part(c.z, chr(9), 2)) AS phrase, a, l, r, score
+  FROM candidates c LEFT JOIN longer g ON g.x = c.x AND g.y = c.y WHERE c.z IS NOT NULL OR m IS NULL OR 100 * m < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_token_output, op4_decontamination, op5_chat_formatting, op6_media_columns, op7_secret_scan, op8_line_dedup, op9_packing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_minhash_near_dedup, op3_token_output, op4_decontamination, op5_chat_formatting, op6_media_columns, op7_secret_scan, op8_line_dedup, op9_packing, op10_license_scan, op11_spelling_variants, op12_sharding, op13_phrase_mining)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": _OP2_SQL, "op5_chat_formatting": _OP5_SQL, "op8_line_dedup": _OP8_SQL}
+    return {"op2_minhash_near_dedup": _OP2_SQL, "op5_chat_formatting": _OP5_SQL, "op8_line_dedup": _OP8_SQL, "op11_spelling_variants": _OP11_SQL, "op13_phrase_mining": _OP13_SQL}
