@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions import commands
 from runlens.functions.globs import is_cache
 from runlens.functions.text import set_front_matter, short_hash
 
@@ -78,23 +79,10 @@ def manifest_entries(files: DataFrame, template: DataFrame) -> DataFrame:
     return side(files, "cur").join(side(template, "tpl"), "path", "left").select("path", "tpl", "cur")
 
 
-#: (kind, pattern that must match, pattern that must not, reason), in the order in which they are tried.
-POLICY = [
-    ("command", r"\brm\b(?=.*\s(-\w*[rR]|--recursive))(?=.*\s(-\w*f|--force))", None, "recursive forced delete"),
-    ("command", r"\bgit\s+push\b.*(\s--force|\s-f\b|\s\+\w)", None, "forced push"),
-    ("command", r"(?=.*(\.env\b|id_rsa|credentials))(?=.*\b(curl|wget|nc|scp)\b)", None, "secret sent out"),
-    ("command", r"(\.env\b|id_rsa|credentials).*>\s*(/|~|\.\./)", r">\s*/dev/null\s*$", "secret written outside"),
-    ("path", r"^(/etc/|~/\.ssh/|/root/\.ssh/)", None, "sensitive place"),
-]
-
-
-def verdict(kind: Column, value: Column, rules: list[tuple[str, str, str | None, str]] | None = None) -> Column:
-    """The reason of the first rule that denies a command or path, null if none does."""
-    found = []
-    for k, pattern, unless, reason in rules or POLICY:
-        hit = (kind == k) & value.rlike(pattern)
-        found.append(F.when(hit & ~value.rlike(unless) if unless else hit, F.lit(reason)))
-    return F.coalesce(*found)
+def verdict(kind: Column, value: Column) -> Column:
+    """The reason why a command (see commands.denied) or a path is denied, null if it isn't."""
+    path = commands.sensitive(commands.normal_path(value))
+    return F.when(kind == "command", commands.denied(value)).when((kind == "path") & path, "sensitive place")
 
 
 #: Commands that change the repository; the branch helper is no git command.

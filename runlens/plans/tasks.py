@@ -1,4 +1,4 @@
-"""Dependency planning and batches: order, circles, runnable and blocked tasks, resolved tasks, ordered batches and their proof."""
+"""Dependency planning: order, circles, runnable and blocked tasks, resolved tasks, and the proof of batches (see filling)."""
 
 from __future__ import annotations
 
@@ -126,23 +126,10 @@ def resolve(tasks: DataFrame, models: dict[str, str], ladder: list[str], low_cap
     return tasks.withColumns({"model": model, "baseline": base, "applied": model != base, "k": F.coalesce("k", lookup(role_k), F.lit(default_k)), "skills": F.when(group.isNull(), skills).otherwise(F.array_intersect(skills, group)) if allowed else skills})
 
 
-def batches(files: DataFrame, max_files: int = 20, max_chars: int = 80_000) -> DataFrame:
-    """files (path, dir, n_chars) with part and seq: the batch is (dir, part, seq), files in it by path.
-
-    A folder's files in path order are parted where their running size passes another max_chars (so a batch may hold
-    one file more than that), and then every max_files. Siblings stay together, and no batch spans folders, so
-    folders are planned apart from one another.
-    """
-    order = Window.partitionBy("dir").orderBy("path")
-    before = F.coalesce(F.sum("n_chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parted = files.withColumn("part", F.floor(before / max_chars).cast("long"))
-    return parted.withColumn("seq", F.floor((F.row_number().over(Window.partitionBy("dir", "part").orderBy("path")) - 1) / max_files).cast("long"))
-
-
 def coverage(planned: DataFrame, reported: DataFrame) -> DataFrame:
-    """planned (dir, part, seq, path), reported (dir, part, seq) -> one row: batches, files, those reported, and whether all are, with exit_code 0, 1 or (nothing planned) 2."""
-    told = reported.select("dir", "part", "seq").distinct().withColumn("told", F.lit(1))
-    all_batches = planned.groupBy("dir", "part", "seq").agg(F.count("*").alias("files")).join(told, ["dir", "part", "seq"], "left")
+    """planned (batch, path), reported (batch) -> one row: batches, files, those reported, and whether all are, with exit_code 0, 1 or (nothing planned) 2."""
+    told = reported.select("batch").distinct().withColumn("told", F.lit(1))
+    all_batches = planned.groupBy("batch").agg(F.count("*").alias("files")).join(told, "batch", "left")
     counts = all_batches.agg(F.count("*").alias("batches"), F.count("told").alias("reported"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum(F.when(F.col("told") == 1, F.col("files"))), F.lit(0)).alias("covered"))
     return counts.withColumn("exit_code", F.when(F.col("batches") == 0, 2).when(F.col("batches") == F.col("reported"), 0).otherwise(1))
 
@@ -187,7 +174,7 @@ def from_documents(docs: DataFrame, key: str = "path") -> DataFrame:
 
 
 def partition_faults(files: DataFrame, planned: DataFrame) -> DataFrame:
-    """(path, n): files that aren't in exactly one batch of planned (dir, part, seq, path), and planned paths that are no file (n is null)."""
+    """(path, n): files that aren't in exactly one batch of planned (batch, path), and planned paths that are no file (n is null)."""
     counted = planned.groupBy("path").agg(F.count("*").alias("n"))
     told = files.select("path").distinct().withColumn("_there", F.lit(True)).join(counted, "path", "full_outer")
     return told.where("_there IS NULL OR n IS NULL OR n <> 1").select("path", F.when(F.col("_there"), F.coalesce("n", F.lit(0))).alias("n"))

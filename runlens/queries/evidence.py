@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import text
 from runlens.operators import evidence, retrieval, upkeep
+from runlens.plans import filling
 from runlens.plans import tasks as planning
 from runlens.queries import query, table
 from runlens.sources import adapters
@@ -71,24 +72,28 @@ def resolve_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FILES = "WITH f AS (SELECT coalesce(source, '') || '/' || lpad(CAST(doc_id AS VARCHAR), 10, '0') || '.' || coalesce(lang, '') AS path, coalesce(source, '') AS dir, n_chars FROM documents), "
-_BATCHES = _FILES + """p AS (SELECT *, CAST(floor(coalesce(sum(n_chars) OVER (PARTITION BY dir ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 80000) AS BIGINT) AS part FROM f),
-b AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY dir, part ORDER BY path) - 1) / 20) AS BIGINT) AS seq FROM p) """
+_BATCHES = _FILES.replace("WITH ", "WITH RECURSIVE ", 1) + """o AS (SELECT *, row_number() OVER (ORDER BY dir, path) - 1 AS pos, sum(greatest(coalesce(n_chars, 0), 0)) OVER (ORDER BY dir, path) AS upto, greatest(coalesce(n_chars, 0), 0) AS size FROM f),
+d AS (SELECT dir, min(pos) AS b, count(*) <= 20 AND sum(size) <= 80000 AS fits FROM o GROUP BY dir),
+t AS (SELECT i.pos, greatest(count(j.pos), 1) AS taken FROM o i LEFT JOIN o j ON j.pos >= i.pos AND j.pos < i.pos + 20 AND j.upto - i.upto + i.size <= 80000 GROUP BY i.pos),
+x AS (SELECT t.pos, CASE WHEN b > t.pos AND b < t.pos + taken AND fits THEN b ELSE t.pos + taken END AS nxt FROM t LEFT JOIN (SELECT pos, b, fits FROM o JOIN d USING (dir)) c ON c.pos = t.pos + taken),
+w AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS batch UNION ALL SELECT nxt, batch + 1 FROM w JOIN x ON x.pos = w.pos WHERE nxt < (SELECT count(*) FROM o)),
+b AS (SELECT o.path, o.dir, o.n_chars, w.batch FROM o ASOF JOIN w ON o.pos >= w.pos)"""
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.file_tree(table(spark, sf_dir, "documents"))
 
 
-@query(_BATCHES + "SELECT path, dir, part, seq FROM b")
+@query(_BATCHES + " SELECT path, dir, batch FROM b")
 def sweep_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.batches(_files(spark, sf_dir)).select("path", "dir", "part", "seq")
+    return filling.batches(_files(spark, sf_dir)).select("path", "dir", "batch")
 
 
-@query(_BATCHES + """, g AS (SELECT dir, part, seq, count(*) AS n, part % 3 <> 0 AS told FROM b GROUP BY ALL)
+@query(_BATCHES + """, g AS (SELECT batch, count(*) AS n, batch % 3 <> 0 AS told FROM b GROUP BY ALL)
 SELECT count(*) AS batches, count(*) FILTER (WHERE told) AS reported, CAST(coalesce(sum(n), 0) AS BIGINT) AS files, CAST(coalesce(sum(n) FILTER (WHERE told), 0) AS BIGINT) AS covered, CASE WHEN count(*) = 0 THEN 2 WHEN bool_and(told) THEN 0 ELSE 1 END AS exit_code FROM g""")
 def sweep_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = planning.batches(_files(spark, sf_dir))
-    return planning.coverage(planned, planned.where("part % 3 <> 0"))
+    planned = filling.batches(_files(spark, sf_dir))
+    return planning.coverage(planned, planned.where("batch % 3 <> 0"))
 
 
 _SEARCHES = [(i, f"source{i % 4}", p, w, a, m, c) for i, (p, w, a, m, c) in enumerate([("the", None, None, "lines", 3), ("[0-9]{3}", "the", None, "lines", None), ("on", None, "en", "files", 5), (None, None, None, "lines", 1), ("zzzzqq", None, None, "lines", 0), ("th", "en", None, "files", 0)])] + [(9, "nowhere", "x", None, None, "lines", 0)]

@@ -57,6 +57,23 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def positions(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """rows, written, with _at (place from 0 in the order of these columns) and for each name in sums the sum of its column over all rows before.
+
+    Rows are dealt by ranges; what each range counts and sums is added up over the ranges, a row for each, so no task gets more than a range.
+    """
+    ranged = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    per_range = ranged.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_of_{k}") for k, c in sums.items()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.select("_range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", *[f"_of_{k}" for k in sums])])
+    own = Window.partitionBy("_range").orderBy(*order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    told = ranged.join(offsets, "_range").withColumn("_at", F.col("_n") + F.row_number().over(own) - 1)
+    for k, c in sums.items():
+        told = told.withColumn(k, F.col(f"_of_{k}") + F.coalesce(F.sum(c).over(before), F.lit(0)))
+    return told.drop("_range", "_n", *[f"_of_{k}" for k in sums])
+
+
 def carried(rows: DataFrame, key: list[str], told: dict[str, tuple[Column, Callable[[str], Column]]], width: str = "hour", time: str = "ts") -> DataFrame:
     """rows with _bucket (their hour, say) and, for each name in told, what all earlier buckets of the key say together.
 
