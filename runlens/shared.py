@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: For each settled that is at work, the tables written for it so far.
+_SETTLING: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,17 +46,38 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    for made in _SETTLING[-1:]:
+        made.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes tables that materialize wrote (the very results of it), once nothing will read them again."""
     for table in tables:
         path = None if table is None else vars(table).get("_written")
         if path:
-            context = table.sparkSession.sparkContext
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(table.sparkSession, path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, written by materialize; all other tables that were written on the way to it, also by what it calls, are deleted."""
+    made: list[str] = []
+    _SETTLING.append(made)
+    try:
+        out = materialize(make(), name)
+    finally:
+        _SETTLING.pop()
+    for path in made[:-1]:
+        _delete(spark, path)
+    for outer in _SETTLING[-1:]:
+        outer.append(out._written)
+    return out
 
 
 def positions(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
