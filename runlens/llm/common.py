@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from runlens.shared import discard, materialize, prepare, salted_join, shared_dir
+from runlens.shared import discard, materialize, prepare, salted_join, settled, shared_dir
 
-__all__ = ["discard", "materialize", "prepare", "salted_join", "shared_dir", "utf8"]
+__all__ = ["discard", "materialize", "prepare", "salted_join", "settled", "shared_dir", "utf8"]
 
 
 def utf8(column: pa.Array) -> list[bytes]:

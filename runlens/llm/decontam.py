@@ -139,13 +139,13 @@ class _Class:
 
 
 class Items:
-    """Benchmark items by q-gram: those of at least `exact_below` symbols with an edit budget, shorter ones for exact places only."""
+    """Benchmark items by q-gram, with an edit budget; those of fewer than two q-grams' symbols, which the lemma leaves none, for exact places."""
 
-    def __init__(self, ids: list, texts: list[str], rate: float, exact_below: int = 40) -> None:
+    def __init__(self, ids: list, texts: list[str], rate: float) -> None:
         symbols, cuts, _ = normalized(texts)
         self.ids, self.rate = ids, rate
         self.symbols = [s[: len(s) - sum(1 for x in s[-2:] if x == _BLANK)] for s in (symbols[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
-        least = max(exact_below, 2 * Q)
+        least = 2 * Q
         long = [i for i, s in enumerate(self.symbols) if len(s) >= least]
         hashes = {i: qgrams(self.symbols[i]) for i in long}
         keys = np.unique(np.concatenate([hashes[i] for i in long])) if long else np.zeros(0, np.uint64)
@@ -265,17 +265,17 @@ class Items:
             yield t, i, int(own[start]) - int(begins[t]), min(int(own[end - 1]) + 1 - int(begins[t]), len(texts[t])), edits
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, exact_below: int = 40, block_chars: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 2_000_000, blocks_at_once: int = 4) -> DataFrame:
     """(doc_id, item_id, start, end, edits): where documents hold items of benchmark (item_id, text), one row for each two.
 
     Letters and digits in lower case count, all else parts words. A place counts if it turns into the whole item by
     at most edit_budget edits of single symbols: rate * symbols, or less where no q-gram would be left for the lemma.
     start and end are those of the place with the fewest edits, in the text's characters; of several the one that ends
-    first. Items of fewer than exact_below symbols count where they stand exactly, between blanks or the text's ends.
-    Null texts and items without a letter or digit match nothing. The items are matched in blocks of about block_chars
-    characters; each block's index (some 40 bytes a character) is broadcast, so its size has a bound, and goes over all
-    documents. Repeated rows give their rows again, items of one item_id are matched each; no documents or items give
-    no row; other columns are left out.
+    first. Items of fewer than 16 symbols count where they stand exactly, between blanks or the text's ends: an edit can
+    leave them without a q-gram. Null texts and items without a letter or digit match nothing. The items are matched in
+    blocks of about block_chars characters, whose indexes (some 40 bytes a character) are broadcast; a scan of the documents meets
+    blocks_at_once of them, so what a worker holds has a bound. Repeated rows give their rows again, items of one
+    item_id are matched each; no documents or items give no row; other columns are left out.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -286,30 +286,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, exact
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, end long, edits long"
     item_type = benchmark.select("item_id").limit(0).toArrow().schema.field(0).type
     out = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        index = Items([r[0] for r in part], [r[1] for r in part], rate, exact_below)
-        if not index.classes and not index.anchors:
+    for first in range(0, blocks, blocks_at_once):
+        held = []
+        for block in range(first, min(blocks, first + blocks_at_once)):
+            part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+            index = Items([r[0] for r in part], [r[1] for r in part], rate)
+            if index.classes or index.anchors:
+                held.append(spark.sparkContext.broadcast(index))
+        if not held:
             continue
-        shared = spark.sparkContext.broadcast(index)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts, begin, size = [t or "" for t in batch.column(1).to_pylist()], 0, 0
                 for end, text in enumerate(texts, 1):
                     size += len(text)
                     if size < 300_000 and end < len(texts):
                         continue
-                    found = list(shared.value.matches(texts[begin:end]))
-                    if found:
-                        t, i, start, stop, edits = zip(*found, strict=True)
-                        rows = pa.array([begin + x for x in t], pa.int64())
-                        ids = pa.array([shared.value.ids[x] for x in i], item_type)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), ids, *(pa.array(x, pa.int64()) for x in (start, stop, edits))], ["doc_id", "item_id", "start", "end", "edits"])
+                    for shared in held:
+                        found = list(shared.value.matches(texts[begin:end]))
+                        if found:
+                            t, i, start, stop, edits = zip(*found, strict=True)
+                            rows = pa.array([begin + x for x in t], pa.int64())
+                            ids = pa.array([shared.value.ids[x] for x in i], item_type)
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), ids, *(pa.array(x, pa.int64()) for x in (start, stop, edits))], ["doc_id", "item_id", "start", "end", "edits"])
                     begin, size = end, 0
 
         found = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(scan, schema)
-        out = found if blocks == 1 else out.unionByName(found)
+        out = found if blocks <= blocks_at_once else out.unionByName(found)
     return out
 
 

@@ -14,15 +14,26 @@ from runlens.llm.common import prepare, utf8
 #: Phrases and the labels they stand for.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Template texts, whole ones and the usual notices. [[ ]] holds an optional region, {{n}} stands for up to n words of any kind.
+def _gnu(name: str, label: str) -> dict[str, str]:
+    """The grant and the whole notice of a license of the GNU family."""
+    grant = f"you can redistribute it and or modify it under the terms of the gnu {name} license as published by the free software foundation [[ either ]] version {{{{2}}}} of the license [[ or at your option any later version ]]"
+    notice = f"{{{{4}}}} is free software {grant} {{{{4}}}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name} license for more details you should have received a copy of the gnu {name} license along with {{{{4}}}} [[ if not see {{{{8}}}} ]]"
+    return {f"{label}-grant": grant, f"{label}-notice": notice}
+
+
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[ 1 ]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[ 2 ]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution {third} this software is provided by {{{{12}}}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{{{12}}}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
+#: The wording of whole short licenses, and of the notices by which the long ones (Apache, GNU) are named. [[ ]] holds an optional region, {{n}} stands for up to n words of any kind.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0 [[ the license ]]",
     "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[ http ]] [[ https ]] [[ www ]] apache org licenses license 2 0 [[ html ]] [[ txt ]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[ 1 ]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[ 2 ]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[ [[ 3 ]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission ]] this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-2-clause": _BSD.format(third=""),
+    "bsd-3-clause": _BSD.format(third="[[ 3 ]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     "cc-by-nc-4.0": "licensed under [[ a ]] [[ the ]] [[ creative commons ]] cc by nc 4 0 [[ international ]] [[ license ]]",
     "gpl-3.0": "licensed under the [[ terms of the ]] gnu general public license version 3 [[ or {{3}} later version ]]",
-    "gpl-grant": "you can redistribute it and or modify it under the terms of the gnu [[ lesser ]] [[ affero ]] general public license as published by the free software foundation [[ either ]] version {{2}} of the license [[ or at your option any later version ]]",
-    "gpl-notice": "{{4}} is free software you can redistribute it and or modify it under the terms of the gnu [[ lesser ]] [[ affero ]] general public license as published by the free software foundation [[ either ]] version {{2}} of the license [[ or at your option any later version ]] {{4}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[ lesser ]] [[ affero ]] general public license for more details you should have received a copy of the gnu [[ lesser ]] [[ affero ]] general public license along with {{4}} [[ if not see {{8}} ]]",
+    **_gnu("general public", "gpl"),
+    **_gnu("lesser general public", "lgpl"),
+    **_gnu("affero general public", "agpl"),
     "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     "mit-notice": "released under the [[ terms of the ]] mit license",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[ including the next paragraph ]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
@@ -99,7 +110,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     all mandatory wording stands exactly, optional regions may be missing, and replaceable ones hold any words up to
     their number. score is n / (n + 4), n the most mandatory words of a template, or of a phrase, that stand in the text:
     0 without any, 0.33 for two words, near 1 for a whole license. Null or empty text: no words, no places, empty labels.
-    Of several ends of a template at one start the longest counts. Repeated rows each give their own row; an empty table gives an empty one; other columns are
+    Of several ends of a template at one start the longest counts; words that a wildcard at a template's begin stands for are part of the span only if it takes
+    them, so a span begins at the earliest start that matches. Repeated rows each give their own row; an empty table gives an empty one; other columns are
     left out.
     """
     prepare(docs.sparkSession)

@@ -5,7 +5,7 @@ import pytest
 
 from runlens.llm import decontam
 
-RATE, LEAST = 0.1, 40
+RATE, LEAST = 0.1, 2 * decontam.Q
 
 
 def flat(text):
@@ -44,7 +44,7 @@ def test_matches_are_those_of_edit_distance(spark, where):
     rng = random.Random(where)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 7)))
     sized = lambda n: flat(" ".join(word() for _ in range(n))[:n]) or "a"
-    items = [sized(n) for n in (1, 2, 5, 6, 8, 15, 36, 39, 40, 41, 50, 79, 80, 120, 130, 200, 400)]
+    items = [sized(n) for n in (1, 2, 5, 6, 8, 15, 16, 17, 23, 24, 31, 33, 36, 39, 40, 41, 50, 60, 79, 80, 120, 130, 200, 400)]
     docs = []
     for i, item in enumerate(items):
         budget = 0 if len(item) < LEAST else int(len(item) * RATE)
@@ -85,6 +85,13 @@ def test_awkward_rows(spark, awkward, empty):
     assert decontam.contaminated(awkward, spark.createDataFrame([("z", "A", "", "")], schema)).count() == 5
 
 
+def test_short_items_have_a_budget_too():
+    item = "which river runs through budapest"
+    index = decontam.Items([5], [item], RATE)
+    for text, edits_ in ((item, 0), (item.replace("runs", "rums"), 1), (item.replace("which", "wich").replace("budapest", "budapezt"), 2), (item.replace(" ", ""), None), (item.replace("river runs", "road leads"), None)):
+        assert [e for *_, e in index.matches([f"he asked: {text}? and more"])] == ([] if edits_ is None else [edits_])
+
+
 def test_places_are_found_in_very_long_texts():
     item = "the quick brown fox jumps over the lazy dog and runs away from it all"
     index = decontam.Items([7, 8], [item, "short one"], RATE)

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from runlens.llm import chat, langid, queries
+from runlens.llm.common import discard, materialize, settled, shared_dir
 
 from .conftest import DATA
 from .test_decontam import flat, holds
@@ -243,3 +245,21 @@ def test_pipeline_stages_keep_the_columns(spark):
         rows = docs.count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, f"{DATA}/sf0.001")
     assert pieces.select("doc_id").distinct().count() == rows
+
+
+def test_the_row_that_stays_does_not_depend_on_the_order_of_rows(spark):
+    row = lambda x: spark.createDataFrame([(1, "the same words in both rows of it", "en", "s", 33, x)], "doc_id long, text string, lang string, source string, n_chars long, other string")
+    kept = lambda one, two: [r["other"] for r in corpus_pipeline.near_dedup(spark, row(one).union(row(two)), "").collect()]
+    assert kept("a", "b") == kept("b", "a") == ["a"] and kept(None, "a") == kept("a", None)
+
+
+def test_only_results_stay_in_the_shared_folder(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    inner = lambda: materialize(materialize(spark.range(3), "step"), "other").withColumn("x", F.lit(1))
+    out = settled(spark, "result", lambda: settled(spark, "middle", inner).where("id > 0"))
+    assert out.count() == 2 and [p.name.partition("-")[0] for p in set(folder.iterdir()) - before] == ["result"]
+    discard(out)
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert {x for x in left if x.startswith("stage-")} == {"stage-decontamination"} and len(left) == 1

@@ -299,3 +299,12 @@ def test_licenses(spark, awkward, empty):
     assert [(r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) for r in rows] == [
         (6, 3, 0, 4, "apache,mit", "apache,mit", 2 / 6), (8, 1, 3, 3, "apache", "apache,apache-2.0", 8 / 12), (8, 1, 6, 6, "mit", "mit,mit-notice", 5 / 9), (3, 0, None, None, "", "", 0.0), (0, 0, None, None, "", "", 0.0)]
     assert licenses.scan_licenses(awkward).count() == awkward.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def test_licenses_of_one_family_have_labels_of_their_own():
+    automata = {k: licenses.Automaton(v) for k, v in licenses.TEMPLATES.items()}
+    spoken = lambda label: [w for w in re.sub(r"\{\{\d+\}\}", "someone", licenses.TEMPLATES[label]).split() if w not in ("[[", "]]")]
+    labels = lambda words: {m[0] for m in licenses.matches(["x", *words, "y"], automata)}
+    assert labels(spoken("bsd-2-clause")) == {"bsd-2-clause"} and labels(spoken("bsd-3-clause")) == {"bsd-3-clause"}
+    for kind in ("gpl", "lgpl", "agpl"):
+        assert labels(spoken(f"{kind}-notice")) == {f"{kind}-notice", f"{kind}-grant"} and labels(spoken(f"{kind}-grant")) == {f"{kind}-grant"}
