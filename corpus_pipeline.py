@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import decontam, langid, lines, minhash, packing
-from runlens.llm.common import materialize
+from runlens.llm.common import discard, materialize, settled
 
 
 def _numbered(docs: DataFrame, *own: str) -> DataFrame:
@@ -60,8 +60,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = told.groupBy(F.col("doc_id").alias("told_id"), F.col("version").alias("told_version")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
     told = materialize(told.where("NOT kept OR n > 1"), "near-copies")
     left = rows.join(told, (F.col("doc_id") == F.col("told_id")) & (F.col("version") == F.col("told_version")), "left").where("kept IS NULL OR kept")
-    order = F.struct(*[F.col(f"_{docs.columns.index(c)}") for c in ("lang", "source", "n_chars") if c in docs.columns])
     numbered = _numbered(docs, "doc_id", "text").columns
+    order = F.struct(*[F.col(f"_{docs.columns.index(c)}") for c in ("lang", "source", "n_chars") if c in docs.columns], F.to_json(F.struct(*numbered)))
     once = left.where("n > 1").groupBy("doc_id", "version").agg(F.min_by(F.struct(*numbered), order).alias("row")).select("row.*")
     return _named(left.where("n IS NULL OR n = 1").select(*numbered).unionByName(once), docs, "doc_id", "text")
 
@@ -85,7 +85,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents that the stages keep. A stage's table is deleted when the next one's is written, so only the last stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, settled(spark, f"stage-{name}", lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
