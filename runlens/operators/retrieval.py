@@ -1,15 +1,10 @@
-"""Exact and approximate nearest vectors by cosine."""
+"""Exact nearest vectors by cosine; vectors.py has the approximate ones, and exact ones of many queries without a scope."""
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.shared import materialize
-
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision; null where one has no length or no direction."""
@@ -42,36 +37,3 @@ def retrieve_many(chunks: DataFrame, queries: DataFrame, k: int = 6, key: str =
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
     ranked = pairs.withColumn("similarity", cosine(F.col("embedding"), F.col("_q"))).where("similarity IS NOT NULL").withColumn("place", F.row_number().over(order))
     return ranked.where(F.col("place") <= k).select("query", key, "similarity", "place")
-
-
-def planes(dimensions: int, bits: int, table: int) -> list[list[float]]:
-    """Signs of hyperplanes, fixed by their numbers."""
-    rows = []
-    for b in range(bits):
-        digest = hashlib.shake_256(f"{table}:{b}".encode()).digest(dimensions * 2)
-        rows.append([int.from_bytes(digest[2 * i : 2 * i + 2], "little") / 32767.5 - 1 for i in range(dimensions)])
-    return rows
-
-
-def approximate(chunks: DataFrame, queries: DataFrame, dimensions: int, k: int = 6, tables: int = 24, bits: int = 4, key: str = "id") -> DataFrame:
-    """Like retrieve_many over all chunks, but only chunks that share a hash with the query are ranked: by exact cosine. Queries with fewer than k of them are ranked against all chunks.
-
-    More bits make fewer candidates, more tables more of them. The defaults are for vectors without clusters, whose nearest
-    neighbours are hardly nearer than others (recall 0.98 with 78 % of all chunks as candidates on random vectors of 64
-    dimensions, where 12 bits and 100 tables find 43 % with 4 %); for clustered ones take 12 bits or more.
-    """
-    every = F.from_json(F.lit(json.dumps([p for t in range(tables) for p in planes(dimensions, bits, t)])), "array<array<double>>")
-    side = lambda plane: F.when(F.aggregate(F.zip_with("embedding", plane, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v) > 0, "1").otherwise("0")
-    signs = F.array_join(F.transform(every, side), "")
-    codes = F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.concat(t.cast("string"), F.lit(":"), F.substr(F.col("signs"), t * bits + 1, F.lit(bits))))).alias("code")
-    right = chunks.where(F.size("embedding") == dimensions).select(key, signs.alias("signs")).select(key, codes)
-    left = queries.where(F.size("embedding") == dimensions).select("query", signs.alias("signs")).select("query", codes)
-    met = left.join(right, "code").select("query", key).distinct()
-    pairs = met.join(chunks.select(key, "embedding"), key).join(queries.select("query", F.col("embedding").alias("_q")), "query")
-    order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    ranked = pairs.withColumn("similarity", cosine(F.col("embedding"), F.col("_q"))).where("similarity IS NOT NULL").withColumn("place", F.row_number().over(order))
-    found = materialize(ranked.where(F.col("place") <= k).select("query", key, "similarity", "place"), "ranked")
-    enough = found.where(F.col("place") == k).select("query")
-    few = queries.join(enough, "query", "left_anti").withColumn("_all", F.lit(1))
-    exact = retrieve_many(chunks.withColumn("_all", F.lit(1)), few, k, key, "_all")
-    return found.join(enough, "query", "left_semi").unionByName(exact)

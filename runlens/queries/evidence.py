@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import text
-from runlens.operators import evidence, retrieval, upkeep
+from runlens.operators import evidence, retrieval, upkeep, vectors
 from runlens.plans import filling
 from runlens.plans import tasks as planning
 from runlens.queries import query, table
@@ -47,11 +47,24 @@ def knn_dim_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.mismatched(cut, 64)
 
 
+@query(f"""
+SELECT query, id, round(s, 6) AS similarity, place FROM (
+  SELECT q.vec_id AS query, e.vec_id AS id, s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) AS place
+  FROM embeddings q, embeddings e, LATERAL (SELECT {_COSINE.format(a='e.embedding', b='q.embedding')} AS s) WHERE q.vec_id % 100 = 0
+) WHERE place <= 6
+""")
+def knn_exact_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a scope: every vector whose id is divisible by 100 against all."""
+    chunks = _chunks(spark, sf_dir)
+    queries = chunks.where("id % 100 = 0").select(F.col("id").alias("query"), "embedding")
+    return vectors.exact(chunks, queries, 64).select("query", "id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
+
+
 @query()
 def knn_ann_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
     queries = chunks.where("id % 100 = 0").select(F.col("id").alias("query"), "embedding")
-    return retrieval.approximate(chunks, queries, 64).select("query", "id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
+    return vectors.approximate(chunks, queries, 64).select("query", "id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
 
 
 @query("""

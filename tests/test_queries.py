@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from runlens import catalog
-from runlens.operators import guards, retrieval
+from runlens.operators import guards
 
 DATA = "/root/testdata/sf0.001"
 
@@ -33,8 +33,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_approximate_search_finds_nearly_all(spark):
-    chunks = spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("vec_id AS id", "1 AS skill", "embedding")
-    exact = {(r["query"], r["id"]) for r in retrieval.retrieve_many(chunks, chunks.where("id % 100 = 0").withColumnRenamed("id", "query")).collect()}
+    exact = {(r["query"], r["id"]) for r in catalog.QUERIES["knn_exact_many"](spark, DATA).collect()}
     got = {(r["query"], r["id"]) for r in catalog.QUERIES["knn_ann_rerank"](spark, DATA).collect()}
     assert len(exact & got) >= 0.9 * len(exact) > 0
 
