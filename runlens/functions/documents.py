@@ -24,7 +24,8 @@ def _scalar(value: Column) -> Column:
 def _items(value: Column) -> Column:
     """The items of [a, b] or of a single value."""
     inside = F.regexp_extract(value, r"^\[(.*)\]", 1)
-    some = F.filter(F.transform(F.split(inside, ","), lambda x: _scalar(F.trim(x))), lambda x: x != "")
+    parts = F.regexp_extract_all(inside, F.lit(r"""\s*("(?:[^"\\]|\\.)*"|'[^']*'|[^,]*)\s*(?:,|$)"""), 1)  # a quoted comma parts nothing
+    some = F.filter(F.transform(parts, lambda x: _scalar(F.trim(x))), lambda x: x != "")
     return F.when(value.rlike(r"^\["), some).when(_scalar(value) == "", F.array().cast("array<string>")).otherwise(F.array(_scalar(value)))
 
 

@@ -12,8 +12,8 @@ CLEARED = ["sections cleared", "categories cleared", "dimensions with no issues"
 FAILING = ["mismatch", "failed", "uncited", "unrunnable"]
 ENUMERATED_ROLES = ["design-critic", "security-reviewer", "auditor"]
 
-_COUNT = r"`([^`]+)`\s*(?:->|→)\s*(\d+|no|zero)\b"
-_PLACE = r"`?([\w./-]+\.\w+):(\d+)(?:-(\d+))?`?\s+\"([^\"]+)\""
+_COUNT = r"`([^`]+)`\s*(?:->|→)\s*(\d{1,3}(?:,\d{3})+|\d+|no|zero)\b"
+_PLACE = r"`?([\w./-]+\.\w+|[\w.-]*/[\w./-]+):(\d+)(?:-(\d+))?`?\s+\"([^\"]+)\""
 _HEADING = r"^(#{1,6})\s+(.*?)\s*$"
 
 
@@ -48,11 +48,11 @@ def cleared(docs: DataFrame, key: str = "path") -> DataFrame:
 def citation(item: Column) -> Column:
     """(kind, command, claimed, path, first, last, snippet) of what an item cites.
 
-    search: the first backticked command with a count behind it, whatever prose comes before; no and zero are 0. place:
-    path:line or path:line-line and a quoted snippet. unverified: an item that says so. Else none.
+    search: the first backticked command with a count behind it, whatever prose comes before; no and zero are 0, and 1,234 is
+    1234. place: path:line or path:line-line and a quoted snippet; a path has an ending or a slash, and may lead anywhere (see places). unverified: an item that says so. Else none.
     """
     count = F.regexp_extract(item, _COUNT, 2)
-    claimed = F.when(count.isin("no", "zero"), 0).otherwise(count.try_cast("long"))
+    claimed = F.when(count.isin("no", "zero"), 0).otherwise(F.replace(count, F.lit(","), F.lit("")).try_cast("long"))
     part = lambda i: F.nullif(F.regexp_extract(item, _PLACE, i), F.lit(""))
     says = item.rlike(r"(?i)\b(cleared|enumerated)\b")
     search, place = says & item.rlike(_COUNT), says & item.rlike(_PLACE)

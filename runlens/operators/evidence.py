@@ -114,13 +114,18 @@ def coverage_status(expected: DataFrame, rows: DataFrame, key: str = "list") ->
     return counted.withColumn("status", status)
 
 
-def undeclared(reported: DataFrame, declared: DataFrame) -> DataFrame:
-    """(item, command, status) of reported searches that differ from the declared one of their item but for white space: substituted, or undeclared without one."""
-    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    d = declared.select(F.col("item").alias("_i"), flat("command").alias("_c"))
-    joined = reported.join(d, F.col("item") == F.col("_i"), "left")
-    status = F.when(F.col("_i").isNull(), "undeclared").when(flat("command") != F.col("_c"), "substituted")
-    return joined.withColumn("status", status).where("status IS NOT NULL").select("item", "command", "status")
+def undeclared(reported: DataFrame, declared: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Rows of reported (key, item, command, ...) that don't use what is declared for their item (key, item, command), with status.
+
+    substituted: another command than any declared, but for white space; uncited: none (command is empty then). Items
+    without a declaration are no concern of this, nor are reports without any: their coverage tells of them.
+    """
+    on = [*(key or []), "item"]
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    d = declared.where("command IS NOT NULL").groupBy(*on).agg(F.collect_set(flat(F.col("command"))).alias("_declared"))
+    used = reported.join(d, on).withColumn("_used", flat(F.col("command"))).where(~F.array_contains("_declared", F.col("_used")))
+    none = F.col("_used") == ""
+    return used.withColumns({"command": F.when(none, "").otherwise(F.col("command")), "status": F.when(none, "uncited").otherwise("substituted")}).select(*reported.columns, "status")
 
 
 def baseline_drift(results: DataFrame, suspect: float = 0.5) -> DataFrame:

@@ -462,11 +462,18 @@ def symbol_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.symbols(_parts(spark, sf_dir, text=_SOURCE, ext="CASE p_partkey % 3 WHEN 0 THEN 'py' WHEN 1 THEN 'ts' ELSE 'txt' END"))
 
 
-@query("SELECT p_partkey AS item, 'grep  -n ' || p_partkey AS command, CASE p_partkey % 3 WHEN 1 THEN 'substituted' ELSE 'undeclared' END AS status FROM part WHERE p_partkey % 3 > 0")
+@query("""
+WITH d AS (SELECT user_id AS item, trim(regexp_replace(event_type || ' ' || min(props), '[ \t\n]+', ' ', 'g')) AS command FROM events WHERE user_id % 3 > 0 GROUP BY user_id, event_type),
+r AS (SELECT event_id, user_id AS item, CASE WHEN event_id % 7 > 0 THEN '  ' || event_type || '   ' || props END AS command FROM events)
+SELECT event_id, item, coalesce(command, '') AS command, CASE WHEN command IS NULL THEN 'uncited' ELSE 'substituted' END AS status FROM r
+WHERE item IN (SELECT item FROM d) AND NOT EXISTS (SELECT 1 FROM d WHERE d.item = r.item AND d.command = trim(regexp_replace(r.command, '[ \t\n]+', ' ', 'g')))""")
 def undeclared_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _parts(spark, sf_dir)
-    declared = rows.where("n % 3 < 2").select(F.col("n").alias("item"), F.concat(F.lit(" grep -n "), "path", F.when(F.col("n") % 3 == 1, " -i").otherwise("")).alias("command"))
-    return evidence.undeclared(rows.select(F.col("n").alias("item"), F.concat(F.lit("grep  -n "), "path").alias("command")), declared)
+    """Each user's first properties of each event type are declared for two users in three; every event is a use, one in seven of none."""
+    events = table(spark, sf_dir, "events")
+    declared = events.where("user_id % 3 > 0").groupBy(F.col("user_id").alias("item"), "event_type").agg(F.concat_ws(" ", "event_type", F.min("props")).alias("command"))
+    command = F.when(F.col("event_id") % 7 > 0, F.concat(F.lit("  "), "event_type", F.lit("   "), "props"))
+    used = events.select("event_id", F.col("user_id").alias("item"), command.alias("command"))
+    return evidence.undeclared(used, declared)
 
 
 @query("SELECT p_partkey AS n, CASE WHEN p_partkey % 4 = 2 THEN 'own' ELSE 'new' END AS command, p_partkey % 4 <> 2 AS managed FROM part WHERE p_partkey % 4 <> 1")

@@ -9,7 +9,7 @@ from pyspark.sql.utils import AnalysisException
 from runlens import schemas
 
 
-def _missing(error: AnalysisException) -> bool:
+def missing(error: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in str(error)
 
 
@@ -18,7 +18,7 @@ def jsonl(spark: SparkSession, path: str, schema: str = schemas.EVENT, strict: b
     try:
         lines = spark.read.text(path).where("trim(value) <> ''")
     except AnalysisException as error:
-        if not _missing(error):
+        if not missing(error):
             raise
         lines = spark.createDataFrame([], "value string")
     rows = lines.select(F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("_row")).select("_row.*")
@@ -43,7 +43,7 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
         rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), text_or_null(F.col("value")).alias("text"))
         rows.schema  # noqa: B018  resolves the path
     except AnalysisException as error:
-        if not _missing(error):
+        if not missing(error):
             raise
         rows = spark.createDataFrame([], "path string, text string")
     return rows
