@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import documents
-from runlens.shared import discard, materialize
+from runlens.plans import order
+from runlens.shared import discard, materialize, settled
 
 
 def edges(tasks: DataFrame) -> DataFrame:
@@ -24,25 +25,10 @@ def invalid_deps(tasks: DataFrame) -> DataFrame:
 
 
 def levels(tasks: DataFrame) -> DataFrame:
-    """(id, level): the length of the longest way of dependencies below each task; null on a circle or above one.
-
-    Each step settles one level, so there are as many steps as the longest way has tasks. Dangling dependencies don't count.
-    """
-    ids = materialize(tasks.select("id").distinct(), "tasks")
-    open_edges = materialize(edges(tasks).join(ids.select(F.col("id").alias("needs")), "needs"), "edges")
-    settled, rest, level = [], ids, 0
-    while True:
-        free = materialize(rest.join(open_edges.select("id").distinct(), "id", "left_anti").withColumn("level", F.lit(level)), "level")
-        if free.isEmpty():
-            break
-        settled.append(free)
-        rest = materialize(rest.join(free, "id", "left_anti"), "rest")
-        open_edges = materialize(open_edges.join(free.select(F.col("id").alias("needs")), "needs", "left_anti"), "edges")
-        level += 1
-    out = rest.withColumn("level", F.lit(None).cast("int"))
-    for free in settled:
-        out = out.unionByName(free)
-    return out
+    """(id, level): the length of the longest way of dependencies below each task; null on a circle or above one (see order). Dangling dependencies don't count."""
+    ids = tasks.select("id").distinct()
+    known = edges(tasks).join(ids.select(F.col("id").alias("needs")), "needs").select("id", "needs")
+    return settled(tasks.sparkSession, "levels", lambda: order.levels(ids, known))
 
 
 def _settled(state: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -60,34 +46,28 @@ def _settled(state: DataFrame, spread: Callable[[DataFrame], DataFrame]) -> Data
 def on_circles(tasks: DataFrame) -> DataFrame:
     """(id): tasks on a circle of dependencies.
 
-    Ends that nothing follows or precedes are taken off first. What is left is coloured by the greatest task that leads to
-    each; a colour's tasks that lead back to that task are on circles with it (or it alone, if it needs itself), and go.
-    Only dependencies within a colour can be on further circles. So there are as many rounds as circles stand one behind another.
+    Contraction (see order) first takes off what is on none and makes chains one step. What is left is coloured by the greatest
+    task that leads to each; a colour's tasks that lead back to that task are on circles with it (or it alone, if it needs itself), and
+    go. Only dependencies within a colour can be on further circles. So there are as many rounds as circles stand one behind another.
     """
-    left, found = materialize(edges(tasks), "edges"), []
-    while True:
-        n = left.count()
-        while n:
-            trimmed = left.join(left.select(F.col("id").alias("needs")).distinct(), "needs", "left_semi").join(left.select(F.col("needs").alias("id")).distinct(), "id", "left_semi")
-            trimmed = materialize(trimmed.select("id", "needs"), "edges")
-            discard(left)
-            before, n, left = n, trimmed.count(), trimmed
-            if n == before:
-                break
-        if not n:
-            break
+    return settled(tasks.sparkSession, "on-circles", lambda: _on_circles(tasks))
+
+
+def _on_circles(tasks: DataFrame) -> DataFrame:
+    ids = tasks.select("id").distinct()
+    state = order.contract(ids, edges(tasks).join(ids.select(F.col("id").alias("needs")), "needs").select("id", "needs"))
+    left, found = state.edges.select("id", "needs"), [state.nodes.limit(0).select("id", F.col("id").alias("circle"))]
+    while not left.isEmpty():
         nodes = materialize(left.select("id").union(left.select("needs")).distinct().select("id", F.col("id").alias("label")), "labels")
-        colour = _settled(nodes, lambda state: left.join(state.withColumnRenamed("id", "_n"), F.col("id") == F.col("_n")).select(F.col("needs").alias("id"), "label"))
+        colour = _settled(nodes, lambda state: left.join(state.withColumnRenamed("id", "_n"), F.col("id") == F.col("_n")).select(F.col("needs").alias("id"), "label"))  # noqa: B023
         own = left.join(colour.select(F.col("id"), F.col("label").alias("_a")), "id").join(colour.select(F.col("id").alias("needs"), F.col("label").alias("_b")), "needs")
         inside = materialize(own.where("_a = _b").select("id", "needs"), "edges")
         roots = materialize(colour.where("id = label"), "labels")
-        back = _settled(roots, lambda state: inside.join(state.withColumnRenamed("id", "_n"), F.col("needs") == F.col("_n")).select("id", "label"))
-        rest = materialize(inside.join(back.select("id"), "id", "left_anti").join(back.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", "needs"), "edges")
+        back = _settled(roots, lambda state: inside.join(state.withColumnRenamed("id", "_n"), F.col("needs") == F.col("_n")).select("id", "label"))  # noqa: B023
+        left = materialize(inside.join(back.select("id"), "id", "left_anti").join(back.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", "needs"), "edges")
         many = back.join(inside.where("id = needs").select("id", F.lit(True).alias("_self")), "id", "left").join(back.groupBy("label").agg(F.count("*").alias("_size")), "label")
-        found.append(materialize(many.where("_size > 1 OR _self").select("id"), "on-circles"))
-        discard(left, inside, back, colour)
-        left = rest
-    return functools.reduce(DataFrame.unionByName, found) if found else left.select("id")
+        found.append(materialize(many.where("_size > 1 OR _self").select("id", F.col("label").alias("circle")), "on-circles"))
+    return order.on_circles(functools.reduce(DataFrame.unionByName, found), state)
 
 
 def readiness(tasks: DataFrame) -> DataFrame:
