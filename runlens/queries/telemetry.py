@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import text
 from runlens.operators import cost, guards, registry, telemetry
 from runlens.queries import query, table
+from runlens.shared import shared_dir
 from runlens.sources import adapters, readers
-from runlens.streaming import budgets
+from runlens.streaming import budgets, growing
 
 _CALLS = """
 WITH calls AS (
@@ -279,3 +280,21 @@ def stream_budget_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = _stream(spark, sf_dir).withColumn("dispatched_at", F.date_trunc("week", "ts"))
     return budgets.consume(budgets.rate_limit_stream(calls, "view"), f"limits-{uuid.uuid4().hex}")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, length(coalesce(text, '')) AS c FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT t.conv_id, n, t.turn, c FROM t JOIN conversations d ON d.conv_id = t.conv_id AND d.turn = t.turn WHERE role = 'assistant' AND t.conv_id % 5 > 0)
+SELECT 'c' || conv_id || '.jsonl' AS file, CASE WHEN n <= 3 THEN 1 ELSE 2 END AS batch, count(*) AS turns, 'm' || max(turn) AS model, CAST(sum(c) AS BIGINT) AS output FROM a GROUP BY ALL""")
+def growing_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a transcript that has three lines and half of the fourth when it is read first, and all of its lines the second time: every turn is billed once."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL")
+    line = growing.transcript_line(F.concat(F.lit("m"), "turn"), F.lit(0), F.length(F.coalesce("text", F.lit(""))), F.col("conv_id") % 5 == 0, F.col("role"))
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = turns.select(F.concat(F.lit("c"), "conv_id", F.lit(".jsonl")).alias("name"), F.col("turn").alias("pos"), number.alias("n"), F.concat(line, F.lit("\n")).alias("line"))
+    path = f"{shared_dir(spark)}/transcripts-{uuid.uuid4().hex}"
+    for lines in (rows.where("n <= 4").withColumn("line", F.when(F.col("n") == 4, F.substring("line", 1, 9)).otherwise(F.col("line"))), rows):
+        growing.write_whole(lines, f"{path}/in")
+        budgets.isolated(growing.growing_lines(spark, f"{path}/in"), growing.usage_events, f"{path}/out", f"{path}/errors")
+    told = spark.read.parquet(f"{path}/out")
+    return told.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), (F.col("batch") + 1).cast("int").alias("batch"), "turns", "model", "output")

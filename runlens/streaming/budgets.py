@@ -15,17 +15,41 @@ from runlens.shared import prepare, shared_dir
 _EVENT = "run_id string, task_id string, ts timestamp_ntz, event_id long, axis string, threshold long, total long"
 
 
-def budget_stream(calls: DataFrame, calls_at: tuple[int, ...] = CALLS, chars_at: tuple[int, ...] = RESULT_CHARS) -> DataFrame:
+def _until_idle(stream: DataFrame, idle: str | None) -> tuple[DataFrame, str]:
+    """The stream, and the kind of timeout of its state: with `idle` (such as 2 hours) a key's state ends once event time is so much past its last row."""
+    if not idle:
+        return stream.withColumn("_ms", F.lit(0).cast("long")), GroupStateTimeout.NoTimeout
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs one with a zone, the session's
+    return timed.withColumn("_ms", F.unix_millis("ts")).withWatermark("ts", idle), GroupStateTimeout.EventTimeTimeout
+
+
+def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(["ts", "event_id"])
+
+
+def _keep(state: GroupState, values: tuple, idle: str | None, rows: pd.DataFrame) -> None:
+    """Sets the state; a timeout at the last row's time is over when the watermark, which is `idle` behind the newest row of all, passes it."""
+    state.update(values)
+    if idle:
+        state.setTimeoutTimestamp(max(int(rows["_ms"].max()), state.getCurrentWatermarkMs()) + 1)
+
+
+def budget_stream(calls: DataFrame, calls_at: tuple[int, ...] = CALLS, chars_at: tuple[int, ...] = RESULT_CHARS, idle: str | None = None) -> DataFrame:
     """Budget events of a stream of calls (run_id, task_id, ts, event_id, res_chars): one for each threshold and axis of a task, at the call that reaches it.
 
-    State is four numbers for each (run, task). Within a micro-batch calls are taken by (ts, event_id).
+    State is four numbers for each (run, task). Within a micro-batch calls are taken by (ts, event_id). With `idle`, a task that has
+    had no call for so long of event time is over: its state is gone, rows of it that come later than that are dropped. Without,
+    state stays.
     """
     prepare(calls.sparkSession)
     levels = {"calls": sorted(calls_at), "result_chars": sorted(chars_at)}
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         totals = list(state.get) if state.exists else [0, 0, 0, 0]
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = _ordered(frames)
         out = []
         for ts, event_id, chars in zip(rows["ts"], rows["event_id"], rows["res_chars"].fillna(0), strict=True):
             for i, (axis, amount) in enumerate((("calls", 1), ("result_chars", int(chars)))):
@@ -34,44 +58,51 @@ def budget_stream(calls: DataFrame, calls_at: tuple[int, ...] = CALLS, chars_at:
                 if reached > totals[2 + i]:
                     totals[2 + i] = reached
                     out.append((*key, ts, event_id, axis, reached, totals[i]))
-        state.update(tuple(totals))
+        _keep(state, tuple(totals), idle, rows)
         yield pd.DataFrame(out, columns=["run_id", "task_id", "ts", "event_id", "axis", "threshold", "total"])
 
-    named = calls.where("task_id IS NOT NULL").select("run_id", "task_id", "ts", "event_id", "res_chars")
-    return named.groupBy("run_id", "task_id").applyInPandasWithState(step, _EVENT, "calls long, chars long, warned_calls long, warned_chars long", "append", GroupStateTimeout.NoTimeout)
+    named, ends = _until_idle(calls.where("task_id IS NOT NULL").select("run_id", "task_id", "ts", "event_id", "res_chars"), idle)
+    return named.groupBy("run_id", "task_id").applyInPandasWithState(step, _EVENT, "calls long, chars long, warned_calls long, warned_chars long", "append", ends)
 
 
-def rate_limit_stream(calls: DataFrame, tool: str, max_calls: int = 2) -> DataFrame:
-    """(event_id, call_number, allowed) of a tool's calls, counted for each run, task and dispatch."""
+def rate_limit_stream(calls: DataFrame, tool: str, max_calls: int = 2, idle: str | None = None) -> DataFrame:
+    """(event_id, call_number, allowed) of a tool's calls, counted for each run, task and dispatch; idle as in budget_stream."""
     prepare(calls.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = _ordered(frames)
         numbers = range(seen + 1, seen + len(rows) + 1)
-        state.update((seen + len(rows),))
+        _keep(state, (seen + len(rows),), idle, rows)
         yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "call_number": list(numbers), "allowed": [n <= max_calls for n in numbers]})
 
-    own = calls.where((F.col("tool") == tool) & F.col("task_id").isNotNull()).select("run_id", "task_id", "dispatched_at", "ts", "event_id")
-    return own.groupBy("run_id", "task_id", "dispatched_at").applyInPandasWithState(step, "event_id long, call_number long, allowed boolean", "seen long", "append", GroupStateTimeout.NoTimeout)
+    own, ends = _until_idle(calls.where((F.col("tool") == tool) & F.col("task_id").isNotNull()).select("run_id", "task_id", "dispatched_at", "ts", "event_id"), idle)
+    return own.groupBy("run_id", "task_id", "dispatched_at").applyInPandasWithState(step, "event_id long, call_number long, allowed boolean", "seen long", "append", ends)
 
 
-def last_known_stream(events: DataFrame, stale_s: float = float("inf")) -> DataFrame:
-    """(run_id, event_id, task_id): events of no task take the run's last task so far, across micro-batches, but not one more than stale_s seconds before them."""
+def last_known_stream(events: DataFrame, stale_s: float = float("inf"), idle: str | None = None) -> DataFrame:
+    """(run_id, event_id, task_id): events of no task take the run's last task so far, across micro-batches, but not one more than stale_s seconds before them; idle as in budget_stream."""
     prepare(events.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, seen = state.get if state.exists else (None, 0.0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = _ordered(frames)
         told = []
         for task, ts in zip(rows["task_id"], rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, strict=True):
             if isinstance(task, str):
                 last, seen = task, float(ts)
             told.append(last if ts - seen <= stale_s else None)
-        state.update((last, seen))
+        _keep(state, (last, seen), idle, rows)
         yield pd.DataFrame({"run_id": key[0], "event_id": rows["event_id"].to_numpy(), "task_id": told})
 
-    return events.select("run_id", "ts", "event_id", "task_id").groupBy("run_id").applyInPandasWithState(step, "run_id string, event_id long, task_id string", "task_id string, seen double", "append", GroupStateTimeout.NoTimeout)
+    named, ends = _until_idle(events.select("run_id", "ts", "event_id", "task_id"), idle)
+    return named.groupBy("run_id").applyInPandasWithState(step, "run_id string, event_id long, task_id string", "task_id string, seen double", "append", ends)
 
 
 def consume(stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
