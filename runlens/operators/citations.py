@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.operators.evidence import lines, sites, table_rows
+from runlens.shared import prepare
 
 #: Headings under which a report says what it found in order, statuses that fail it, and roles whose items are counted.
 CLEARED = ["sections cleared", "categories cleared", "dimensions with no issues", "dimensions cleared"]
@@ -176,15 +181,56 @@ def digest_text(parts: DataFrame) -> DataFrame:
     return whole.select(F.concat(F.lit("Enabled skills: "), F.when(names == "", "(none)").otherwise(names), F.lit("\n\n"), F.array_join(F.transform(F.filter("all", lambda x: x["body"].isNotNull()), lambda x: x["body"]), "\n\n")).alias("text"))
 
 
+_BLANK = " \t\n\x0b\f\r"
+_WORDS = re.compile(rf"[^{_BLANK}]+")
+
+
+def _units(text: str, most: int) -> Iterator[tuple[int, int, str]]:
+    """(paragraph, words, text): paragraphs, those of more than `most` words by sentences, and longer sentences by words."""
+    for number, whole in enumerate(re.split(r"\n[ \t]*\n", text)):
+        paragraph = whole.strip(_BLANK)
+        parts = [paragraph] if len(_WORDS.findall(paragraph)) <= most else re.split(rf"(?<=[.!?])[{_BLANK}]+", paragraph)
+        for part in parts:
+            words = _WORDS.findall(part)
+            if len(words) > most:
+                yield from ((number, len(words[i : i + most]), " ".join(words[i : i + most])) for i in range(0, len(words), most))
+            elif words:
+                yield number, len(words), part
+
+
 def chunks(docs: DataFrame, tokens: int = 400, key: str = "path") -> DataFrame:
-    """(key, chunk, anchor, text): paragraphs in order, parted where a running count of words passes another `tokens`; anchor is the last heading at or above a chunk's begin."""
-    parts = docs.select(key, F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("pos", "text")).where(F.trim("text") != "")
-    order = Window.partitionBy(key).orderBy("pos")
-    before = F.coalesce(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heading = F.regexp_extract("text", r"(?m)^#{1,6}\s+(.*?)\s*$", 1)
-    anchored = parts.withColumns({"chunk": F.floor(before / tokens).cast("long"), "anchor": F.last(F.nullif(heading, F.lit("")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    whole = anchored.groupBy(key, "chunk").agg(F.min_by("anchor", "pos").alias("anchor"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_all"))
-    return whole.select(key, "chunk", "anchor", F.array_join(F.transform("_all", lambda x: x["text"]), "\n\n").alias("text"))
+    """(key, chunk, anchor, text, words) of docs (key, text): paragraphs in order, as many to a chunk as have `tokens` words at most.
+
+    A paragraph with more is cut where sentences end, a sentence with more between words, so no chunk has more. anchor is the
+    last heading at or above the chunk's begin, null without one. Texts that are null or blank have no chunk. A text is one row, and is cut in
+    one pass with about twice its own memory.
+    """
+    prepare(docs.sparkSession)
+    heading = re.compile(r"(?m)^#{1,6}[ \t]+(.*?)[ \t]*$")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                parts, filled, last, above, number = [], 0, None, None, 0
+                for paragraph, n, unit in _units(text or "", tokens):
+                    found = heading.search(unit)
+                    above = found[1] if found and found[1] else above
+                    if filled + n > tokens:
+                        rows.append((row, number, anchor, "".join(parts), filled))
+                        parts, filled, number = [], 0, number + 1
+                    if not parts:
+                        anchor = above
+                    parts += [("\n\n" if paragraph != last else " ") if parts else "", unit]
+                    filled, last = filled + n, paragraph
+                if parts:
+                    rows.append((row, number, anchor, "".join(parts), filled))
+            at, *columns = zip(*rows, strict=True) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, "chunk", "anchor", "text", "words"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(cut, f"{key} {kind}, chunk long, anchor string, text string, words long")
 
 
 def changed_files(files: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import text
-from runlens.operators import evidence, retrieval, upkeep, vectors
+from runlens.operators import evidence, retrieval, searches, upkeep, vectors
 from runlens.plans import filling
 from runlens.plans import tasks as planning
 from runlens.queries import query, table
@@ -122,7 +122,7 @@ SELECT claim_id, actual, CASE WHEN pattern IS NULL THEN 'uncited' WHEN n_lines I
 def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = spark.createDataFrame(_SEARCHES, "claim_id long, dir string, pattern string, without string, also string, mode string, claimed long")
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat(F.lit("source"), F.col("doc_id") % 4).alias("dir"), F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return evidence.searched(claims, docs).select("claim_id", "actual", "status")
+    return searches.searched(claims, docs).select("claim_id", "actual", "status")
 
 
 @query("SELECT coalesce(source, '') AS list, count(*) AS items, count(l.doc_id) AS covered, CASE WHEN count(l.doc_id) = 0 THEN 'missing' WHEN count(l.doc_id) < count(*) THEN 'incomplete' ELSE 'complete' END AS status FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
@@ -185,3 +185,29 @@ def stale_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT f.seq, n.lesson FROM f JOIN n USING (seq) ORDER BY f.seq DESC LIMIT 30""")
 def lessons_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.lessons(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat_ws(" ", "event_type", "user_id").alias("lesson")))
+
+
+#: A report for each document of several lines: cleared items and coverage rows about its first two words, with claims that hold for some only.
+_REPORTED = """SELECT doc_id AS n, source AS src, regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 1) AS a, regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 2) AS b FROM documents
+WHERE source <> '' AND regexp_extract(text, '([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)', 2) <> '' AND contains(text, chr(10))"""
+
+
+@query(f"""
+WITH r AS ({_REPORTED}), l AS (SELECT source AS src, doc_id, unnest(string_split(text, chr(10))) AS t FROM documents WHERE source <> ''),
+k AS (SELECT DISTINCT src, a, b FROM r),
+c AS (SELECT k.src, a, b, count(*) FILTER (WHERE contains(t, a)) AS na, count(*) FILTER (WHERE contains(t, b) AND NOT contains(t, a)) AS nb, count(DISTINCT doc_id) FILTER (WHERE contains(t, b)) AS nf FROM k JOIN l ON l.src = k.src GROUP BY ALL),
+w AS (SELECT n, (1 + n % 3 <> na)::INT + (1 <> nb)::INT + (n % 5 = 0)::INT + (nf <> 2)::INT AS failing, (n % 2 = 0 OR nf > 2)::INT AS partly FROM r JOIN c USING (src, a, b))
+SELECT n, CAST(3 + (n % 5 = 0)::INT AS BIGINT) AS claims, CAST(failing AS BIGINT) AS failing, CAST(partly AS BIGINT) AS partly, CASE WHEN n % 6 > 0 THEN 'complete' ELSE 'incomplete' END AS coverage, CASE WHEN failing > 0 OR partly > 0 OR n % 6 = 0 THEN 1 ELSE 0 END AS exit FROM w""")
+def report_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports about the documents, read, searched again over all lines of their folders, and judged."""
+    docs = table(spark, sf_dir, "documents").where("source <> ''")
+    lines = docs.select(F.col("source").alias("dir"), F.col("doc_id").alias("path"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    word = lambda i: F.regexp_extract("text", r"([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)", i)
+    known = docs.where(F.col("text").contains("\n")).select(F.col("doc_id").alias("n"), "source", word(1).alias("a"), word(2).alias("b")).where("b <> ''")
+    n = F.col("n")
+    cited = F.format_string("# R\n## Categories cleared\n- **A** cleared by: `grep -rn '%s' %s/` -> %d matches\n- **B** cleared by: `grep -rn \"%s\" %s | grep -v %s` -> 1 matches\n", "a", "source", 1 + n % 3, "b", "source", "a")
+    third = F.when(n % 5 > 0, "- **C** — unverified, nothing to look at\n").otherwise("- **C** is fine\n")
+    first_row = F.format_string("## Coverage\n| # | item | search | seen | result |\n|---|---|---|---|---|\n| 1 | words | `grep -rlF %s %s` -> 2 files | %d of 2 | none |\n", "b", "source", 1 + n % 2)
+    reports = known.select("n", F.concat(cited, third, first_row, F.when(n % 6 > 0, "| 2 | other | — | — | unverified |\n").otherwise("")).alias("text"))
+    expected = spark.range(1, 3).select(F.col("id").cast("int").alias("item"))
+    return searches.report_verdicts(reports, lines, expected, "n")

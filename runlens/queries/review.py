@@ -179,15 +179,28 @@ def review_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir, text=_REVIEW).select("n", documents.review_body(F.col("text")).alias("body"))
 
 
-@query("""
-WITH p AS (SELECT doc_id AS path, pos, t, len(string_split_regex(trim(t, ' '), '[ \\t\\n\\x0B\\f\\r]+')) AS w FROM (SELECT doc_id, unnest(x) AS t, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS x FROM (SELECT doc_id, '# H' || doc_id || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, chr(10) || '[ \\t]*' || chr(10)) AND NOT regexp_matches(text, '[\\t\\x0B\\f\\r#]')))) WHERE trim(t, ' ') <> ''),
-c AS (SELECT *, CAST(floor(coalesce(sum(w) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 40) AS BIGINT) AS chunk FROM p)
-SELECT path, chunk, 'H' || path AS anchor, md5(string_agg(t, chr(10) || chr(10) ORDER BY pos)) AS body FROM c GROUP BY path, chunk
+_BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id AS path, '# H' || doc_id || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL),
+p AS (SELECT path, unnest(range(len(x))) AS para, trim(unnest(x), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT path, string_split_regex(text, '\\n[ \\t]*\\n') AS x FROM d)),
+c AS (SELECT path, para, CASE WHEN len(string_split_regex(t, '{_BLANKS}')) <= 40 THEN [t] ELSE string_split(regexp_replace(t, '([.!?]){_BLANKS}', '\\1' || chr(1), 'g'), chr(1)) END AS s FROM p WHERE t <> ''),
+e AS (SELECT path, para, unnest(range(len(s))) AS k, unnest(s) AS t FROM c),
+f AS (SELECT path, para, k, t, string_split_regex(t, '{_BLANKS}') AS w FROM e WHERE t <> ''),
+g AS (SELECT path, para, k, unnest(range(0, len(w), 40)) AS b, t, w FROM f),
+u AS (SELECT path, para, row_number() OVER (PARTITION BY path ORDER BY para, k, b) AS i, CASE WHEN len(w) > 40 THEN array_to_string(w[b + 1:b + 40], ' ') ELSE t END AS t, least(40, len(w) - b) AS n FROM g),
+o AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY i) AS upto, last_value(nullif(regexp_extract(t, '(?m)^#{{1,6}}[ \\t]+(.*?)[ \\t]*$', 1), '') IGNORE NULLS) OVER (PARTITION BY path ORDER BY i) AS anchor FROM u),
+j AS (SELECT x.path, x.i, count(*) AS taken FROM o x JOIN o y ON y.path = x.path AND y.i >= x.i AND y.i < x.i + 40 AND y.upto - x.upto + x.n <= 40 GROUP BY x.path, x.i),
+w AS (SELECT path, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS chunk FROM o WHERE i = 1 UNION ALL SELECT j.path, j.i + taken, chunk + 1 FROM w JOIN j USING (path, i) WHERE EXISTS (SELECT 1 FROM o WHERE o.path = j.path AND o.i = j.i + taken)),
+r AS (SELECT o.*, w.chunk, w.i AS first FROM o ASOF JOIN w ON o.path = w.path AND o.i >= w.i),
+h AS (SELECT *, CASE WHEN i = first THEN '' WHEN lag(para) OVER (PARTITION BY path ORDER BY i) = para THEN ' ' ELSE chr(10) || chr(10) END AS glue FROM r)
+SELECT path, chunk, first(anchor ORDER BY i) AS anchor, md5(string_agg(glue || t, '' ORDER BY i)) AS body, CAST(sum(n) AS BIGINT) AS words FROM h GROUP BY path, chunk
 """)
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"\n[ \t]*\n") & ~F.col("text").rlike(r"[\t\x0B\f\r#]"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     rows = docs.select(F.col("doc_id").alias("path"), F.concat(F.lit("# H"), "doc_id", F.lit("\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text"))
-    return citations.chunks(rows, 40).select("path", "chunk", "anchor", F.md5(F.col("text").cast("binary")).alias("body"))
+    return citations.chunks(rows, 40).select("path", "chunk", "anchor", F.md5(F.col("text").cast("binary")).alias("body"), "words")
 
 
 @query("SELECT p_partkey AS n FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0")
