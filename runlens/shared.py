@@ -101,16 +101,16 @@ def carried(rows: DataFrame, key: list[str], told: dict[str, tuple[Column, Calla
     """rows with _bucket (their hour, say) and, for each name in told, what all earlier buckets of the key say together.
 
     told has for each name an aggregate over a bucket's rows and one over the buckets before. A window over (key, _bucket) that adds
-    these is one over the whole key, but no task ever gets more of a key's rows than a bucket has, and a row for each bucket.
+    these is one over the whole key, but no task ever gets more of a key's rows than a bucket has, and a row for each bucket. What a bucket
+    is told comes to it as one more row, so rows are exchanged once, by (key, _bucket), as the windows after it need them.
     """
     own = rows.withColumn("_bucket", F.date_trunc(width, time))
     before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = own.groupBy(*key, "_bucket").agg(*[first.alias(name) for name, (first, _) in told.items()])
-    upto = sums.select(*[F.col(k).alias(f"_k_{k}") for k in key], F.col("_bucket").alias("_k_bucket"), *[then(name).over(before).alias(name) for name, (_, then) in told.items()])
-    same = F.col("_bucket").eqNullSafe(F.col("_k_bucket"))
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return own.join(upto, same).drop("_k_bucket", *[f"_k_{k}" for k in key])
+    upto = sums.select(*key, "_bucket", F.lit(True).alias("_upto"), *[then(name).over(before).alias(name) for name, (_, then) in told.items()])
+    both = own.withColumn("_upto", F.lit(False)).unionByName(upto, allowMissingColumns=True)
+    bucket = Window.partitionBy(*key, "_bucket")
+    return both.withColumns({name: F.first(name, ignorenulls=True).over(bucket) for name in told}).where("NOT _upto").drop("_upto")
 
 
 def salted_join(rows: DataFrame, told: DataFrame, key: str, counts: DataFrame, by: list[str], per: int = 100_000, most: int = 200_000) -> DataFrame:
