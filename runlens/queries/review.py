@@ -12,7 +12,7 @@ from runlens.operators import citations, evidence, guards, registry, telemetry,
 from runlens.plans import filling, tasks
 from runlens.queries import query, table
 from runlens.queries.telemetry import _CALLS, _calls, _stream
-from runlens.sources import readers, sinks
+from runlens.sources import nested, readers, sinks
 from runlens.streaming import budgets
 
 _ID = "CAST(p_partkey AS STRING)"
@@ -549,3 +549,20 @@ def run_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     dispatch = calls.where("tool = 'view'").select("run_id", "ts", F.lit("dispatch").alias("event"))
     told = telemetry.run_report(calls.agg(F.min("run_id")).first()[0], calls, dispatch)
     return told.groupBy("run_id", F.coalesce("event", F.lit("call")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH h AS (SELECT l_orderkey AS id, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'A') AS failed, string_agg(l_suppkey, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS commits FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS id, 'order ' || o_orderkey || ', for ' || o_custkey || ' # x' AS title, CAST(o_custkey % 7 AS INTEGER) AS exit_code, o_orderpriority || ',a, b,' || o_orderstatus AS assertions, o_orderstatus AS last_result, coalesce(n, 0) AS runs, coalesce(failed, 0) AS failed, coalesce(commits, '') AS commits
+FROM orders LEFT JOIN h ON h.id = o_orderkey""")
+def case_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a case document with nested keys, its lines as the history, read back."""
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("lines"))
+    entry = lambda x: F.concat(F.lit("  - result: '"), x["l_returnflag"], F.lit("'\n    commit: "), x["l_suppkey"].cast("string"), F.lit("  # of a run\n"))
+    history = F.coalesce(F.array_join(F.transform("lines", entry), ""), F.lit(""))
+    orders = table(spark, sf_dir, "orders").join(line, "o_orderkey", "left")
+    head = F.format_string("---\nid: %d\ntitle: \"order %d, for %d # x\"\nexpect:\n  exit_code: %d\n  assertions: [%s, \"a, b\", '%s']\n\nlast_run: {result: %s, commit: c1}\nhistory:\n", "o_orderkey", "o_orderkey", "o_custkey", F.col("o_custkey") % 7, "o_orderpriority", "o_orderstatus", "o_orderstatus")
+    docs = orders.select(F.col("o_orderkey").alias("path"), F.concat(head, history, F.lit("---\nbody\nid: 0\n")).alias("text"))
+    told = nested.cases(docs)
+    runs = F.filter("history", lambda h: h["result"] == "A")
+    return told.select(F.col("id").cast("long").alias("id"), "title", "expect.exit_code", F.array_join("expect.assertions", ",").alias("assertions"), F.col("last_run.result").alias("last_result"), F.size("history").cast("long").alias("runs"), F.size(runs).cast("long").alias("failed"), F.array_join(F.transform("history", lambda h: h["commit"]), ",").alias("commits"))
