@@ -268,7 +268,7 @@ class Items:
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 2_000_000, blocks_at_once: int = 4) -> DataFrame:
     """(doc_id, item_id, start, end, edits): where documents hold items of benchmark (item_id, text), one row for each two.
 
-    Letters and digits in lower case count, all else parts words. A place counts if it turns into the whole item by
+    Letters and digits in lower case count, all else parts words, the text's end too: a text's last symbol is a blank. A place counts if it turns into the whole item by
     at most edit_budget edits of single symbols: rate * symbols, or less where no q-gram would be left for the lemma.
     start and end are those of the place with the fewest edits, in the text's characters; of several the one that ends
     first. Items of fewer than 16 symbols count where they stand exactly, between blanks or the text's ends: an edit can

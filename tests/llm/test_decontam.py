@@ -25,7 +25,7 @@ def edits(item, text):
 def holds(item, text):
     if len(item) < LEAST:
         return bool(item) and f" {item} " in f" {text} "
-    return edits(item, text) <= min(int(len(item) * RATE), (len(item) - decontam.Q) // decontam.Q)
+    return edits(item, f"{text} ") <= min(int(len(item) * RATE), (len(item) - decontam.Q) // decontam.Q)
 
 
 def spoiled(rng, item, many, where):
