@@ -58,7 +58,7 @@ def test_matches_are_those_of_edit_distance(spark, where):
     texts = dict(docs)
     for r in found:
         part, item = flat(texts[r["doc_id"]][r["start"] : r["end"]]), items[r["item_id"]]
-        assert (part == item) if r["edits"] == 0 else edits(item, part) <= r["edits"] + 1
+        assert (part == item) if r["edits"] == 0 else edits(item, part) <= r["edits"] + 2  # flat drops a blank at either end
 
 
 def test_forty_edits_in_one_place_of_a_long_item():
