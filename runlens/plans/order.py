@@ -139,7 +139,7 @@ def on_circles(circles: DataFrame, state: Contracted) -> DataFrame:
     known = materialize(known, "circles")
     for part in reversed(state.put_off):
         label = lambda c: known.select(F.col("id").alias(c), F.col("circle").alias(f"_{c}"))  # noqa: B023, E731
-        told = part.join(label("end"), "end").join(label("follower"), "follower").where("_end = _follower").select("id", F.col("_end").alias("circle"))
+        told = part.join(label("end"), "end").join(label("follower"), "follower").where("_end = _follower").select("id", F.col("_end").alias("circle")).distinct()  # a top may have several followers
         after = materialize(known.union(told), "circles")
         discard(known)
         known = after
