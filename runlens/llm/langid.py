@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,19 +139,27 @@ class Sorted:
         return np.where(out >= 0, self.order[out], -1) if len(self.order) else out
 
 
+#: A prime by which the two symbols before a sequence's last are mixed, so that its remainders deal them over parts.
+DEAL = 1_000_003
+
+
+def dealt(parts: int) -> Column:
+    """The part of a sequence in column gram by the two symbols before its last."""
+    return F.shiftright("gram", 16).bitwiseAND(0xFFFFFFFF) % DEAL % parts
+
+
 class Model:
     """Interpolated Kneser-Ney: log2 probabilities of all sequences that some language has, for every language at once.
 
     rows: (order, language number, sequence, count), the count being occurrences at the highest order and distinct
-    symbols before the sequence at the lower ones. Of the sequences of two symbols and more, a model can have those
-    alone whose last symbol but one is `part` by the remainder to `parts`: with all single symbols, the discounts (by order and language) and
-    the number of symbols, which come from all rows, these have everything that their probabilities depend on.
+    symbols before the sequence at the lower ones. Of the sequences of three symbols and more, a model can have those
+    alone whose two symbols before the last are of `part` (see dealt): with all shorter ones, the discounts (by order and language) and
+    the number of symbols of all languages, these have everything that their probabilities depend on.
     """
 
-    def __init__(self, width: int, order: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, discounts: np.ndarray, part: int = 0, parts: int = 1) -> None:
+    def __init__(self, width: int, order: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray, discounts: np.ndarray, symbols: int, part: int = 0, parts: int = 1) -> None:
         self.width, self.part, self.parts = width, part, parts
         self.logs, self.found, self.contexts, self.weights = [], [], [], []
-        symbols = len(np.unique(gram[order == 1])) + 1
         for k in range(1, ORDER + 1):
             here = order == k
             keys, which = np.unique(gram[here], return_inverse=True)
@@ -194,7 +202,7 @@ class Model:
             n += np.bincount(of, minlength=len(texts))
             letters += np.bincount(of, codes[places] != _OTHER, len(texts)).astype(np.int64)
             if self.parts > 1:
-                mine = (packed >> np.uint64(16) & np.uint64(0xFFFF)) % np.uint64(self.parts) == self.part
+                mine = (packed >> np.uint64(16) & np.uint64(0xFFFFFFFF)) % np.uint64(DEAL) % np.uint64(self.parts) == self.part
                 packed, of = packed[mine], of[mine]
             if len(of):
                 first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
@@ -205,10 +213,11 @@ class Model:
 class Learned:
     """What is known of the languages: true counts (k, lang, gram, n) of all sequences in a table, and small numbers about them.
 
-    The table grows with the corpus, so its models are made and sent out in parts, each of about `cells` sequences times languages:
-    the driver has one part at a time, and so has a Python worker. All sequences that a symbol's probability can
-    depend on have the same last symbol but one, by which parts are made; a part is never smaller than what the most
-    frequent symbol has.
+    The table grows with the corpus, so its models are made and sent out in pieces of at most about `cells` sequences times
+    languages: the driver has one at a time, and so has a Python worker. A piece has as many whole languages as fit, in the order of
+    their names; a language that alone has more sequences is dealt over several pieces by the two symbols before a sequence's last, which
+    all sequences have that a symbol's probability can depend on. So a piece holds no more than its share and what no corpus makes grow
+    beyond its letters: a language's single symbols, its pairs of symbols, and what follows its most frequent pair.
     """
 
     def __init__(self, tables: DataFrame, cells: int) -> None:
@@ -216,22 +225,36 @@ class Learned:
         told = tables.groupBy("k", "lang").agg(F.count("*").alias("rows"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()
         self.langs = sorted({r["lang"] for r in told})
         number = {x: i for i, x in enumerate(self.langs)}
+        self.symbols = tables.where("k = 1").select("gram").distinct().count() + 1
         self.discounts = np.full((ORDER, len(self.langs)), 0.5)
+        size = [0] * len(self.langs)
         for r in told:
+            size[number[r["lang"]]] += r["rows"]
             if r["ones"]:
                 self.discounts[r["k"] - 1, number[r["lang"]]] = min(0.95, max(0.05, r["ones"] / (r["ones"] + 2 * r["twos"])))
-        self.parts = min(1 << 16, max(1, -(-sum(r["rows"] for r in told) * len(self.langs) // cells)))
+        #: (first language, language after the last, part, parts) of each piece.
+        self.pieces: list[tuple[int, int, int, int]] = []
+        first = 0
+        while first < len(size):
+            end = first + 1
+            while end < len(size) and sum(size[first : end + 1]) * (end + 1 - first) <= cells:
+                end += 1
+            parts = max(1, -(-size[first] // cells)) if end == first + 1 else 1
+            self.pieces += [(first, end, part, parts) for part in range(parts)]
+            first = end
         #: By language: what cross-entropies are usual in it (see usual).
         self.limits = np.tile([np.inf, 0.0, 0.0, 0.0, 0.0, np.inf], (len(self.langs), 1))
 
-    def sent(self, part: int) -> Broadcast:
-        if part not in self._sent:
-            own = self.tables if self.parts == 1 else self.tables.where((F.col("k") == 1) | (F.shiftright("gram", 16).bitwiseAND(0xFFFF) % self.parts == part))
+    def sent(self, piece: int) -> Broadcast:
+        if piece not in self._sent:
+            first, end, part, parts = self.pieces[piece]
+            own = self.tables if end - first == len(self.langs) else self.tables.where(F.col("lang").isin(self.langs[first:end]))
+            own = own if parts == 1 else own.where((F.col("k") <= 2) | (dealt(parts) == part))
             got = own.select("k", "lang", "gram", "n").toArrow()
-            lang = pc.index_in(got["lang"], value_set=pa.array(self.langs, got["lang"].type)).to_numpy()
-            model = Model(len(self.langs), got["k"].to_numpy(), lang, got["gram"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy(), self.discounts, part, self.parts)
-            self._sent[part] = self.tables.sparkSession.sparkContext.broadcast(model)
-        return self._sent[part]
+            lang = pc.index_in(got["lang"], value_set=pa.array(self.langs[first:end], got["lang"].type)).to_numpy()
+            model = Model(end - first, got["k"].to_numpy(), lang, got["gram"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy(), self.discounts[:, first:end], self.symbols, part, parts)
+            self._sent[piece] = self.tables.sparkSession.sparkContext.broadcast(model)
+        return self._sent[piece]
 
     def forget(self) -> None:
         """Takes the models back from the workers."""
@@ -240,9 +263,11 @@ class Learned:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy in bits a symbol by text and language, number of symbols, whether there is a letter."""
-        told = [self.sent(part).value.sums(texts) for part in range(self.parts)]
-        _, n, letters = told[0]
-        return sum(bits for bits, _, _ in told) / np.maximum(n, 1)[:, None], n, letters
+        bits = np.zeros((len(texts), len(self.langs)))
+        for piece, (first, end, _, _) in enumerate(self.pieces):
+            own, n, letters = self.sent(piece).value.sums(texts)
+            bits[:, first:end] += own
+        return bits / np.maximum(n, 1)[:, None], n, letters
 
 
 def _slices(batch: pa.RecordBatch, column: int, size: int = 300_000) -> Iterator[tuple[int, list[str]]]:
@@ -275,7 +300,8 @@ def _entropies(docs: DataFrame, learned: Learned, keep: list[str]) -> DataFrame:
     own = "text" in keep and docs.schema["text"].dataType == T.StringType()
     at = keep.index("text") if own else len(keep)
     sent = keep if own else [*keep, F.col("text").cast("string").alias("_text")]
-    if learned.parts == 1:
+    pieces = learned.pieces
+    if len(pieces) == 1:
         shared = learned.sent(0)
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,34 +314,37 @@ def _entropies(docs: DataFrame, learned: Learned, keep: list[str]) -> DataFrame:
     numbered = materialize(docs.select(*sent, F.monotonically_increasing_id().alias("_row")), "numbered-texts")
     text = "text" if own else "_text"
 
-    def adder(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        shared = learned.sent(part)
+    def adder(piece: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        shared, width = learned.sent(piece), pieces[piece][1] - pieces[piece][0]
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for begin, texts in _slices(batch, 1):
                     bits, n, letters = shared.value.sums(texts)
-                    sums = pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), len(langs)).cast(pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array([part] * len(texts), pa.int32()), sums, pa.array(n, pa.int64()), pa.array(letters)], ["_row", "_part", "_bits", "_n", "_letters"])
+                    sums = pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), width).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array([piece] * len(texts), pa.int32()), sums, pa.array(n, pa.int64()), pa.array(letters)], ["_row", "_piece", "_bits", "_n", "_letters"])
 
         return add
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bits = np.array([np.sum([p["_bits"] for p in parts], axis=0) for parts in batch.column(batch.num_columns - 3).to_pylist()])
+                bits = np.zeros((batch.num_rows, len(langs)))
+                for row, own in zip(bits, batch.column(batch.num_columns - 3).to_pylist(), strict=True):
+                    for of in own:
+                        row[pieces[of["_piece"]][0] : pieces[of["_piece"]][1]] += of["_bits"]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *judged(bits, batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))], names_out)
 
-    # Each part's sums are written before the next part is sent, so a worker never needs two of them.
-    each = [materialize(numbered.select("_row", text).mapInArrow(adder(part), "_row long, _part int, _bits array<double>, _n long, _letters boolean"), "part-sums") for part in range(learned.parts)]
+    # Each piece's sums are written before the next one is sent, so a worker never needs two of them.
+    each = [materialize(numbered.select("_row", text).mapInArrow(adder(piece), "_row long, _piece int, _bits array<double>, _n long, _letters boolean"), "piece-sums") for piece in range(len(pieces))]
     every = functools.reduce(DataFrame.unionByName, each)
-    added = every.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_part", "_bits"))).alias("_parts"), F.first("_n").alias("_n"), F.first("_letters").alias("_letters"))
-    return numbered.join(added, "_row").select(*keep, "_parts", "_n", "_letters").mapInArrow(whole, schema)
+    added = every.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_piece", "_bits"))).alias("_pieces"), F.first("_n").alias("_n"), F.first("_letters").alias("_letters"))
+    return numbered.join(added, "_row").select(*keep, "_pieces", "_n", "_letters").mapInArrow(whole, schema)
 
 
-#: The share of a language's held-back texts that its limit lets through, the room beyond it, and the least number of
-#: standard deviations: whatever the distribution, at most 1 text in 16^2 is further from the mean.
-USUAL, ROOM, LEAST_Z = 0.999, 1.25, 16.0
+#: The share of a language's own texts that its limit may reject, and the quantiles of held-back texts between which the
+#: fall-off of their distances is measured that is taken to go on beyond them.
+MISS, QUANTILES = 1e-9, (0.5, 0.99, 0.999)
 
 
 def usual(limits: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -330,14 +359,29 @@ def usual(limits: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _measured(known: DataFrame) -> list[Row]:
-    """(lang, rows, m, c, a, b, z) of known (lang, h, u = 1 / n), see usual: lines fitted over u, to h and to its squared distance from the first."""
+    """(lang, rows, m, c, a, b, q) of known (lang, h, u = 1 / n), not empty, see usual: lines fitted over u, to h and to its squared distance from the first.
+
+    q are the QUANTILES of the distances in standard deviations. What is fitted, a row for each language, goes back to the rows as a
+    small table that is sent out, so that no join has an empty side.
+    """
     zero = lambda x: F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0))
-    line = known.groupBy("lang").agg(F.count("*").alias("rows"), F.avg("h").alias("_h"), F.avg("u").alias("_u"), zero(F.regr_slope("h", "u")).alias("c")).withColumn("m", F.col("_h") - F.col("c") * F.col("_u")).drop("_h", "_u")
+    few = lambda t: F.broadcast(known.sparkSession.createDataFrame(t.collect(), t.schema))
+    line = few(known.groupBy("lang").agg(F.count("*").alias("rows"), F.avg("h").alias("_h"), F.avg("u").alias("_u"), zero(F.regr_slope("h", "u")).alias("c")).withColumn("m", F.col("_h") - F.col("c") * F.col("_u")).drop("_h", "_u"))
     near = known.join(line, "lang").withColumn("d", F.col("h") - F.col("m") - F.col("c") * F.col("u"))
-    spread = near.groupBy("lang").agg(F.avg(F.col("d") ** 2).alias("_v"), F.avg("u").alias("_u"), zero(F.regr_slope(F.col("d") ** 2, F.col("u"))).alias("b")).withColumn("a", F.greatest(F.col("_v") - F.col("b") * F.col("_u"), F.lit(1e-3))).drop("_v", "_u")
+    spread = few(near.groupBy("lang").agg(F.avg(F.col("d") ** 2).alias("_v"), F.avg("u").alias("_u"), zero(F.regr_slope(F.col("d") ** 2, F.col("u"))).alias("b")).withColumn("a", F.greatest(F.col("_v") - F.col("b") * F.col("_u"), F.lit(1e-3))).drop("_v", "_u"))
     far = near.join(spread, "lang").withColumn("z", F.ceil(F.col("d") / F.sqrt(F.col("a") + F.col("b") * F.col("u")) * 64) / 64)
     steps = far.groupBy("lang", "rows", "m", "c", "a", "b", "z").agg(F.count("*").alias("n"))
-    return steps.groupBy("lang", "rows", "m", "c", "a", "b").agg(F.percentile("z", F.lit(USUAL), F.col("n")).alias("z")).collect()
+    return steps.groupBy("lang", "rows", "m", "c", "a", "b").agg(F.percentile("z", F.array(*map(F.lit, QUANTILES)), F.col("n")).alias("q")).collect()
+
+
+def _reach(q: list[float]) -> float:
+    """The standard deviations that all but MISS of a language's texts keep to, by the QUANTILES of held-back ones.
+
+    Beyond the last two of these, a tail falls off by e in equal distances, which are taken as the larger of what the body (first to second) and
+    the rim (second to third) show; tails of texts, lighter than that or as light, have less beyond.
+    """
+    far = [hi + (hi - lo) / math.log((1 - p) / (1 - r)) * math.log((1 - r) / MISS) for lo, hi, p, r in zip(q, q[1:], QUANTILES, QUANTILES[1:])]
+    return max(far)
 
 
 def _entropy_of_symbols(counts: DataFrame) -> dict[str, float]:
@@ -351,22 +395,28 @@ def _calibrate(fitted: Learned, held_back: DataFrame, entropies: dict[str, float
     """What is usual in each language of entropies (see usual), from texts (lang, text) that the model was not counted from; None if there are none.
 
     Only rows predicted as labelled count. A language with fewer than least_rows of them takes what is usual over the rows of all
-    languages, or where none is right, over all rows with a letter. What is gathered is a row for each language.
+    languages, or where none is right, over all rows with a letter. One with too few to show the last of the QUANTILES isn't held to a
+    shorter tail than all languages together have. What is gathered is a row for each language.
     """
     known = _entropies(held_back, fitted, ["lang"]).where("n_symbols > 0 AND lang_pred <> 'und'")
     known = materialize(known.select("lang", (F.col("lang_pred") == F.col("lang")).alias("right"), F.col("cross_entropy").alias("h"), (1 / F.col("n_symbols")).alias("u")), "calibration")
-    limits = lambda r: [r["m"], r["c"], r["a"], r["b"], max(LEAST_Z, ROOM * r["z"])]
-    every = known.withColumn("lang", F.substring("lang", 1, 0))
-    pooled = _measured(every.where("right")) or _measured(every)
-    own = {r["lang"]: limits(r) for r in _measured(known.where("right")) if r["rows"] >= least_rows}
+    if known.isEmpty():
+        return None
+    right = known.where("right")
+    some = right if not right.isEmpty() else known
+    every = _measured(some.withColumn("lang", F.substring("lang", 1, 0)))[0]
+    far = _reach(every["q"])
+    limits = lambda r: [r["m"], r["c"], r["a"], r["b"], _reach(r["q"]) if r["rows"] * (1 - QUANTILES[-1]) >= 1 else max(far, _reach(r["q"]))]
+    own = {r["lang"]: limits(r) for r in _measured(some) if r["rows"] >= least_rows} if some is right else {}
+    pooled = limits(every)
     discard(known)
-    return np.array([[*own.get(x, limits(pooled[0])), e] for x, e in sorted(entropies.items())]) if pooled else None
+    return np.array([[*own.get(x, pooled), e] for x, e in sorted(entropies.items())])
 
 
 def learn(labelled: DataFrame, cells: int = 1 << 23, folds: int = 10) -> Learned | None:
     """What is known of the languages in labelled (lang, text), or None if no row has both a lang and a symbol.
 
-    All rows are counted, in Spark, and every sequence keeps its own count; models are made in parts of about `cells`
+    All rows are counted, in Spark, and every sequence keeps its own count; models are made in pieces of about `cells`
     sequences times languages (see Learned). The limits of rejection come from one in `folds` texts (by a hash of the text, so
     that copies stay together), scored by a model of the others; the model that is returned has all.
     """

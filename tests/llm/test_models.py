@@ -125,12 +125,38 @@ def test_no_sequence_is_left_out_however_many_there_are(spark):
         model = langid.learn(labelled, cells=cells)
         bits, _, _ = model.score([by["a"][0][:2000]])
         assert bits[0].tolist() == pytest.approx([brute_entropy(by[x], by["a"][0][:2000], symbols) for x in by], rel=1e-4)
-        told.append((model.parts, sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in langid.identify(docs, model).collect())))
+        told.append((len(model.pieces), sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in langid.identify(docs, model).collect())))
     assert told[0][0] == 1 < told[1][0] and told[0][1] == told[1][1] and len(told[0][1]) == 6
     tables = model.tables.where("k = 4 AND lang = 'a'")
     assert tables.count() == len({("\x01\x01\x01" + t)[i : i + 4] for t in by["a"] for i in range(len(t))})
 
 
+def test_pieces_keep_to_their_size_where_one_symbol_has_half_of_all_places(spark):
+    rng = random.Random(12)
+    say = lambda first, n: "".join(" " + chr(first + rng.randrange(300)) for _ in range(n))
+    by = {"a": say(0x4E00, 20_000), "b": say(0x4E80, 20_000), "c": say(0x5200, 40), "d": say(0x5200, 40)}
+    labelled = spark.createDataFrame(list(by.items()), "lang string, text string")
+    cells = 8_000
+    model = langid.learn(labelled, cells=cells)
+    assert [p[:2] for p in model.pieces if p[3] == 1] == [(2, 4)] and {p[:2] for p in model.pieces if p[3] > 1} == {(0, 1), (1, 2)}
+    for i, (_, _, _, parts) in enumerate(model.pieces):
+        longer = sum(len(model.sent(i).value.logs[k]) for k in (2, 3))
+        assert longer <= 2 * cells if parts > 1 else longer * 2 <= cells
+    symbols = len({c for t in by.values() for c in t}) + 1
+    bits, _, _ = model.score([by["a"][:500]])
+    assert bits[0].tolist() == pytest.approx([brute_entropy([t], by["a"][:500], symbols) for t in by.values()], rel=1e-4)
+    whole = langid.learn(labelled)
+    docs = spark.createDataFrame([(i, t[:n]) for i, t in enumerate(by.values()) for n in (1, 7, 300)], "doc_id long, text string")
+    rows = lambda m: sorted((r["doc_id"], r["n_symbols"], r["lang_pred"], round(r["score"], 5), r["rejected"]) for r in langid.identify(docs, m).collect())
+    assert len(whole.pieces) == 1 and rows(whole) == rows(model)
+
+
+def test_limits_follow_the_tail_of_held_back_texts():
+    normal = np.quantile(np.random.default_rng(1).normal(size=100_000), langid.QUANTILES)
+    heavy = np.quantile(np.random.default_rng(1).exponential(size=100_000) * 2, langid.QUANTILES)
+    assert 6 < langid._reach(list(normal)) < 14 < 30 < langid._reach(list(heavy)) < 55 and langid._reach([0.0, 0.0, 0.0]) == 0
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     told = queries.op1_language_id(spark, f"{DATA}/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
