@@ -396,7 +396,8 @@ def _calibrate(fitted: Learned, held_back: DataFrame, entropies: dict[str, float
 
     Only rows predicted as labelled count. A language with fewer than least_rows of them takes what is usual over the rows of all
     languages, or where none is right, over all rows with a letter. One with too few to show the last of the QUANTILES isn't held to a
-    shorter tail than all languages together have. What is gathered is a row for each language.
+    shorter tail than all languages together have; where these can't show the last but one either, no distance is unusual, and only
+    texts that are no better predicted than by single symbols are. What is gathered is a row for each language.
     """
     known = _entropies(held_back, fitted, ["lang"]).where("n_symbols > 0 AND lang_pred <> 'und'")
     known = materialize(known.select("lang", (F.col("lang_pred") == F.col("lang")).alias("right"), F.col("cross_entropy").alias("h"), (1 / F.col("n_symbols")).alias("u")), "calibration")
@@ -405,7 +406,7 @@ def _calibrate(fitted: Learned, held_back: DataFrame, entropies: dict[str, float
     right = known.where("right")
     some = right if not right.isEmpty() else known
     every = _measured(some.withColumn("lang", F.substring("lang", 1, 0)))[0]
-    far = _reach(every["q"])
+    far = _reach(every["q"]) if every["rows"] * (1 - QUANTILES[1]) >= 1 else math.inf
     limits = lambda r: [r["m"], r["c"], r["a"], r["b"], _reach(r["q"]) if r["rows"] * (1 - QUANTILES[-1]) >= 1 else max(far, _reach(r["q"]))]
     own = {r["lang"]: limits(r) for r in _measured(some) if r["rows"] >= least_rows} if some is right else {}
     pooled = limits(every)

@@ -99,6 +99,16 @@ def test_a_label_never_predicted_takes_the_pooled_limit(spark):
     assert (model.limits[0] == model.limits[1]).all()
 
 
+def test_few_texts_show_no_tail(spark):
+    rng = random.Random(14)
+    say = lambda: " ".join("".join(rng.choices("ab", k=4)) for _ in range(30))
+    model = langid.learn(spark.createDataFrame([(x, say()) for _ in range(40) for x in "ab"], "lang string, text string"))
+    assert (model.limits[0, :5] == model.limits[1, :5]).all() and np.isinf(model.limits[:, 4]).all()
+    known, odd = "abba abab", "bzqx jvkw" * 20
+    told = langid.identify(spark.createDataFrame([(0, known), (1, odd)], "doc_id long, text string"), model)
+    assert {r["doc_id"]: r["rejected"] for r in told.collect()} == {0: False, 1: True}
+
+
 def test_rejection_by_held_back_texts(spark):
     """Known texts of all lengths stay, foreign ones and random letters go."""
     docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").where("lang IS NOT NULL")
