@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from runlens.queries import QUERIES, SQL, evidence, review, telemetry
+from runlens.queries import QUERIES, SQL, evidence, review, settings, telemetry
 
-__all__ = ["QUERIES", "SQL", "evidence", "review", "telemetry"]
+__all__ = ["QUERIES", "SQL", "evidence", "review", "settings", "telemetry"]

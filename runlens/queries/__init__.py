@@ -1,4 +1,4 @@
-"""Registered queries: the operators on the driver tables or on small fixed rows, with the SQL that gives the same rows."""
+"""Registered queries: the operators on the driver tables or on rows that Spark derives from them, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
