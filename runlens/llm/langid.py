@@ -197,7 +197,7 @@ class Model:
         """Bits by text and language of the symbols in this part, number of all symbols, whether there is a letter."""
         codes, begins = symbols(texts)
         bits, n, letters = np.zeros((len(texts), self.width)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        for places, packed in _windows(codes):
+        for places, packed in _windows(codes, 1 << 17):
             of = np.searchsorted(begins, places, "right") - 1
             n += np.bincount(of, minlength=len(texts))
             letters += np.bincount(of, codes[places] != _OTHER, len(texts)).astype(np.int64)
