@@ -32,13 +32,18 @@ def checklist(docs: DataFrame, key: str = "path") -> DataFrame:
 
 def table_rows(docs: DataFrame, key: str = "path") -> DataFrame:
     """(key, line, cells) of pipe-table rows; header and rule lines are left out, an escaped pipe is part of its cell."""
-    rows = lines(docs, key).where(F.col("text").rlike(r"^\s*\|.*\|\s*$"))
+    return line_cells(lines(docs, key), key).select(key, "line", "cells")
+
+
+def line_cells(text_lines: DataFrame, key: str = "path") -> DataFrame:
+    """text_lines (key, line, text, more) of whole documents or sections -> those that are pipe-table rows, with cells in place of text (see table_rows)."""
+    rows = text_lines.where(F.col("text").rlike(r"^\s*\|.*\|\s*$"))
     order = Window.partitionBy(key).orderBy("line")
     rule = F.coalesce(F.col("text").rlike(r"^[\s|:-]+$"), F.lit(False))
     header = F.coalesce(F.lead(rule).over(order), F.lit(False)) & (F.lead("line").over(order) == F.col("line") + 1)
-    kept = rows.withColumn("_skip", rule | F.coalesce(header, F.lit(False))).where("NOT _skip")
+    kept = rows.withColumn("_skip", rule | F.coalesce(header, F.lit(False))).where("NOT _skip").drop("_skip")
     cells = F.split(F.regexp_replace("text", r"^\s*\||\|\s*$", ""), r"(?<!\\)\|", -1)
-    return kept.select(key, "line", F.transform(cells, lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|"))).alias("cells"))
+    return kept.withColumn("cells", F.transform(cells, lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))).drop("text")
 
 
 def sites(text: Column) -> Column:

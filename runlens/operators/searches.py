@@ -130,8 +130,7 @@ def searched(claims: DataFrame, text_lines: DataFrame, per_block: int = 20_000)
 
 def coverage_rows(docs: DataFrame, key: str = "path") -> DataFrame:
     """(key, item, command, claimed, seen, total, unverified) of the tables (#, item, search -> count, seen of total, result) in the section Coverage."""
-    own = citations.sections(docs, key).where("section = 'coverage'").select(F.col(key).alias("_key"), F.col("line").alias("_line"))
-    rows = evidence.table_rows(docs, key).join(own, (F.col(key) == F.col("_key")) & (F.col("line") == F.col("_line")), "left_semi")
+    rows = evidence.line_cells(citations.sections(docs, key), key).where("section = 'coverage'")
     cell = lambda i: F.coalesce(F.try_element_at("cells", F.lit(i)), F.lit(""))
     cited = citations.citation(F.concat(F.lit("enumerated "), cell(3)))
     part = lambda i: F.regexp_extract(cell(4), r"(\d+) of (\d+)", i).try_cast("long")

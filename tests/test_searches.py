@@ -56,3 +56,13 @@ def test_chunks_are_within_the_limit_and_hold_all_words(spark):
     for i, text in enumerate(texts):
         own = sorted((r["chunk"], r["text"]) for r in got if r["path"] == i)
         assert [c for c, _ in own] == list(range(len(own))) and " ".join(t for _, t in own).split() == (text or "").split()
+
+
+def test_tables_of_a_section_need_no_join(spark):
+    text = "## Coverage\n| # | item | search | seen | result |\n|---|---|---|---|---|\n| 1 | w | `grep -r a b` -> 2 | 1 of 2 | none |\n## Other\n| 2 | x | `grep b c` | | 3 |\n| h |\n|---|\n| 4 | y \\| z | | `grep d` | 7 |"
+    docs = spark.createDataFrame([("p", text), ("q", "| 1 | a | b | `grep e` | 2 |"), ("r", None)], "path string, text string")
+    rows, declared = searches.coverage_rows(docs), citations.declared_enumerations(docs, "Other")
+    assert [tuple(r) for r in rows.collect()] == [("p", 1, "grep -r a b", 2, 1, 2, False)]
+    assert [tuple(r) for r in declared.collect()] == [("p", 4, "candidates", "grep d", 7)]
+    for df in (rows, declared):  # rows that a join brought together were broadcast, as their size was taken for that of the files
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
