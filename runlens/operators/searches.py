@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import commands
 from runlens.operators import citations, evidence
-from runlens.shared import prepare
+from runlens.shared import materialize, prepare
 
 _QUOTED = re.compile(r"\\[^A-Za-z0-9]")
 
@@ -71,16 +73,160 @@ def required(pattern: str) -> str:
     return max([*runs, own], key=len)
 
 
-def searched(claims: DataFrame, text_lines: DataFrame, per_block: int = 20_000) -> DataFrame:
-    """evidence.searched's rows, but a line meets only the claims whose pattern's required text it holds.
+#: What a pattern may not hold if it is to stand for itself.
+_SPECIAL = r"[\\\[\](){}.*+?^$|]"
+
+
+def _plain(pattern: Column) -> Column:
+    """The text that a pattern stands for if it is nothing but that text, else null."""
+    inner = F.substring(pattern, F.lit(3), F.length(pattern) - 4)
+    quoted = pattern.startswith("\\Q") & pattern.endswith("\\E") & (F.length(pattern) > 4) & ~inner.contains("\\E")
+    return F.when(quoted, inner).when((pattern != "") & ~pattern.rlike(_SPECIAL), pattern)
+
+
+def _hash(*columns: str) -> Column:
+    """A hash that tells nulls of one column from those of another."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
+def _count_texts(asked: list, batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """(id, n_lines, n_files) of batches (dir, path, text) in which a file's lines stand together; asked has (dir, word, without, word_id, pair_id, by_file), without and pair_id null in searches for the word alone.
+
+    A word's id counts the lines and files that hold it, a pair's id the lines that hold both and the files in which every line that holds the word
+    holds both. Files are counted only where by_file says so. What a line costs follows from the words in it, however many searches name them.
+    """
+    index: dict[str, dict[str, int]] = {}
+    ids: list[int] = []
+    withouts: dict[int, dict[int, int]] = {}
+    files: set[int] = set()
+    for folder, word, without, word_id, pair_id, by_file in asked:
+        own = index.setdefault(folder, {})
+        for text, own_id in ((word, word_id), *(((without, None),) if without is not None else ())):
+            if text not in own:
+                own[text] = len(ids)
+                ids.append(None)
+            if own_id is not None:
+                ids[own[text]] = own_id
+        if by_file:
+            files.add(own[word])
+        if without is not None:
+            pair = withouts.setdefault(own[word], {})
+            at = pair.setdefault(own[without], len(ids))
+            if at == len(ids):
+                ids.append(pair_id)
+            if by_file:
+                files.add(at)
+    partners = {word: frozenset(pair) for word, pair in withouts.items()}
+    having = frozenset(partners)
+    automata: dict[str, ahocorasick.Automaton] = {}
+    n_lines, n_files, in_file = Counter(), Counter(), Counter()
+
+    pair_word = {at: word for word, pair in withouts.items() for at in pair.values() if at in files}
 
-    Distinct searches are collected in blocks of per_block, whose automata are broadcast; each block is one scan of the lines. What a line
-    may match is then decided by Spark's own patterns. Searches whose pattern requires no text meet all lines of their folder.
+    def end_of_file() -> None:
+        n_files.update(i for i, n in in_file.items() if i not in pair_word or n == in_file[pair_word[i]])
+        in_file.clear()
+
+    def told() -> pa.RecordBatch:
+        found = [i for i in n_lines if ids[i] is not None]
+        out = pa.RecordBatch.from_arrays([pa.array([ids[i] for i in found], pa.int64()), pa.array([n_lines[i] for i in found], pa.int64()), pa.array([n_files[i] for i in found], pa.int64())], ["id", "n_lines", "n_files"])
+        n_lines.clear()
+        n_files.clear()
+        return out
+
+    last = None
+    for batch in batches:
+        for folder, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (folder, path) != last:
+                end_of_file()
+                last = (folder, path)
+                if len(n_lines) > most:
+                    yield told()
+            if folder not in index or not text:
+                continue
+            if folder not in automata:
+                automaton = automata[folder] = ahocorasick.Automaton()
+                for word, i in index[folder].items():
+                    automaton.add_word(word, i)
+                automaton.make_automaton()
+            held = {i for _, i in automata[folder].iter(text)}
+            both = [withouts[i][j] for i in held & having for j in partners[i] & held]
+            n_lines.update(held)
+            n_lines.update(both)
+            if files:
+                in_file.update(held & files)
+                in_file.update(files.intersection(both))
+    end_of_file()
+    yield told()
+
+
+def _counted_texts(searches: DataFrame, text_lines: DataFrame, per_block: int) -> DataFrame:
+    """(search, n_lines, n_files) of searches (search, dir, word, without, by_file) for lines that hold a word and, where that isn't null, not another.
+
+    Searches go to the workers in blocks of about per_block: some folders' each, a folder with more than that by words in several. A line is read once for
+    each block of its own folder. Files are sorted, so each is counted by one task as it passes.
     """
-    spark = claims.sparkSession
+    spark = searches.sparkSession
     prepare(spark)
+    n_in = searches.groupBy("dir").agg(F.count("*").alias("_n"))
+    n = searches.count()
+    blocks = max(1, -(-n // per_block))
+    folder = F.pmod(F.xxhash64("dir"), F.lit(blocks))
+    part = F.pmod(F.xxhash64("word"), F.ceil(F.col("_n") / per_block))
+    placed = materialize(searches.join(n_in, "dir").select("dir", "word", "without", _hash("dir", "word").alias("word_id"), F.when(F.col("without").isNotNull(), _hash("dir", "word", "without")).alias("pair_id"), "by_file", "search", folder.alias("_block"), part.alias("_part")), "searches")
+    found = []
+    for block, cut in sorted(map(tuple, placed.select("_block", "_part").distinct().collect())):
+        own = placed.where((F.col("_block") == block) & (F.col("_part") == cut))
+        asked = own.select("dir", "word", "without", "word_id", "pair_id", "by_file")
+        sent = spark.sparkContext.broadcast([tuple(r) for r in asked.collect()])
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            return _count_texts(sent.value, batches)
+
+        mine = text_lines.where((F.pmod(F.xxhash64("dir"), F.lit(blocks)) == block) & F.col("text").isNotNull()).select("dir", F.col("path").cast("string"), "text")
+        told = mine.repartition("dir", "path").sortWithinPartitions("dir", "path").mapInArrow(count, "id long, n_lines long, n_files long")
+        found.append(materialize(told.groupBy("id").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_files").alias("n_files")), "found"))
+        sent.destroy()
+    if not found:
+        return placed.select("search", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_files"))
+    counts = functools.reduce(DataFrame.unionByName, found)
+    of = lambda c: counts.select(F.col("id").alias(c), F.col("n_lines").alias(f"{c}_lines"), F.col("n_files").alias(f"{c}_files"))
+    both = placed.select("search", "word_id", "pair_id").join(of("word_id"), "word_id", "left").join(of("pair_id"), "pair_id", "left")
+    less = lambda what: (F.coalesce(f"word_id_{what}", F.lit(0)) - F.coalesce(f"pair_id_{what}", F.lit(0))).alias(f"n_{what}")
+    return both.select("search", less("lines"), less("files"))
+
+
+def searched(claims: DataFrame, text_lines: DataFrame, per_block: int = 20_000, texts_per_block: int = 200_000) -> DataFrame:
+    """evidence.searched's rows, but a line meets only the claims whose pattern's required text it holds.
+
+    Searches for plain texts (without another plain text, if any) are counted in passes over the lines, see _counted_texts. Others are
+    collected in blocks of per_block, whose automata are broadcast; each block is one scan of the lines, and what a line
+    may match is then decided by Spark's own patterns. Those whose pattern requires no text meet all lines of their folder.
+    """
     on = ["dir", "pattern", "without", "also"]
-    distinct = claims.where("pattern IS NOT NULL").select(*on).distinct().withColumn("search", F.xxhash64(*on))
+    asked = claims.withColumn("_search", F.when(F.col("pattern").isNotNull(), _hash(*on)))
+    by_file = F.bool_or(F.coalesce(F.col("mode") == "files", F.lit(False))).alias("by_file")
+    word, without = _plain(F.col("pattern")), _plain(F.col("without"))
+    distinct = asked.where("pattern IS NOT NULL").groupBy(F.col("_search").alias("search"), *on).agg(by_file).withColumns({"word": word, "_no": without})
+    plain = F.col("dir").isNotNull() & F.col("also").isNull() & F.col("word").isNotNull() & (F.col("without").isNull() | F.col("_no").isNotNull())
+    distinct = materialize(distinct.withColumn("_plain", plain), "searches")
+    counted = _counted_texts(distinct.where("_plain").select("search", "dir", "word", F.col("_no").alias("without"), "by_file"), text_lines, texts_per_block)
+    others = distinct.where("NOT _plain").select("search", *on)
+    if not others.isEmpty():
+        counted = counted.unionByName(_counted_patterns(others, text_lines, per_block))
+    counted = counted.withColumnRenamed("search", "_search")
+    there = text_lines.select(F.col("dir").alias("_there")).distinct()
+    told = asked.join(counted, "_search", "left").join(there, F.col("dir") == F.col("_there"), "left")
+    number = F.when(F.col("mode") == "files", F.col("n_files")).otherwise(F.col("n_lines"))
+    told = told.withColumn("actual", F.when(F.col("_there").isNotNull(), F.coalesce(number, F.lit(0))))
+    status = F.when(F.col("pattern").isNull(), "uncited").when(F.col("_there").isNull(), "failed").when(F.col("claimed").isNull(), "unverified").when(F.col("actual") == F.col("claimed"), "reproduced").otherwise("mismatch")
+    return told.withColumn("status", status).withColumn("is_failing", F.col("status").isin("mismatch", "uncited", "failed")).drop("n_lines", "n_files", "_search", "_there")
+
+
+def _counted_patterns(distinct: DataFrame, text_lines: DataFrame, per_block: int) -> DataFrame:
+    """(search, n_lines, n_files) of searches (search, dir, pattern, without, also)."""
+    spark = distinct.sparkSession
+    prepare(spark)
     n = distinct.count()
     blocks = max(1, -(-n // per_block))
     kinds = "dir string, path string, search long, pattern string, without string, is_also boolean, text string"
@@ -116,16 +262,9 @@ def searched(claims: DataFrame, text_lines: DataFrame, per_block: int = 20_000)
         met = found if blocks == 1 else met.unionByName(found)
     hit = F.regexp_like("text", F.col("pattern")) & ~F.coalesce(F.regexp_like("text", F.col("without")), F.lit(False))
     per_file = met.where(hit).groupBy("search", "path").agg(F.count_if(~F.col("is_also")).alias("n"), F.bool_or("is_also").alias("has_also"))
-    asked = claims.withColumn("_search", F.when(F.col("pattern").isNotNull(), F.xxhash64(*on)))
-    needs = asked.where("also IS NOT NULL").select(F.col("_search").alias("search"), F.lit(True).alias("_needs")).distinct()
+    needs = distinct.where("also IS NOT NULL").select("search", F.lit(True).alias("_needs"))
     good = per_file.join(needs, "search", "left").where("_needs IS NULL OR has_also")
-    counted = good.groupBy(F.col("search").alias("_search")).agg(F.sum("n").alias("n_lines"), F.count_if(F.col("n") > 0).alias("n_files"))
-    there = text_lines.select(F.col("dir").alias("_there")).distinct()
-    told = asked.join(counted, "_search", "left").join(there, F.col("dir") == F.col("_there"), "left")
-    number = F.when(F.col("mode") == "files", F.col("n_files")).otherwise(F.col("n_lines"))
-    told = told.withColumn("actual", F.when(F.col("_there").isNotNull(), F.coalesce(number, F.lit(0))))
-    status = F.when(F.col("pattern").isNull(), "uncited").when(F.col("_there").isNull(), "failed").when(F.col("claimed").isNull(), "unverified").when(F.col("actual") == F.col("claimed"), "reproduced").otherwise("mismatch")
-    return told.withColumn("status", status).withColumn("is_failing", F.col("status").isin("mismatch", "uncited", "failed")).drop("n_lines", "n_files", "_search", "_there")
+    return good.groupBy("search").agg(F.sum("n").alias("n_lines"), F.count_if(F.col("n") > 0).alias("n_files"))
 
 
 def coverage_rows(docs: DataFrame, key: str = "path") -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,23 @@ def test_tables_of_a_section_need_no_join(spark):
     assert [tuple(r) for r in declared.collect()] == [("p", 4, "candidates", "grep d", 7)]
     for df in (rows, declared):  # rows that a join brought together were broadcast, as their size was taken for that of the files
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("per_block", [3, 200_000])
+def test_plain_texts_are_counted_as_the_join_counts_them(spark, per_block):
+    rng = random.Random(5)
+    words = ["a", "ab", "abc", "b", "bc", "zz", "c d", "é#1"]
+    text = lambda: "".join(rng.choices(["a", "b", "c", " ", "c d", "é#1", "zz"], k=rng.randrange(7)))
+    lines = spark.createDataFrame([(f"d{i % 3}", f"f{i % 17}", i, rng.choice([text(), text(), None])) for i in range(400)], "dir string, path string, line int, text string")
+    quoted = lambda w: rng.choice([w, f"\\Q{w}\\E"])
+    claims = [(i, f"d{i % 4}", quoted(rng.choice(words)), rng.choice([None, quoted(rng.choice(words)), "[b]"]), rng.choice([None, None, None, "a"]), rng.choice(["lines", "files"]), rng.choice([None, 0, 3])) for i in range(300)]
+    frame = spark.createDataFrame(claims, "claim_id int, dir string, pattern string, without string, also string, mode string, claimed long")
+    told = lambda df: sorted((r["claim_id"], r["actual"], r["status"]) for r in df.collect())
+    assert told(searches.searched(frame, lines, 100, per_block)) == told(evidence.searched(frame, lines))
+
+
+def test_a_line_costs_what_it_holds_however_many_searches_name_its_words():
+    asked = [("d", "the", f"w{i}", 1, 10 + i, False) for i in range(50_000)] + [("d", "the", None, 1, None, True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["d"] * 3000), pa.array(["f"] * 3000), pa.array(["the cat"] * 2999 + ["the w7"])], ["dir", "path", "text"])
+    rows = [r for out in searches._count_texts(asked, iter([batch])) for r in out.to_pylist()]
+    assert sorted(map(tuple, (r.values() for r in rows))) == [(1, 3000, 1), (17, 1, 0)]
