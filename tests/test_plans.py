@@ -96,3 +96,24 @@ def test_a_long_chain_takes_few_rounds(spark):
     assert got.count() == n and got.where("level <> id OR level IS NULL").count() == 0
     circle = spark.range(n).selectExpr("id", f"array((id + 1) % {n}) AS depends_on")
     assert tasks.on_circles(circle).count() == n and tasks.levels(circle).where("level IS NOT NULL").count() == 0
+
+
+def test_joins_of_tasks_are_never_broadcast(spark):
+    """Files of ids are small and what is read from them isn't: with every size taken for small, no join may go through the driver."""
+    chain = spark.range(400).selectExpr("CAST(id AS STRING) AS id", "'pending' AS status", "CASE WHEN id % 5 > 0 THEN array(CAST(id - 1 AS STRING)) WHEN id % 3 = 0 THEN array(CAST(id + 4 AS STRING)) ELSE CAST(array() AS array<string>) END AS depends_on")
+    sent = []
+    write = type(spark.range(1).write).parquet
+
+    def spied(self, *a, **k):
+        sent.append("Broadcast" in self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *a, **k)
+
+    type(spark.range(1).write).parquet = spied
+    try:
+        assert tasks.on_circles(chain).count() == 5 * len([n for n in range(0, 400, 5) if n % 3 == 0])
+        tasks.levels(chain)
+    finally:
+        type(spark.range(1).write).parquet = write
+    assert len(sent) > 10 and not any(sent)
+    for df in (tasks.readiness(chain), tasks.invalid_deps(chain), tasks.single_task(chain, chain.select("id"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
