@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -141,14 +142,65 @@ def structs(fields: list[str], *keys: str) -> Column:
     return F.transform(F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["i"]))), lambda i: one(entries, i))
 
 
+#: What a case document says at single places, as (column, path).
+_SINGLE = [*((k, (k,)) for k in ("id", "title", "kind", "surface", "runner", "status", "command", "flake_reason", "revision")), ("exit_code", ("expect", "exit_code")), ("last_result", ("last_run", "result")), ("last_commit", ("last_run", "commit"))]
+_LISTS = {"assertions": ("expect", "assertions"), "requirements": ("covers", "requirements")}
+
+
+def _place(key: str) -> int | None:
+    return int(key) if re.fullmatch(r"\d{1,9}", key, re.A) else None
+
+
+def _case(leaves: list[tuple[tuple[str, ...], str]]) -> tuple[list, list, list]:
+    """A document's single values, lists and history: what at, listed and structs give of its rows."""
+    single: dict[tuple[str, ...], str] = {}
+    lists: dict[tuple[str, ...], list] = {path: [] for path in _LISTS.values()}
+    history: dict[int | None, dict[str, str]] = {}
+    for path, value in leaves:
+        if value != "":
+            single[path] = max(value, single.get(path, value))
+            if path[:-1] in lists:
+                place = _place(path[-1])
+                lists[path[:-1]].append((place is not None, place or 0, value))
+        if len(path) == 3 and path[0] == "history":
+            place = _place(path[1])
+            entry = history.setdefault(place, {})
+            if place is not None:
+                entry.setdefault(path[2], value)
+    entries = [history[i] for i in sorted(history, key=lambda i: (i is None, i))]
+    return [single.get(path) for _, path in _SINGLE], [[v for *_, v in sorted(rows)] for rows in lists.values()], [(e.get("result"), e.get("commit")) for e in entries]
+
+
 def cases(docs: DataFrame, key: str = "path") -> DataFrame:
-    """Case documents (key, text) as rows: id, title, kind, status, revision, expect, covers, last_run and history; documents without front matter are left out."""
-    rows = nested_rows(docs, key)
-    return rows.groupBy(key).agg(
-        *[at(k).alias(k) for k in ("id", "title", "kind", "surface", "runner", "status", "command", "flake_reason")],
-        at("revision").try_cast("int").alias("revision"),
-        F.struct(at("expect", "exit_code").try_cast("int").alias("exit_code"), listed("expect", "assertions").alias("assertions")).alias("expect"),
-        listed("covers", "requirements").alias("requirements"),
-        F.struct(at("last_run", "result").alias("result"), at("last_run", "commit").alias("commit")).alias("last_run"),
-        structs(["result", "commit"], "history").alias("history"),
+    """Case documents (key, text) as rows: id, title, kind, status, revision, expect, covers, last_run and history; documents without front matter are left out.
+
+    A document is read and put together in one place: nothing is exchanged, and documents of one key stay apart.
+    """
+    prepare(docs.sparkSession)
+    names = [key, *(name for name, _ in _SINGLE), *_LISTS, "history"]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 2000):
+                batch = whole.slice(low, 2000)
+                leaves = [list(nested_values(text or "")) for text in batch.column(1).to_pylist()]
+                at = [i for i, found in enumerate(leaves) if found]
+                told = [_case(leaves[i]) for i in at]
+                singles = [pa.array(column, pa.string()) for column in zip(*(t[0] for t in told), strict=True)] if told else [pa.array([], pa.string())] * len(_SINGLE)
+                lists = [pa.array([t[1][i] for t in told], pa.list_(pa.string())) for i in range(len(_LISTS))]
+                ends = np.cumsum([0, *(len(t[2]) for t in told)]).astype(np.int32)
+                entries = [pa.array([e[i] for t in told for e in t[2]], pa.string()) for i in range(2)]
+                history = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(entries, ["result", "commit"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *singles, *lists, history], names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    schema = ", ".join([f"`{key}` {kind}", *(f"{name} string" for name, _ in _SINGLE), *(f"{name} array<string>" for name in _LISTS), "history array<struct<result: string, commit: string>>"])
+    return docs.select(key, "text").mapInArrow(parse, schema).select(
+        key,
+        *[k for k, path in _SINGLE[:8]],
+        F.col("revision").try_cast("int").alias("revision"),
+        F.struct(F.col("exit_code").try_cast("int").alias("exit_code"), "assertions").alias("expect"),
+        "requirements",
+        F.struct(F.col("last_result").alias("result"), F.col("last_commit").alias("commit")).alias("last_run"),
+        "history",
     )

@@ -50,3 +50,14 @@ def test_cases(spark):
     a = got["a"]
     assert (a["id"], a["title"], a["expect"]["exit_code"], a["expect"]["assertions"], a["requirements"]) == ("TC-1", "a: b # c", 0, ["x, y", "it's"], ["R1", "R2, R3"])
     assert [tuple(h) for h in a["history"]] == [("pass", "c1"), ("fail", None), (None, None)]
+
+
+def test_cases_are_what_the_rows_of_a_document_say_and_nothing_is_exchanged(spark):
+    texts = [TEXT, "---\nid: a\nid: b\nid: ''\nhistory: {x: {result: p}, 1: {result: q, commit: ''}}\nexpect:\n  assertions: {k: v, 2: w, 1: u, 0: ''}\n  exit_code: x\n---\n", "---\nhistory: [[a, b]]\n---\n", "---\n" + "history:\n" + "".join(f"- result: r{i}\n" for i in range(12)) + "---\n", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    rows = nested.nested_rows(docs)
+    want = rows.groupBy("path").agg(nested.at("id").alias("id"), nested.listed("expect", "assertions").alias("a"), nested.listed("covers", "requirements").alias("r"), nested.structs(["result", "commit"], "history").alias("h"), nested.at("last_run", "result").alias("l"))
+    got = nested.cases(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.selectExpr("path", "id", "expect.assertions", "requirements", "history", "last_run.result").collect()) == sorted(want.collect())
+    assert nested.cases(docs.union(docs)).count() == 8
