@@ -105,8 +105,8 @@ def _top(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, top, 1), np.take_along_axis(keys, top, 1)
 
 
-def _best(rows: DataFrame, queries: DataFrame, key: str, k: int, score: Callable[[np.ndarray, pa.RecordBatch], np.ndarray], per_block: int, dimensions: int) -> DataFrame:
-    """(query, key, score): for each query the k best rows of each partition, queries in blocks of per_block, each block broadcast and held against all rows."""
+def _best(rows: DataFrame, queries: DataFrame, key: str, k: int, score: Callable[[np.ndarray, pa.RecordBatch], np.ndarray], per_block: int, dimensions: int, per_piece: int = 1024) -> DataFrame:
+    """(query, key, score): for each query the k best rows of each partition, queries in blocks of per_block, each block broadcast and held against all rows; a task holds the scores of a block with k rows and per_piece more."""
     spark = rows.sparkSession
     kinds = [queries.select("query").schema[0].dataType.simpleString(), rows.select(key).schema[0].dataType.simpleString()]
     schema = f"query {kinds[0]}, {key} {kinds[1]}, score double"
@@ -123,8 +123,8 @@ def _best(rows: DataFrame, queries: DataFrame, key: str, k: int, score: Callable
             ids, vectors = sent.value
             kept, scores = None, np.zeros((len(ids), 0))
             for batch in batches:
-                for low in range(0, batch.num_rows, 4096):
-                    piece = batch.slice(low, 4096)
+                for low in range(0, batch.num_rows, per_piece):
+                    piece = batch.slice(low, per_piece)
                     new = np.broadcast_to(np.asarray(piece.column(0).to_pylist(), object), (len(ids), piece.num_rows))
                     scores = np.concatenate([scores, score(vectors, piece)], 1)
                     kept = new if kept is None else np.concatenate([kept, new], 1)
