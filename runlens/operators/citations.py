@@ -84,15 +84,20 @@ def places(citations: DataFrame, text_lines: DataFrame, near: int = 2) -> DataFr
     unrunnable: a path that leaves the project. failed: no such file. reproduced: the cited lines, joined, hold the
     snippet, its parts in order where ... elides something. stale: so do they with `near` lines more on both sides; else
     mismatch. White space counts as one blank. Only the cited lines of a file are gathered.
+
+    Citations and lines are exchanged once, by path, and never broadcast: lines are many more than the texts' size lets expect, and
+    what is gathered before an exchange would be all citations of one file of the table in one task. They go to as many tasks as the
+    session has shuffle partitions; fewer, larger ones would each sort much more.
     """
-    c = citations.select("claim_id", F.col("path").alias("_path"), "first", "last", "snippet")
+    n = int(citations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = citations.select("claim_id", F.col("path").alias("_path"), "first", "last", "snippet").repartition(n, "_path")
     leaves = F.col("_path").startswith("/") | F.array_contains(F.split("_path", "/"), "..")
     known = text_lines.select("path").distinct().withColumnRenamed("path", "_file")
     around = (F.col("_path") == F.col("path")) & F.col("line").between(F.col("first") - near, F.col("last") + near)
-    met = c.join(text_lines, around, "left").groupBy("claim_id").agg(
-        F.any_value("_path").alias("_path"), F.any_value("first").alias("first"), F.any_value("last").alias("last"), F.any_value("snippet").alias("snippet"),
+    met = c.join(text_lines.repartition(n, "path").hint("merge"), around, "left").groupBy("claim_id", "_path").agg(
+        F.any_value("first").alias("first"), F.any_value("last").alias("last"), F.any_value("snippet").alias("snippet"),
         F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "text")))).alias("_lines"),
-    ).join(known, F.col("_path") == F.col("_file"), "left")
+    ).join(known.hint("merge"), F.col("_path") == F.col("_file"), "left")
     text = lambda some: _flat(F.array_join(F.transform(some, lambda x: x["text"]), " "))
     own = text(F.filter("_lines", lambda x: x["line"].between(F.col("first"), F.col("last"))))
     pattern = _in_order(F.col("snippet"))

@@ -60,6 +60,17 @@ def test_places_outside_are_not_run(spark):
     assert {r["claim_id"]: r["status"] for r in citations.places(told, there).collect()} == {0: "unrunnable", 1: "unrunnable", 2: "reproduced", 3: "unrunnable"}
 
 
+def test_citations_and_lines_are_exchanged_once_by_path(spark):
+    text = spark.createDataFrame([(f"f{i}", "one\ntwo\nthree\nfour") for i in range(20)], "path string, text string")
+    cited = spark.createDataFrame([(10 * i + k, f"f{i}", line, line, "two") for i in range(22) for k, line in enumerate((2, 3, 4, 900))] + [(900, None, 1, 1, "one")], "claim_id long, path string, first long, last long, snippet string")
+    told = citations.places(cited, citations.lines(text))
+    want = {10 * i + k: s if i < 20 else "failed" for i in range(22) for k, s in enumerate(("reproduced", "stale", "stale", "mismatch"))} | {900: "failed"}
+    rows = told.collect()
+    assert len(rows) == len(want) and {r["claim_id"]: r["status"] for r in rows} == want
+    plan = told._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 3  # citations, lines, names of files
+
+
 def test_used_searches_are_those_declared(spark):
     declared = spark.createDataFrame([("r", 1, "rg  -c a"), ("r", 2, "rg b"), ("r", 2, "rg c"), ("s", 3, None)], "report string, item int, command string")
     used = spark.createDataFrame([("r", 1, " rg -c\ta "), ("r", 1, "rg -c ab"), ("r", 2, "rg c"), ("r", 2, None), ("r", 2, " "), ("r", 9, "rg z"), ("s", 1, "rg x"), ("s", 3, "rg x")], "report string, item int, command string")
