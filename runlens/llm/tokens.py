@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import materialize, prepare
 
-#: A space or line end next to other white space.
-_TOUCHING = re.compile("[\x20\n](?:(?<=[\\s\u180e].)|(?=[\\s\u180e]))", re.DOTALL)
-_SPACE = ("", " ", "\n")
+_WHITE = r"[\pZ\x09-\x0D\x1C-\x1F\x{85}\x{180E}]"
+#: No text, or a space or line end next to other white space or at either end.
+_TOUCHING = rf"\A[ \n]|\A\z|[ \n]\z|[ \n]{_WHITE}|{_WHITE}[ \n]"
 _MARKS = ".,;:!?#$%&*|"
 #: How byte-level models write a byte: visible ones as themselves, the others counted from U+0100.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -48,7 +48,9 @@ class Encoder:
     words, each with what stands before it. Those that drop white space part it at every space. Other texts, texts that
     hold an added token's string, and all texts of any other tokenizer are encoded whole. A word's ids are looked up among
     remembered ones: up to `limit` words of at most 11 characters, as longer ones rarely recur. A new word of letters
-    and closing marks goes straight to the library's model, anything else through the whole of the tokenizer.
+    and closing marks goes straight to the library's model, anything else through the whole of the tokenizer. Byte-level
+    texts that are given together are parted by Arrow, and each of their distinct words is looked up once, without its
+    closing marks.
     """
 
     def __init__(self, path: str, limit: int = 800_000) -> None:
@@ -75,35 +77,61 @@ class Encoder:
         letters = body.rstrip(_MARKS)
         if not letters.isalpha() or max(letters) >= "\u0250":
             return self._encode([word if first or not self.spaced else " " + word])[0]
-        marks = body[len(letters) :]
-        if marks not in self.marks:
-            self.marks[marks] = self._encode([marks])[0]
+        marks = self._marks(body[len(letters) :])
         shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTES)
-        before = b""
-        if first:
-            if "\n" not in self.marks:
-                self.marks["\n"] = self._encode(["\n"])[0]
-            before = self.marks["\n"]
-        elif self.spaced:
+        before = self._marks("\n") if first else b""
+        if self.spaced and not first:
             shown = "\u0120" + shown
-        return before + b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)]) + self.marks[marks]
+        return before + b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)]) + marks
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self._encode([marks])[0]
+        return self.marks[marks]
+
+    def _closed(self, word: str) -> bytes:
+        """Ids of a word after a space: its letters are remembered once, whatever marks close it."""
+        letters = word.rstrip(_MARKS)
+        if not letters.isalpha() or max(letters) >= "\u0250":
+            return self.words[word]
+        return self.words[letters] + self._marks(word[len(letters) :])
 
     def _one(self, text: str) -> bytes:
         if not self.kind or any(t in text for t in self.added):
             return self._encode([text])[0]
-        look = self.words.__getitem__
-        if not self.spaced:
-            low = text.lower()
-            if any(t in low for t in self.added) or not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", low)):
-                return self._encode([text])[0]
-            return b"".join(map(look, low.replace("\n", " ").split(" ")))
-        if _TOUCHING.search(text) or text[:1] in _SPACE or text[-1:] in _SPACE:
+        low = text.lower()
+        if any(t in low for t in self.added) or not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", low)):
             return self._encode([text])[0]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.firsts[first] + b"".join(map(look, rest))
+        return b"".join(map(self.words.__getitem__, low.replace("\n", " ").split(" ")))
+
+    def _by_words(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of texts in which spaces and line ends stand alone."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        begins, coded = parts.offsets.to_numpy()[:-1], parts.values.dictionary_encode()
+        at, words = np.array(coded.indices, np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        later, firsts = np.zeros(len(words), bool), [words[i] for i in at[begins].tolist()]
+        later[np.delete(at, begins)] = True
+        ids = [(self._closed(w) if w[-1] in _MARKS else self.words[w]) if x else b"" for w, x in zip(words, later.tolist(), strict=True)] + [self.firsts[w] for w in firsts]
+        at[begins] = np.arange(len(words), len(ids))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lengths, starts = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        before = np.append(0, np.cumsum(lengths))
+        where = np.repeat(starts - before[:-1], lengths)
+        where += np.arange(len(where))
+        got = np.frombuffer(b"".join(ids), "<u4")[where]
+        cuts = before[np.append(begins, len(at))].tolist()
+        return (got[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return list(map(self._one, texts))
+        if not self.spaced:
+            return list(map(self._one, texts))
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, _TOUCHING)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(column, token))
+        plain = column.filter(pc.invert(whole))
+        others = self._by_words(plain) if len(plain) else iter(())
+        return [self._encode([text])[0] if x else next(others) for text, x in zip(texts, whole.to_pylist(), strict=True)]
 
 
 #: The parts by which the two families of tokenizers are known.
@@ -229,7 +257,7 @@ def write_token_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, block_i
 
         for batch in batches:
             ids, texts, doc_type = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(0).type
-            for cut in groups(texts):
+            for cut in groups(texts, 4_000_000):
                 for doc_id, coded in zip(ids[cut], to_ids(texts[cut]), strict=True):
                     held.append(coded + end)
                     doc_ids.append(doc_id)

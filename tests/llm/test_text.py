@@ -27,6 +27,17 @@ def test_ids_are_those_of_the_library(name):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_texts_given_together_are_encoded_once():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, library, looked = tokens.Encoder(path), Tokenizer.from_file(path), []
+    own = encode.words.look
+    encode.words.look = lambda word: looked.append(word) or own(word)
+    texts = ["", " led", "no<|endoftext|>end", "one", *(f"Said{i} incomprehensibilities x{m} zaeiou{m}\nzaeiou{m} incomprehensibilities" for i, m in enumerate(["", ".", ",", "!?", "..."] * 20))]
+    for text, got in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert looked.count("incomprehensibilities") == 1 and [w for w in looked if w[0] == "z"] == ["zaeiou"]
+
+
 def test_other_tokenizers_encode_texts_whole(tmp_path):
     path = tmp_path / "words.json"
     own = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
