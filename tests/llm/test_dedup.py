@@ -3,7 +3,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from runlens.llm import lines, minhash
 from runlens.llm.shingles import shingle_sets as shingles_of
@@ -157,3 +159,20 @@ def test_lines_match_brute_force(spark, awkward, empty):
     assert unlike.count() == awkward.count() and unlike.columns == [*awkward.columns, "n_lines", "n_dropped"]
     assert {r["doc_id"]: r["n_dropped"] for r in unlike.collect() if r["doc_id"] in (8, 9, 10)} == {8: 1, 9: 1, 10: 0}
     assert lines.dedup_lines(empty).count() == 0 and COLUMNS
+
+
+def test_workers_get_large_texts_by_their_bytes(spark):
+    """Near-dedup's workers and executors hold a few MB of texts at once, however many rows have them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, None)
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    try:
+        spark.conf.unset(key)
+        minhash.signatures(rows, 5, 80)
+        assert 1 << 20 < max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) < 5 << 20
+        spark.conf.set(key, "1m")
+        minhash.signatures(rows, 5, 80)
+        assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) < 2 << 20
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
