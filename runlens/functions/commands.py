@@ -16,6 +16,9 @@ NETWORK = ["curl", "wget", "nc", "ncat", "scp", "sftp", "rsync", "ftp", "ssh"]
 SECRET = r"(^|[^\w])\.env\b|\bid_(rsa|dsa|ecdsa|ed25519)\b|\bcredentials\b"
 SENSITIVE = r"^(/(etc|usr|bin|sbin|lib|boot|sys|proc)(/|$)|~/\.(ssh|aws|gnupg|kube|docker)(/|$)|~/\.(bashrc|bash_profile|profile|zshrc|zprofile|zshenv|netrc)$)"
 _DEVICE = r"^/dev/(null|stdout|stderr|tty|fd/\d+)$"
+#: A line of words, few of them in quotes, and pipes, with nothing that is escaped, redirected, left out or open; its tokens; what is in quotes.
+_SIMPLE = r"\A(?!\z)[^'\"\\#<>;&()`\n]*+(?:(?:'[^'\\#<>;&()`\n]*+'|\"[^\"\\#<>;&()`\n]*+\")[^'\"\\#<>;&()`\n]*+){0,20}\z"
+_TOKEN, _QUOTES = r"\||(?:[^ \t\r|'\"]++|'[^']*+'|\"[^\"]*+\")+", r"'([^']*)'|\"([^\"]*)\""
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,7 +27,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def tokens(command: Column) -> Column:
-    """The shell's tokens, as an array of (op, text): op is word, or one of ; | & ( ) < > and the line end. Quotes and escapes are resolved, comments left out, and a number before a redirection is part of it."""
+    """The shell's tokens, as an array of (op, text): op is word, or one of ; | & ( ) < > and the line end. Quotes and escapes are resolved, comments left out, and a number before a redirection is part of it.
+
+    A simple line is cut by a pattern, which gives the same tokens; others are read character by character.
+    """
+    piped = lambda t: F.struct(F.when(t == "|", "|").otherwise("word").alias("op"), F.when(t == "|", "").otherwise(F.regexp_replace(t, _QUOTES, "$1$2")).alias("text"))
+    return F.when(command.rlike(_SIMPLE), F.transform(F.regexp_extract_all(command, F.lit(_TOKEN), 0), piped)).otherwise(read_tokens(command))
+
+
+def read_tokens(command: Column) -> Column:
+    """tokens, read character by character."""
     state = lambda mode, open_, word, out: F.struct(F.lit(mode).alias("mode"), F.lit(open_).alias("open") if isinstance(open_, bool) else open_.alias("open"), word.alias("word"), out.alias("out"))
     token = lambda op, text: F.struct(op.alias("op"), text.alias("text"))
     blank = F.lit("")
@@ -93,15 +105,36 @@ def commands(command: Column) -> Column:
 
     def one(every: Column, i: Column) -> Column:
         own = F.filter(every, lambda t: t["command"] == i)
-        pick = lambda kind: F.transform(F.filter(own, lambda t: t["kind"] == kind), lambda t: t["text"])
-        words = let(pick("word"), lambda w: F.slice(w, F.greatest(F.array_position(F.transform(w, lambda x: ~x.rlike(_BEFORE)), F.lit(True)).cast("int"), F.lit(1)), F.greatest(F.size(w), F.lit(1))))
-        return let(words, lambda w: F.struct(F.get(own, F.lit(0))["pipeline"].alias("pipeline"), F.regexp_replace(F.coalesce(F.get(w, F.lit(0)), F.lit("")), "^.*/", "").alias("name"), w.alias("words"), pick("read").alias("reads"), F.concat(pick("write"), _written(w)).alias("writes")))
+        pick = lambda kind: _picked(own, kind)
+        return let(_from_name(pick("word")), lambda w: F.struct(F.get(own, F.lit(0))["pipeline"].alias("pipeline"), _name(w).alias("name"), w.alias("words"), pick("read").alias("reads"), F.concat(pick("write"), _written(w)).alias("writes")))
+
+    return _each(command, one)
+
+
+def words(command: Column) -> Column:
+    """An array of (name, words) of each command of a line (see commands)."""
+    return _each(command, lambda every, i: let(_from_name(_picked(F.filter(every, lambda t: t["command"] == i), "word")), lambda w: F.struct(_name(w).alias("name"), w.alias("words"))))
 
+
+def _each(command: Column, one: Callable[[Column, Column], Column]) -> Column:
+    """An array of one(all words and operands, command) for each command of a line."""
     return let(placed(tokens(command)), lambda every: F.transform(F.array_distinct(F.transform(every, lambda t: t["command"])), lambda i: one(every, i)))
 
 
+def _picked(own: Column, kind: str) -> Column:
+    return F.transform(F.filter(own, lambda t: t["kind"] == kind), lambda t: t["text"])
+
+
+def _from_name(picked: Column) -> Column:
+    return let(picked, lambda w: F.slice(w, F.greatest(F.array_position(F.transform(w, lambda x: ~x.rlike(_BEFORE)), F.lit(True)).cast("int"), F.lit(1)), F.greatest(F.size(w), F.lit(1))))
+
+
+def _name(words: Column) -> Column:
+    return F.regexp_replace(F.coalesce(F.get(words, F.lit(0)), F.lit("")), "^.*/", "")
+
+
 def _written(words: Column) -> Column:
-    name = F.regexp_replace(F.coalesce(F.get(words, F.lit(0)), F.lit("")), "^.*/", "")
+    name = _name(words)
     rest = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
     operands = F.filter(rest, lambda w: ~w.startswith("-"))
     none = F.array().cast("array<string>")

@@ -24,7 +24,7 @@ _HEADING = r"^(#{1,6})\s+(.*?)\s*$"
 
 def sections(docs: DataFrame, key: str = "path") -> DataFrame:
     """(key, line, text, section, block): each line with the second-level heading above it (lower case) and the number of the third-level block that it is in, 0 before the first."""
-    level = F.length(F.regexp_extract("text", _HEADING, 1))
+    level = F.when(F.col("text").startswith("#"), F.length(F.regexp_extract("text", _HEADING, 1)))
     order = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     named = F.last(F.when(level == 2, F.lower(F.regexp_extract("text", _HEADING, 2))).when(level == 1, ""), ignorenulls=True)
     told = lines(docs, key).withColumn("section", F.coalesce(named.over(order), F.lit("")))
@@ -37,7 +37,7 @@ def bullets(docs: DataFrame, headings: list[str] | None = None, key: str = "path
     if headings is not None:
         told = told.where(F.col("section").isin(*headings))
     begins = F.col("text").rlike(r"^\s*[-*]\s+")
-    stops = F.col("text").rlike(r"^\s*$") | F.col("text").rlike(_HEADING)
+    stops = F.when(F.col("text").startswith("#"), F.col("text").rlike(_HEADING)).otherwise(F.col("text").rlike(r"^\s*$"))
     order = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     run = told.withColumn("_begin", F.last(F.when(begins, F.col("line")).when(stops, -1), ignorenulls=True).over(order)).where("_begin > 0")
     text = F.trim(F.regexp_replace(F.regexp_replace("text", r"^\s*[-*]\s+", ""), r"\s+", " "))

@@ -1,5 +1,7 @@
 """Shell commands as tokens, and what may not be run."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +40,11 @@ def test_tokens(spark):
     assert [(c["pipeline"], c["name"], c["words"], c["reads"], c["writes"]) for c in got] == [
         (0, "cat", ["cat", 'a bc"d', "e f"], ["in"], ["x"]), (0, "tee", ["tee", "-a", "y"], [], ["y"]), (1, "echo", ["echo", "z#w"], [], []), (2, "tr", ["tr", "a", "b"], [], []),
     ]
+
+
+def test_simple_lines_have_the_tokens_that_reading_gives(spark):
+    rng = random.Random(3)
+    parts = ["grep", " ", "\t", "-rn", "'", '"', "|", "a b", "$x", "\r", "é", "'a b'", '"c|d"', "''", "2", " src/ ", "\x0b", "\\", "#", ">", ";", "\n"]
+    lines = ["".join(rng.choices(parts[: rng.choice([17, 22])], k=rng.randrange(12))) for _ in range(4000)] + ["'a'" * 30, "", "'" * 41, None]
+    rows = spark.createDataFrame([(x,) for x in lines], "c string").select("c", commands.tokens(F.col("c")).alias("t"), commands.read_tokens(F.col("c")).alias("r"), F.col("c").rlike(commands._SIMPLE).alias("simple"))
+    assert rows.where("NOT (t <=> r)").count() == 0 and rows.where("simple").count() > 1000 < rows.where("NOT simple").count()

@@ -87,3 +87,41 @@ def test_a_line_costs_what_it_holds_however_many_searches_name_its_words():
     batch = pa.RecordBatch.from_arrays([pa.array(["d"] * 3000), pa.array(["f"] * 3000), pa.array(["the cat"] * 2999 + ["the w7"])], ["dir", "path", "text"])
     rows = [r for out in searches._count_texts(asked, iter([batch])) for r in out.to_pylist()]
     assert sorted(map(tuple, (r.values() for r in rows))) == [(1, 3000, 1), (17, 1, 0)]
+
+
+@pytest.mark.parametrize("most", [7, 60, 1 << 15])
+def test_blocks_of_lines_are_counted_as_plain_loops_count_them(monkeypatch, most):
+    monkeypatch.setattr(searches, "_LINES", most)
+    monkeypatch.setattr(searches, "_MET", 50)
+    rng = random.Random(most)
+    words = ["a", "b", "é", "ab", "ba", "é#", "abc", "b.a", "aba", "abab", "c b", " ", "cabc", "😀b", "zzz"]
+    files = [(folder, f"f{i}", ["".join(rng.choices(["a", "b", "c", " ", "é", "#", ".", "😀"], k=rng.choice([0, 2, 9, 40]))) for _ in range(rng.choice([1, 3, 90]))]) for folder in ("d", "e") for i in range(9)]
+    pairs = [(folder, w, o, by_file) for folder in ("d", "x") for w in words for o in (None, *words) for by_file in (False, True) if rng.random() < 0.7]
+    number = {}
+    of = lambda *key: number.setdefault(key, len(number))
+    asked = [(folder, w, o, of(folder, w), None if o is None else of(folder, w, o), by_file) for folder, w, o, by_file in pairs]
+    rows = [(folder, path, text) for folder, path, lines in files for text in lines]
+    cuts = sorted(rng.sample(range(len(rows)), 12))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[i:j], strict=True)], ["dir", "path", "text"]) for i, j in zip([0, *cuts], [*cuts, len(rows)], strict=True) if i < j]
+    got = {r["id"]: (r["n_lines"], r["n_files"]) for out in searches._count_texts(asked, iter(batches)) for r in out.to_pylist()}
+    want = {}
+    for folder, w, o, _ in pairs:
+        own = [lines for d, _, lines in files if d == folder]
+        by = {k for f, v, x, by_file in pairs if by_file and (f, v) == (folder, w) for k in [(v,), *([(v, x)] if x is not None else [])]}
+        n_lines, n_files = sum(w in t for lines in own for t in lines), sum(any(w in t for t in lines) for lines in own)
+        want[of(folder, w)] = n_lines, n_files if (w,) in by else 0
+        if o is not None:
+            both = sum(w in t and o in t for lines in own for t in lines), sum(any(w in t for t in lines) and all(o in t for t in lines if w in t) for lines in own)
+            want[of(folder, w, o)] = both[0], both[1] if (w, o) in by else 0
+    assert got == {k: v for k, v in want.items() if v[0]}
+
+
+def test_searches_take_one_pass_however_many_blocks(spark, monkeypatch):
+    """A scan of the lines for each block of searches, one after the other and each sent by the driver, took longer than there was time."""
+    lines = spark.createDataFrame([("d", f"f{i % 5}", i, f"w{i} w{i % 7}") for i in range(90)], "dir string, path string, line int, text string")
+    claims = spark.createDataFrame([(i, "d", f"w{i}", None, None, "lines", 1) for i in range(60)], "claim_id int, dir string, pattern string, without string, also string, mode string, claimed long")
+    written = []
+    monkeypatch.setattr(searches, "materialize", lambda df, name, real=searches.materialize: written.append(name) or real(df, name))
+    told = {r["claim_id"]: r["actual"] for r in searches.searched(claims, lines, texts_per_block=3).collect()}
+    assert told == {i: sum(f"w{i}" in f"w{j} w{j % 7}" for j in range(90)) for i in range(60)}
+    assert len(written) < 6
