@@ -214,16 +214,17 @@ class _Folder:
         keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
         return np.concatenate([self._short_held(texts, kind), keys]) if self.short else keys
 
-    def _files(self, counts: np.ndarray, kind: str, what: np.ndarray, file: np.ndarray, last: int) -> None:
-        """Counts the distinct files of what, both in order; a file that goes on in the next block counts once."""
-        new = np.ones(len(what), bool)
-        new[1:] = (what[1:] != what[:-1]) | (file[1:] != file[:-1])
-        what, file = what[new], file[new]
-        before, counted = self.last.get(kind, (-1, what[:0]))
-        what_now = what[~((file == before) & np.isin(what, counted))]
-        counts += np.bincount(what_now, minlength=len(counts))
-        open_ = what[file == last]
-        self.last[kind] = last, np.union1d(open_, counted) if before == last else open_
+    def _files(self, counts: np.ndarray, kind: str, parts: Iterable[tuple[np.ndarray, np.ndarray]], last: int) -> None:
+        """Counts the distinct files of each what of parts (what, file), both in order, of which no two have the same what; a file that goes on in the next block counts once."""
+        before, counted = self.last.get(kind, (-1, np.empty(0, np.int64)))
+        open_ = [counted] if before == last else []
+        for what, file in parts:
+            new = np.ones(len(what), bool)
+            new[1:] = (what[1:] != what[:-1]) | (file[1:] != file[:-1])
+            what, file = what[new], file[new]
+            np.add.at(counts, what[~((file == before) & np.isin(what, counted))], 1)
+            open_.append(what[file == last])
+        self.last[kind] = last, np.unique(np.concatenate(open_)) if open_ else counted[:0]
 
     def count(self, texts: pa.Array, files: np.ndarray) -> None:
         """Counts a block of at most _LINES lines, of which files has the numbers of their files, in order."""
@@ -235,7 +236,7 @@ class _Folder:
         self.n_lines[: self.n] += often
         if self.by_file.any():
             mine = self.by_file[text]
-            self._files(self.n_files, "words", text[mine], files[line[mine]], files[-1])
+            self._files(self.n_files, "words", [(text[mine], files[line[mine]])], files[-1])
         if not len(self.word):
             return
         lesser = often[self.word] <= often[self.other]
@@ -274,9 +275,7 @@ class _Folder:
         for pair, _, hit in met(np.flatnonzero(~dense[few] & (often[few] > 0)), few, many):
             self.n_lines[self.n :] += np.bincount(pair[hit], minlength=len(self.word))
         if len(self.pair_by_file):
-            unlike = [(pair[~hit], files[at[~hit]]) for pair, at, hit in met(self.pair_by_file, self.word, self.other)]
-            pair, file = (np.concatenate(x) for x in zip(*unlike, strict=True)) if unlike else (files[:0], files[:0])
-            self._files(self.n_unlike, "pairs", pair, file, files[-1])
+            self._files(self.n_unlike, "pairs", ((pair[~hit], files[at[~hit]]) for pair, at, hit in met(self.pair_by_file, self.word, self.other)), files[-1])
 
     def told(self) -> pa.RecordBatch:
         n_files = np.concatenate([self.n_files, np.where(np.isin(np.arange(len(self.word)), self.pair_by_file), self.n_files[self.word] - self.n_unlike, 0)])
